@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import table
-from . import bpe, split, standins
+from . import bpe, neardup, split, standins
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -32,12 +32,18 @@ def p2_normalised(spark: SparkSession, d: str) -> DataFrame:
     return _normalised(spark, d).select("src", "rec_id", "norm_text").distinct()
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    chunks = neardup.similar_pairs(table(spark, d, "legal_chunks"), "id", "text", neardup.CHUNK_RULE)
+    titles = neardup.similar_pairs(table(spark, d, "legal_documents"), "id", "title", neardup.TITLE_RULE)
+    return chunks.select(F.lit("chunk").alias("src"), "id_a", "id_b").unionByName(titles.select(F.lit("document").alias("src"), "id_a", "id_b"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, d, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_normalised, p7_ids)
+    f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_normalised, p6_found, p7_ids)
 }
 
 ORACLE: dict[str, str] = {
