@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import table
-from . import bpe, neardup, split, standins
+from . import bpe, forest, neardup, split, standins
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -32,6 +32,14 @@ def p2_normalised(spark: SparkSession, d: str) -> DataFrame:
     return _normalised(spark, d).select("src", "rec_id", "norm_text").distinct()
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return forest.neighbour_pairs(table(spark, d, "legal_chunks"), "id", "embedding")
+
+
+def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return forest.named_neighbours(table(spark, d, "legal_chunks"), "id", "embedding")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     chunks = neardup.similar_pairs(table(spark, d, "legal_chunks"), "id", "text", neardup.CHUNK_RULE)
     titles = neardup.similar_pairs(table(spark, d, "legal_documents"), "id", "title", neardup.TITLE_RULE)
@@ -43,7 +51,7 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_normalised, p6_found, p7_ids)
+    f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_normalised, p4_found, p4_neighbours, p6_found, p7_ids)
 }
 
 ORACLE: dict[str, str] = {
