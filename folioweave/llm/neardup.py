@@ -10,8 +10,9 @@ Candidate pairs are then checked exactly on their whole texts.
 Exact copies are one class before anything else: the join works on class representatives, and
 copies come back through the membership table.
 
-Hot buckets: a frequent-items pass (its result is bounded by 1 / HOT_SHARE keys) finds path keys that
-hold more than that share of all rows, and their rows are spread over child paths before the shuffle.
+Hot buckets: path keys that are frequent in a bounded sample of the classes are split before the
+shuffle by the same function that splits large buckets within a task, so where a bucket is split has
+no influence on what meets.
 
 Defined results: texts that are null or have fewer than min_words words (no run of size n for
 characters) take no part; a key with several texts takes part with each; equal ids are never paired.
@@ -31,15 +32,14 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-#: Sketch positions carried along, and how many of them a pair must share to be checked exactly.
-SKETCH, SHARED = 16, 3
+#: One-byte sketch positions carried along.
+SKETCH = 40
 #: Buckets up to this size are compared pair by pair.
 SMALL = 24
 #: Children of a path at a split, and splits at most within a task: beyond, members are alike in nearly all tokens.
 CHILDREN, DEPTH = 3, 6
-#: Share of all path rows from which a path key counts as hot.
-HOT_SHARE = 1e-3
-HOT_ROUNDS = 3
+#: Classes in the sample for hot paths, members from which a path counts as hot, and meetings in the sample that tell it.
+SAMPLE, HOT_ROWS, HOT_SEEN = 16_384, 20_000, 12
 
 
 @dataclass(frozen=True)
@@ -56,6 +56,11 @@ class Rule:
     def runs(self) -> int:
         return math.ceil(math.log(1 - self.recall) / math.log(1 - self.threshold))
 
+    @property
+    def shared(self) -> int:
+        """Sketch positions that a pair must share to be checked exactly: 2.3 deviations below the threshold's mean."""
+        return math.floor(SKETCH * self.threshold - 2.3 * math.sqrt(SKETCH * self.threshold * (1 - self.threshold)))
+
     def units(self, text: str):
         low = text.lower()
         if self.kind == "chars":
@@ -134,28 +139,20 @@ def _sketch_batches(rule: Rule):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, 2000) for i in range(0, len(batch), 2000)):
-                ids, texts = [], []
-                for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                kept, texts = [], []
+                for i, t in enumerate(part.column(3).to_pylist()):
                     u = rule.units(t)
                     if len(u) >= max(rule.run, rule.min_words):
-                        ids.append(i)
+                        kept.append(i)
                         texts.append(u if rule.kind == "chars" else " ".join(u))
-                if not ids:
+                if not kept:
                     continue
-                keys = np.frombuffer(b"".join(map(_class_key, texts)), np.int64).reshape(-1, 2)
                 got = sketches(texts, rule, total)
-                with np.errstate(over="ignore"):
-                    paths = _mix(got[:, : rule.runs] + np.arange(1, rule.runs + 1, dtype=np.uint64) * _BASE)
-                sketch = np.ascontiguousarray((got[:, rule.runs :] >> np.uint64(48)).astype(np.uint16))
+                tokens = np.ascontiguousarray((got[:, : rule.runs] >> np.uint64(32)).astype(np.uint32))
+                sketch = np.ascontiguousarray((got[:, rule.runs :] >> np.uint64(56)).astype(np.uint8))
+                rest = part.select([0, 1, 2]).take(pa.array(kept))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(ids, pa.string()),
-                        pa.array(keys[:, 0]),
-                        pa.array(keys[:, 1]),
-                        _binary(sketch.view(np.uint8), 2 * SKETCH),
-                        _binary(np.ascontiguousarray(paths).view(np.uint8), 8 * rule.runs),
-                    ],
-                    names=["id", "t1", "t2", "sketch", "paths"],
+                    [*rest.columns, _binary(sketch, SKETCH), _binary(tokens.view(np.uint8), 4 * rule.runs)], names=["id", "t1", "t2", "sketch", "tokens"]
                 )
 
     return run
@@ -173,61 +170,64 @@ def _from_binary(arr: pa.Array, kind, width: int) -> np.ndarray:
     return np.frombuffer(data, kind, count=len(arr) * width, offset=int(at)).reshape(-1, width)
 
 
-def _key_batches(rule: Rule):
-    """id and class key of every text that takes part."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, keys = [], []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                u = rule.units(t)
-                if len(u) >= max(rule.run, rule.min_words):
-                    ids.append(i)
-                    keys.append(_class_key(u if rule.kind == "chars" else " ".join(u)))
-            got = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(got[:, 0]), pa.array(got[:, 1])], names=["id", "t1", "t2"])
-
-    return run
-
-
-def _class_key(text: str) -> bytes:
-    return hashlib.blake2b(text.encode("utf-8"), digest_size=16).digest()
-
-
-def members(texts: DataFrame, rule: Rule) -> DataFrame:
-    """id and class (t1, t2: 128 bits of the text) of every text that takes part."""
-    return texts.mapInArrow(_key_batches(rule), "id string, t1 bigint, t2 bigint")
-
-
 def classes(texts: DataFrame, rule: Rule) -> DataFrame:
-    """One row per distinct text with its number rid, least id, sketch and paths; written to the shared folder."""
-    rows = texts.mapInArrow(_sketch_batches(rule), "id string, t1 bigint, t2 bigint, sketch binary, paths binary")
-    reps = rows.groupBy("t1", "t2").agg(F.min("id").alias("rep"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths"))
+    """One row per distinct text: its number rid, least id, deliveries n, sketch and sampled tokens; written to the shared folder."""
+    rows = texts.select("id", "t1", "t2", "text").mapInArrow(_sketch_batches(rule), "id string, t1 bigint, t2 bigint, sketch binary, tokens binary")
+    reps = rows.groupBy("t1", "t2").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("sketch").alias("sketch"), F.first("tokens").alias("tokens"))
     return cut_lineage(reps.withColumn("rid", F.monotonically_increasing_id()))
 
 
-def _path_batches(runs: int):
+def _paths(tokens: np.ndarray) -> np.ndarray:
+    """First-level paths: run number and token."""
+    return tokens.astype(np.uint64) | np.arange(1, tokens.shape[1] + 1, dtype=np.uint64) << np.uint64(32)
+
+
+def hot_paths(sample: pa.Table, runs: int, total: int) -> np.ndarray:
+    """Paths, and paths below them, that by the sample hold HOT_ROWS of the total classes; sorted."""
+    if not len(sample):
+        return np.zeros(0, np.uint64)
+    sample = sample.combine_chunks()
+    sketch = _from_binary(sample.column("sketch").chunk(0), np.uint8, SKETCH)
+    path = _paths(_from_binary(sample.column("tokens").chunk(0), np.uint32, runs)).reshape(-1)
+    row = np.repeat(np.arange(len(sketch)), runs)
+    hot, least = [], max(HOT_SEEN, HOT_ROWS * len(sketch) / max(1, total))
+    for _ in range(DEPTH):
+        keys, counts = np.unique(path, return_counts=True)
+        new = keys[counts >= least]
+        if not len(new):
+            break
+        hot.append(new)
+        inside = np.isin(path, new)
+        row = row[inside]
+        path = _children(path[inside], sketch[row]).reshape(-1)
+        row = np.repeat(row, CHILDREN)
+    return np.unique(np.concatenate(hot)) if hot else np.zeros(0, np.uint64)
+
+
+def _path_batches(runs: int, hot: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if len(batch):
-                paths = _from_binary(batch.column(2), np.int64, runs)
-                at = np.repeat(np.arange(len(batch)), runs)
-                rest = batch.select([0, 1]).take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([pa.array(paths.reshape(-1)), *rest.columns], names=["path", "rid", "sketch"])
+            if not len(batch):
+                continue
+            sketch = _from_binary(batch.column(1), np.uint8, SKETCH)
+            path = _paths(_from_binary(batch.column(2), np.uint32, runs)).reshape(-1)
+            row = np.repeat(np.arange(len(batch)), runs)
+            done = []
+            for _ in range(DEPTH):
+                inside = np.isin(path, hot)
+                if not inside.any():
+                    break
+                done.append((path[~inside], row[~inside]))
+                row = row[inside]
+                path = _children(path[inside], sketch[row]).reshape(-1)
+                row = np.repeat(row, CHILDREN)
+            path, row = (np.concatenate(x) for x in zip(*done, (path, row)))
+            rest = batch.select([0, 1]).take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), *rest.columns], names=["path", "rid", "sketch"])
 
     return run
 
 
-def _child_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of hot paths, each under CHILDREN paths that its own sketch chooses."""
-    for batch in batches:
-        if len(batch):
-            path = batch.column(0).to_numpy().view(np.uint64)
-            child = _children(path, _from_binary(batch.column(2), np.uint16, SKETCH))
-            rest = batch.select([1, 2]).take(pa.array(np.repeat(np.arange(len(batch)), CHILDREN)))
-            yield pa.RecordBatch.from_arrays([pa.array(child.reshape(-1).view(np.int64)), *rest.columns], names=["path", "rid", "sketch"])
-
-
 def _children(path: np.ndarray, sketch: np.ndarray) -> np.ndarray:
     """Child paths: the positions sampled depend on the path alone, the branch on the member's token there."""
     out = np.empty((len(path), CHILDREN), np.uint64)
@@ -238,47 +238,24 @@ def _children(path: np.ndarray, sketch: np.ndarray) -> np.ndarray:
     return out
 
 
-def _spread_hot(paths: DataFrame, kinds: str) -> DataFrame:
-    """Moves rows of hot path keys to child paths; repeated while hot keys remain."""
-    done = None
-    for _ in range(HOT_ROUNDS):
-        hot = paths.stat.freqItems(["path"], HOT_SHARE).first()[0]
-        # the pass gives a superset; count those few keys exactly
-        if not hot:
-            break
-        total = paths.count()
-        counts = paths.where(F.col("path").isin(hot)).groupBy("path").count().where(F.col("count") > max(2000, HOT_SHARE * total))
-        hot = [r[0] for r in counts.select("path").collect()]
-        if not hot:
-            break
-        cold = paths.where(~F.col("path").isin(hot))
-        done = cold if done is None else done.unionByName(cold)
-        paths = paths.where(F.col("path").isin(hot)).mapInArrow(_child_batches, kinds)
-    return paths if done is None else done.unionByName(paths)
-
+def _alike(sketch: np.ndarray, a: np.ndarray, b: np.ndarray, shared: int) -> np.ndarray:
+    return (sketch[a] == sketch[b]).sum(1) >= shared
 
-def _alike(sketch: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    shared = np.zeros(len(a), np.uint8)
-    for k in range(SKETCH):
-        col = sketch[:, k]
-        shared += col[a] == col[b]
-    return shared >= SHARED
 
-
-def _pairs_in_groups(order: np.ndarray, group: np.ndarray, sketch: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _pairs_in_groups(order: np.ndarray, group: np.ndarray, sketch: np.ndarray, shared: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of neighbours at each distance within equal group numbers; order: row numbers sorted by group."""
     step, at = 1, np.arange(len(order))
     while len(at):
         at = at[at + step < len(order)]
         at = at[group[at] == group[at + step]]
-        for k in range(0, len(at), 1 << 20):
-            a, b = order[at[k : k + (1 << 20)]], order[at[k : k + (1 << 20)] + step]
-            ok = _alike(sketch, a, b)
+        for k in range(0, len(at), 1 << 17):
+            a, b = order[at[k : k + (1 << 17)]], order[at[k : k + (1 << 17)] + step]
+            ok = _alike(sketch, a, b, shared)
             yield a[ok], b[ok]
         step += 1
 
 
-def candidate_pairs(path: np.ndarray, sketch: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def candidate_pairs(path: np.ndarray, sketch: np.ndarray, shared: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows that meet in a small bucket; large buckets are split again by sampled tokens."""
     rows, path = np.arange(len(path)), path.view(np.uint64)
     for depth in range(DEPTH + 1):
@@ -288,7 +265,7 @@ def candidate_pairs(path: np.ndarray, sketch: np.ndarray) -> Iterator[tuple[np.n
         group = np.cumsum(first) - 1
         size = np.bincount(group)[group]
         take = (size > 1) & ((size <= SMALL) | (depth == DEPTH))
-        yield from _pairs_in_groups(rows[take], group[take], sketch)
+        yield from _pairs_in_groups(rows[take], group[take], sketch, shared)
         large = (size > SMALL) & (depth < DEPTH)
         if not large.any():
             return
@@ -297,41 +274,45 @@ def candidate_pairs(path: np.ndarray, sketch: np.ndarray) -> Iterator[tuple[np.n
         rows = np.repeat(rows, CHILDREN)
 
 
-def _candidate_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _candidate_batches(shared: int):
     """Rows arrive sorted by path; whole groups are handled, the last one waits for the next batch."""
-    waiting: list[tuple[np.ndarray, ...]] = []
-    held = 0
-
     def pairs(path, rid, sketch):
-        for a, b in candidate_pairs(path, sketch):
+        for a, b in candidate_pairs(path, sketch, shared):
             a, b = np.minimum(rid[a], rid[b]), np.maximum(rid[a], rid[b])
             keep = a != b
             if keep.any():
                 yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
 
-    for batch in batches:
-        if not len(batch):
-            continue
-        path = batch.column(0).to_numpy()
-        waiting.append((path, batch.column(1).to_numpy(), _from_binary(batch.column(2), np.uint16, SKETCH)))
-        held += len(path)
-        if held < 50_000 or path[0] == path[-1]:
-            continue
-        path, rid, sketch = (np.concatenate(x) for x in zip(*waiting))
-        cut = int(np.searchsorted(path, path[-1]))
-        yield from pairs(path[:cut], rid[:cut], sketch[:cut])
-        waiting, held = [(path[cut:], rid[cut:], sketch[cut:])], len(path) - cut
-    if waiting:
-        yield from pairs(*(np.concatenate(x) for x in zip(*waiting)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[tuple[np.ndarray, ...]] = []
+        held = 0
+        for batch in batches:
+            if not len(batch):
+                continue
+            path = batch.column(0).to_numpy()
+            waiting.append((path, batch.column(1).to_numpy(), _from_binary(batch.column(2), np.uint8, SKETCH)))
+            held += len(path)
+            if held < 50_000 or path[0] == path[-1]:
+                continue
+            path, rid, sketch = (np.concatenate(x) for x in zip(*waiting))
+            cut = int(np.searchsorted(path, path[-1]))
+            yield from pairs(path[:cut], rid[:cut], sketch[:cut])
+            waiting, held = [(path[cut:], rid[cut:], sketch[cut:])], len(path) - cut
+        if waiting:
+            yield from pairs(*(np.concatenate(x) for x in zip(*waiting)))
+
+    return run
 
 
 def candidates(reps: DataFrame, rule: Rule) -> DataFrame:
     """Pairs a < b of class numbers that met in a small bucket of some run and are alike on their sketches."""
     kinds = "path bigint, rid bigint, sketch binary"
-    paths = reps.select("rid", "sketch", "paths").mapInArrow(_path_batches(rule.runs), kinds)
-    paths = _spread_hot(paths, kinds)
+    total = reps.count()
+    near = F.pmod(F.xxhash64("rid"), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, SAMPLE / max(1, total))))
+    hot = hot_paths(reps.where(near).select("sketch", "tokens").limit(2 * SAMPLE).toArrow(), rule.runs, total)
+    paths = reps.select("rid", "sketch", "tokens").mapInArrow(_path_batches(rule.runs, hot), kinds)
     met = paths.repartition("path").sortWithinPartitions("path")
-    return met.mapInArrow(_candidate_batches, "a bigint, b bigint").distinct()
+    return met.mapInArrow(_candidate_batches(rule.shared), "a bigint, b bigint").distinct()
 
 
 def _verify_batches(rule: Rule):
@@ -354,20 +335,22 @@ def _verify_batches(rule: Rule):
 def similar_classes(texts: DataFrame, reps: DataFrame, rule: Rule) -> DataFrame:
     """Pairs of class numbers whose exact similarity reaches the threshold.
 
-    The candidates' texts are fetched by the id of the class's representative: one shuffle of the text
-    column, after which only texts of candidates move.  A representative delivered with several texts
-    is checked with each, so a class is linked only by a text that it was made of.
+    The candidates' texts are fetched by the id and class of each representative: one shuffle of the text
+    column serves both sides, and besides it one text of each candidate pair moves.
     """
-    ends = candidates(reps, rule).select("a", "b", F.posexplode(F.array("a", "b")).alias("side", "rid"))
-    ends = ends.join(reps.select("rid", "rep", "t1"), "rid")
-    source = texts.select(F.col("id").alias("rep"), "text").distinct() if rule.kind == "chars" else texts.select(F.col("id").alias("rep"), "text")
-    got = ends.join(source, "rep").groupBy("a", "b")
-    both = got.agg(F.max(F.when(F.col("side") == 0, F.col("text"))).alias("x"), F.max(F.when(F.col("side") == 1, F.col("text"))).alias("y"))
-    return both.where("x IS NOT NULL AND y IS NOT NULL").mapInArrow(_verify_batches(rule), "a bigint, b bigint, similarity double")
+    pairs = candidates(reps, rule)
+    for side in "ab":
+        pairs = pairs.join(reps.select(F.col("rid").alias(side), F.col("rep").alias(f"r{side}"), F.col("t1").alias(f"t{side}")), side)
+    source = texts.select("id", "t1", "text")
+    pairs = pairs.join(source.select(F.col("id").alias("ra"), F.col("t1").alias("ta"), F.col("text").alias("x")), ["ra", "ta"])
+    pairs = pairs.join(source.select(F.col("id").alias("rb"), F.col("t1").alias("tb"), F.col("text").alias("y")), ["rb", "tb"])
+    return pairs.select("a", "b", "x", "y").mapInArrow(_verify_batches(rule), "a bigint, b bigint, similarity double").distinct()
 
 
 def _texts(df: DataFrame, key: str, text: str) -> DataFrame:
-    return df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("string").alias("id"), F.col(text).alias("text"))
+    """id, text, and the text's class: 128 bits of it."""
+    rows = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("string").alias("id"), F.col(text).alias("text"))
+    return rows.withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(7), "text")})
 
 
 def similar_pairs(df: DataFrame, key: str, text: str, rule: Rule) -> DataFrame:
@@ -375,14 +358,12 @@ def similar_pairs(df: DataFrame, key: str, text: str, rule: Rule) -> DataFrame:
     texts = _texts(df, key, text)
     reps = classes(texts, rule)
     linked = similar_classes(texts, reps, rule)
-    # a class with a link, or with several ids, is wanted; the others' members never move beyond this join
-    keyed = linked.join(reps.select(F.col("rid").alias("a"), F.col("t1").alias("a1"), F.col("t2").alias("a2")), "a")
-    keyed = keyed.join(reps.select(F.col("rid").alias("b"), F.col("t1").alias("b1"), F.col("t2").alias("b2")), "b")
-    m = members(texts, rule)
-    got = m.groupBy("t1", "t2").agg(F.collect_set("id").alias("ids"))
-    left = keyed.join(got.select(F.col("t1").alias("a1"), F.col("t2").alias("a2"), F.col("ids").alias("xs")), ["a1", "a2"])
-    ab = left.join(got.select(F.col("t1").alias("b1"), F.col("t2").alias("b2"), F.col("ids").alias("ys")), ["b1", "b2"])
-    ab = ab.select(F.explode("xs").alias("x"), "ys").select("x", F.explode("ys").alias("y"))
-    same = got.where(F.size("ids") > 1).select(F.explode("ids").alias("x"), "ids").select("x", F.explode("ids").alias("y")).where("x < y")
+    # most classes have one delivery, whose id stands with the class; only the others look their ids up
+    several = reps.where("n > 1").select("rid", "t1", "t2")
+    copies = texts.select("id", "t1", "t2").join(several, ["t1", "t2"]).select("rid", "id").distinct()
+    ids = reps.where("n = 1").select("rid", F.col("rep").alias("id")).unionByName(copies)
+    ab = linked.join(ids.select(F.col("rid").alias("a"), F.col("id").alias("x")), "a")
+    ab = ab.join(ids.select(F.col("rid").alias("b"), F.col("id").alias("y")), "b").select("x", "y")
+    same = copies.select("rid", F.col("id").alias("x")).join(copies.select("rid", F.col("id").alias("y")), "rid").where("x < y").select("x", "y")
     both = ab.unionByName(same).where("x <> y")
     return both.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
