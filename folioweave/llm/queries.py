@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import table
-from . import bpe, forest, neardup, split, standins
+from . import bpe, forest, neardup, scanrepair, split, standins
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -32,6 +32,14 @@ def p2_normalised(spark: SparkSession, d: str) -> DataFrame:
     return _normalised(spark, d).select("src", "rec_id", "norm_text").distinct()
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return scanrepair.found(table(spark, d, "legal_chunks"), table(spark, d, "page_content"), table(spark, d, "extracted_spans"))
+
+
+def p3_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return scanrepair.repaired(table(spark, d, "legal_chunks"), table(spark, d, "page_content"), table(spark, d, "extracted_spans"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return forest.neighbour_pairs(table(spark, d, "legal_chunks"), "id", "embedding")
 
@@ -51,7 +59,7 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_normalised, p4_found, p4_neighbours, p6_found, p7_ids)
+    f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_normalised, p3_found, p3_repaired, p4_found, p4_neighbours, p6_found, p7_ids)
 }
 
 ORACLE: dict[str, str] = {
