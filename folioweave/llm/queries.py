@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import table
-from . import bpe, forest, neardup, scanrepair, split, standins
+from . import bpe, forest, mixture, neardup, reading, scanrepair, split, standins
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -58,8 +58,26 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, d, "documents"))
 
 
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.shares(*mixture.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets")))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return reading.reading_levels(table(spark, d, "documents"), table(spark, d, "reading_samples")).select("doc_id", "reading_level")
+
+
+def p9_profile(spark: SparkSession, d: str) -> DataFrame:
+    got = reading.reading_levels(table(spark, d, "documents"), table(spark, d, "reading_samples"))
+    means = [F.round(F.avg(c), 4).alias(f"mean_{c}") for c in reading.FEATURES[:7]]
+    return got.groupBy("reading_level").agg(F.count("*").alias("documents"), *means)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_normalised, p3_found, p3_repaired, p4_found, p4_neighbours, p6_found, p7_ids)
+    f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_normalised, p3_found, p3_repaired, p4_found, p4_neighbours, p6_found, p7_ids, p8_mix, p8_shares, p9_found, p9_profile)
 }
 
 ORACLE: dict[str, str] = {
