@@ -1,0 +1,109 @@
+"""Chunks of bounded size from pages: the sequential fold of segments, per document.
+
+The fold depends on what came before, so it runs in Python over a document's segments as they stream by in order;
+only the open buffer is held, never a whole document.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+LONGEST, LEAST = 2000, 25
+#: Where a long text may be cut, best first.
+_CUTS = [re.compile(r"\n\s*\n"), re.compile(r"\n"), re.compile(r"(?<=[.;:!?])\s"), re.compile(r"\s")]
+#: Small words that shouldn't end a part.
+_TAIL = re.compile(r"\s(?:de|del|la|el|los|las|en|y|o|a|al|que|se|con|por|su)$", re.I)
+
+
+def split_by_size(text: str, most: int = LONGEST, least: int = LEAST) -> list[str]:
+    """Parts of at most `most` characters: cut at the last paragraph, line, sentence or blank within the limit, else hard."""
+    parts, rest = [], text.strip()
+    while len(rest) > most:
+        cut = 0
+        for pattern in _CUTS:
+            found = [m.end() for m in pattern.finditer(rest, 0, most) if m.end() >= least]
+            if found:
+                cut = found[-1]
+                while (m := _TAIL.search(rest[:cut].rstrip())) and m.start() >= least and pattern is _CUTS[3]:
+                    cut = m.start() + 1
+                break
+        cut = cut or most
+        parts.append(rest[:cut].strip())
+        rest = rest[cut:].strip()
+    if rest:
+        if parts and len(rest) < least and len(parts[-1]) + len(rest) + 1 <= most:
+            parts[-1] = f"{parts[-1]} {rest}"
+        else:
+            parts.append(rest)
+    return [p for p in parts if p]
+
+
+_OUT = pa.schema([("doc_id", pa.string()), ("chunk_no", pa.int32()), ("chunk_type", pa.string()), ("article_ref", pa.string()), ("start_page", pa.int32()), ("end_page", pa.int32()), ("text", pa.string())])
+_ROWS = "doc_id string, chunk_no int, chunk_type string, article_ref string, start_page int, end_page int, text string"
+
+
+class _Fold:
+    """The open buffer of one document."""
+
+    def __init__(self, doc: str, most: int):
+        self.doc, self.most, self.no = doc, most, 0
+        self.text, self.kind, self.ref, self.first, self.last = "", "generic", None, 0, 0
+        self.rows: list[tuple] = []
+
+    def flush(self) -> None:
+        if self.text.strip():
+            for part in split_by_size(self.text, self.most):
+                self.no += 1
+                self.rows.append((self.doc, self.no, self.kind, self.ref, self.first, self.last, part))
+        self.text = ""
+
+    def add(self, page: int, kind: str, ref: str | None, text: str) -> None:
+        new_ref = ref is not None and ref != self.ref
+        if self.text and (new_ref or kind == "transitorio" or kind in ("book", "title", "chapter", "section", "annex") or len(self.text) + len(text) + 1 > self.most):
+            self.flush()
+        if not self.text:
+            self.kind, self.first = kind, page
+            self.ref = ref if ref is not None or kind != "generic" else self.ref
+            self.text = text
+        else:
+            self.text += "\n" + text
+        self.last = page
+
+
+def _fold_batches(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fold: _Fold | None = None
+
+        def drain(f: _Fold) -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*f.rows), _OUT)], schema=_OUT)
+            f.rows = []
+            return out
+
+        for batch in batches:
+            for doc, page, kind, ref, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if fold is None or fold.doc != doc:
+                    if fold is not None:
+                        fold.flush()
+                        if fold.rows:
+                            yield drain(fold)
+                    fold = _Fold(doc, most)
+                fold.add(page, kind, ref, text)
+                if len(fold.rows) > 2000:
+                    yield drain(fold)
+        if fold is not None:
+            fold.flush()
+            if fold.rows:
+                yield drain(fold)
+
+    return run
+
+
+def bounded_chunks(segments: DataFrame, most: int = LONGEST) -> DataFrame:
+    """Chunks of each document in order, numbered from 1."""
+    rows = segments.select("doc_id", "page_number", "type", "ref", "text", "seg_no").repartition("doc_id").sortWithinPartitions("doc_id", "page_number", "seg_no")
+    return rows.select("doc_id", "page_number", "type", "ref", "text").mapInArrow(_fold_batches(most), _ROWS)

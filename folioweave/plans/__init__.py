@@ -5,7 +5,7 @@ from __future__ import annotations
 
 def load():
     """(queries, SQL) of all plan modules."""
-    from . import outline, registry
+    from . import index, layout, lines, outline, quality, registry
 
-    assert outline
+    assert all((index, layout, lines, outline, quality))
     return dict(registry.QUERIES), dict(registry.ORACLE)
