@@ -16,6 +16,7 @@ without any of the features' words; case, line ends and list marks have no influ
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -40,22 +41,29 @@ CONNECTIVES = set(
     that when although while if because unless where whereas provided notwithstanding whether which whose so save having being without
     prejudice regard therefore hereby thereof understood insofar far under within""".split()
 )
-_MARK = re.compile(r"(?:^|(?<=\n))[ \t]*(?:(?:art[íi]culo|section|secci[óo]n)\s+\d+\s*\.?\s*[-–]?\s*|[-•*·]\s+|\d+[.)]\s+|[ivxlc]+[.)]\s+|[a-z]\)\s+)")
-_END = re.compile(r"[.!?…]+(?=\s|$)|\n\s*(?=\S)")
+_MARK = re.compile(r"(?:(?:art[íi]culo|section|secci[óo]n)\s+\d+\s*\.?\s*[-–]?\s*|[-•*·]\s+|\d+[.)]\s+|[ivxlc]+[.)]\s+|[a-z]\)\s+)", re.I)
+_END = re.compile(r"[.!?…]+(?=\s)|\n")
 _WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
 FEATURES = ["diversity", "rarity", "connectives", "clauses", "sentence", "word", "longest", "grade", "english"]
 _ENGLISH = {"the", "of", "and", "shall", "to", "is", "by", "in", "we", "you", "they", "it"}
 _SPANISH = {"el", "la", "de", "y", "en", "los", "que", "del", "un", "una", "su", "al"}
 
 
-_WRAP = re.compile(r"(?<=[^\s.!?])[^\S\n]*\n[^\S\n]*(?=[a-záéíóúñü])")
-_BLANKS = re.compile(r"[^\S\n]{2,}")
-
-
 def prepared(text: str) -> str:
     """Lower case, without list marks; lines wrapped within a sentence are joined, runs of blanks are one."""
-    text = _BLANKS.sub(" ", _WRAP.sub(" ", text.replace("\r\n", "\n").replace("\r", "\n")))
-    return _MARK.sub("", text.lower())
+    out: list[str] = []
+    for line in text.replace("\r", "\n").split("\n"):
+        line = " ".join(line.split())
+        if not line:
+            continue
+        if out and line[0].islower() and out[-1][-1] not in ".!?…":
+            out[-1] += " " + line
+            continue
+        if m := _MARK.match(line):
+            line = line[m.end() :]
+        if line:
+            out.append(line)
+    return "\n".join(out).lower()
 
 
 class Measure:
@@ -63,40 +71,63 @@ class Measure:
 
     def __init__(self, surprisal: dict[str, float], unknown: float, grade: dict[str, float]):
         self.surprisal, self.unknown, self.grade = surprisal, unknown, grade
+        self.facts: dict[str, tuple] = {}
+
+    def fact(self, token: str) -> tuple:
+        """Of a token's word: 1 (0 without letters), surprisal, connective, grade, 1 where graded, length, English, Spanish; remembered (emptied when full)."""
+        if len(self.facts) > 500_000:
+            self.facts.clear()
+        m = _WORD.search(token)
+        w = m[0] if m else ""
+        g = self.grade.get(w)
+        got = (1, self.surprisal.get(w, self.unknown), w in CONNECTIVES, g or 0.0, g is not None, len(w), w in _ENGLISH, w in _SPANISH) if w else (0,) * 8
+        self.facts[token] = got
+        return got
 
     def row(self, text: str) -> list[float]:
         low = prepared(text)
-        words = _WORD.findall(low)
-        if not words:
+        tokens = low.split()
+        known = self.facts
+        n = rare = linked = graded = rated = letters = en = es = kinds = 0
+        for t, c in Counter(tokens).items():
+            one, r, l, g, k, size, e, s = known.get(t) or self.fact(t)
+            if one:
+                kinds += 1
+                n += c
+                rare += c * r
+                letters += c * size
+                if l:
+                    linked += c
+                if k:
+                    graded += c * g
+                    rated += c
+                if e:
+                    en += c
+                if s:
+                    es += c
+        if not n:
             return [1.0, self.unknown, 0.0, 0.0, 0.0, 0.0, 0.0, 3.0, 0.0]
-        n = len(words)
-        ends = [m.end() for m in _END.finditer(low)]
-        at = np.array([0, *ends, len(low)])
-        sizes = np.diff(at)
-        sizes = sizes[sizes > 6]
+        sizes, at = [], 0
+        for m in _END.finditer(low):
+            end = m.end()
+            if end - at > 6:
+                sizes.append(end - at)
+            at = end
+        if len(low) - at > 6:
+            sizes.append(len(low) - at)
+        sizes.sort()
         sentences = max(1, len(sizes))
-        blocks = [len(set(words[i : i + BLOCK])) / BLOCK for i in range(0, n - BLOCK + 1, BLOCK)] or [len(set(words)) / n]
-        counts = Counter(words)
-        get, grade = self.surprisal.get, self.grade.get
-        rare = known = linked = graded = 0.0
-        for w, c in counts.items():
-            rare += c * get(w, self.unknown)
-            linked += c * (w in CONNECTIVES)
-            if (g := grade(w)) is not None:
-                graded += c * g
-                known += c
-        en = sum(counts[w] for w in _ENGLISH)
-        es = sum(counts[w] for w in _SPANISH)
+        blocks = [len(set(tokens[i : i + BLOCK])) for i in range(0, len(tokens) - BLOCK + 1, BLOCK)]
         marks = low.count(",") + low.count(";")
         return [
-            float(np.mean(blocks)),
+            sum(blocks) / (BLOCK * len(blocks)) if blocks else kinds / n,
             rare / n,
             linked / n,
-            np.log1p((marks + linked) / sentences),
-            np.log1p(n / sentences),
-            sum(map(len, words)) / n,
-            np.log1p(float(np.percentile(sizes, 90)) if len(sizes) else 0.0),
-            graded / known if known else 3.0,
+            math.log1p((marks + linked) / sentences),
+            math.log1p(n / sentences),
+            letters / n,
+            math.log1p(sizes[int(0.9 * (len(sizes) - 1))]) if sizes else 0.0,
+            graded / rated if rated else 3.0,
             float(en > es),
         ]
 
