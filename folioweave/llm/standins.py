@@ -141,6 +141,29 @@ def _alike_places(cps: np.ndarray, off: np.ndarray, t) -> np.ndarray:
     return out
 
 
+def _apart(cps: np.ndarray, off: np.ndarray, cc: np.ndarray, keys: np.ndarray, made: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Composed letters before a mark as base and mark, so that all their marks are ordered together."""
+    order = np.argsort(made)
+    whole, parts = made[order], keys[order]
+    todo = np.zeros(len(cps), bool)
+    todo[:-1] = (cc[1:] > 0) & (cc[:-1] == 0)
+    while todo.any():
+        at = np.flatnonzero(todo)
+        slot = np.minimum(np.searchsorted(whole, cps[at]), len(whole) - 1)
+        hit = whole[slot] == cps[at]
+        at, slot = at[hit], slot[hit]
+        if not len(at):
+            break
+        size = np.ones(len(cps), np.int64)
+        size[at] = 2
+        before = np.append(0, np.cumsum(size))
+        cps, off = np.repeat(cps, size), before[off]
+        cps[before[at]], cps[before[at] + 1] = parts[slot] >> 21, parts[slot] & 0x1FFFFF
+        todo = np.zeros(len(cps), bool)
+        todo[before[at]] = True
+    return cps, off
+
+
 def _compose(cps: np.ndarray, off: np.ndarray, t) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Canonical order and composition of marks. Third result: rows in which a mark was composed or moved."""
     keys, made, ccc = t[7], t[8], t[9]
@@ -148,6 +171,9 @@ def _compose(cps: np.ndarray, off: np.ndarray, t) -> tuple[np.ndarray, np.ndarra
     cc = ccc[cps]
     if not cc.any():
         return cps, off, changed
+    given, given_off = cps, off
+    cps, off = _apart(cps, off, cc, keys, made)
+    cc = ccc[cps]
     cps, row = cps.copy(), _rows_of(off)
     while True:  # marks of a higher class go behind those of a lower one
         swap = np.flatnonzero((cc[:-1] > cc[1:]) & (cc[1:] > 0) & (row[:-1] == row[1:]))
@@ -177,7 +203,11 @@ def _compose(cps: np.ndarray, off: np.ndarray, t) -> tuple[np.ndarray, np.ndarra
         changed[row[at[hit]]] = True
         prev_class[base[~hit]] = cc[at[~hit]]
         todo = todo[~first]
-    return cps[alive], _rebuild(alive, off), changed
+    cps, off = cps[alive], _rebuild(alive, off)
+    # a row taken apart and put together again as it was
+    for i in np.flatnonzero(changed & (np.diff(off) == np.diff(given_off))):
+        changed[i] = not np.array_equal(cps[off[i] : off[i + 1]], given[given_off[i] : given_off[i + 1]])
+    return cps, off, changed
 
 
 def normalise(arr: pa.Array) -> tuple[pa.Array, np.ndarray]:
