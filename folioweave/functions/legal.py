@@ -102,13 +102,22 @@ STOP_WORDS = "a al ante bajo con contra de del desde el en entre es esta este la
 # --- Expressions ---
 
 
+#: All blanks of Unicode.
+_BLANKS = "".join(map(chr, [*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+#: How a line with legal structure may begin; any other line is generic.
+_STRUCTURED = (
+    r"(?iu)^(?:libro|t[íi]tulo|tema|cap[íi]tulo|secci[óo]n|anexo|art[íi]culo|regla|numeral|[ivx]+[.\-]|[a-z]\)|transitorio|"
+    r"primero|segundo|tercero|cuarto|quinto|sexto|s[eé]ptimo|octavo|noveno|d[eé]cimo|\[table_|\d)"
+)
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(_BLANKS))
 
 
 def squeeze(c: Column) -> Column:
     """Blanks of any kind as single spaces."""
-    return strip(F.regexp_replace(c, r"(?U)\s+", " "))
+    return strip(F.when(c.rlike(r"  |(?U)[\s&&[^ ]]"), F.regexp_replace(c, r"(?U)\s+", " ")).otherwise(c))
 
 
 def always_removed(line: Column) -> Column:
@@ -196,10 +205,10 @@ def spanish_date(c: Column) -> Column:
 
 def signature(text: Column) -> Column:
     """A line's form for finding repetitions: lower case, dates and numbers as marks, single blanks."""
-    t = F.lower(text)
-    t = F.regexp_replace(t, rf"(?U)\b\d{{1,2}}\s*(?:de\s+)?(?:{'|'.join(MONTHS)})(?:\s*(?:de|del)\s*\d{{2,4}})?\b", "<<date>>")
+    low = F.lower(text)
+    t = F.regexp_replace(low, rf"(?U)\b\d{{1,2}}\s*(?:de\s+)?(?:{'|'.join(MONTHS)})(?:\s*(?:de|del)\s*\d{{2,4}})?\b", "<<date>>")
     t = F.regexp_replace(t, r"(?U)\b(?:folio|n[uú]m(?:ero)?|no\.)?\s*\d+\b", "<<num>>")
-    return squeeze(t)
+    return squeeze(F.when(low.rlike(r"\p{Nd}"), t).otherwise(low))
 
 
 def word_count(text: Column) -> Column:
@@ -239,8 +248,11 @@ def document_title(text: Column) -> Column:
 
 
 def line_type(line: Column, before: Column, after: Column) -> Column:
-    """struct(type, ref): a line's legal structure by ordered rules, from the line and its neighbours."""
-    t, before, after = strip(line), F.coalesce(before, F.lit("")), F.coalesce(after, F.lit(""))
+    """struct(type, ref): a line's legal structure by ordered rules, from the stripped line and its neighbours.
+
+    Most lines are told generic by one pattern; give columns, not expressions, so that nothing is computed twice.
+    """
+    t, before, after = line, F.coalesce(before, F.lit("")), F.coalesce(after, F.lit(""))
     number = lambda c: strip(c).rlike(r"(?iU)^[IVX\d]+[º°o]?$")
     rest = lambda p: strip(F.regexp_replace(t, p, ""))
 
@@ -269,7 +281,7 @@ def line_type(line: Column, before: Column, after: Column) -> Column:
     generic = kind("generic")
     tag = lambda raw: F.concat(F.lit("Art. "), article_number(raw), F.lit("."))
     return (
-        F.when(t.isNull() | (F.length(t) < 5), generic)
+        F.when(t.isNull() | (F.length(t) < 5) | ~t.rlike(_STRUCTURED), generic)
         .when(t.rlike(REFORM_NOTE) | t.rlike(REFORM) | t.rlike(PAGINATION) | t.rlike(EDITORIAL_NOTE), generic)
         .when(t.rlike(BOOK), F.when(number(book_word), kind("book")).otherwise(generic))
         .when(t.rlike(TITLE), F.when(container(TITLE, 2), generic).otherwise(kind("title")))

@@ -60,15 +60,15 @@ def keep_first_headers(lines: DataFrame) -> DataFrame:
 def typed_lines(lines: DataFrame) -> DataFrame:
     """Each line with its legal type and reference, seen with the line before (over the page's edge the last line with text) and after."""
     w = Window.partitionBy(*PAGE).orderBy("line_no")
-    text = legal.strip(F.col("line"))
-    last = lines.where(text != "").groupBy(*PAGE).agg(F.max_by(text, "line_no").alias("edge"))
+    rows = lines.withColumn("t", legal.strip(F.col("line")))
+    # one row per page: its last line with text, carried to the next page
+    last = rows.groupBy(*PAGE).agg(F.max_by("t", F.when(F.col("t") != "", F.col("line_no"))).alias("edge"))
     over = Window.partitionBy("doc_id").orderBy("page_number").rowsBetween(Window.unboundedPreceding, -1)
-    pages = lines.select(*PAGE).distinct().join(last, PAGE, "left")
-    edges = pages.select(*PAGE, F.last("edge", ignorenulls=True).over(over).alias("edge"))
-    got = lines.join(edges, PAGE)
-    before = F.when(F.row_number().over(w) == 1, F.coalesce("edge", F.lit(""))).otherwise(legal.strip(F.lag("line").over(w)))
-    got = got.withColumn("before", before).withColumn("after", F.coalesce(legal.strip(F.lead("line").over(w)), F.lit("")))
-    kind = legal.line_type(F.col("line"), F.col("before"), F.col("after"))
+    edges = last.select(*PAGE, F.last("edge", ignorenulls=True).over(over).alias("edge"))
+    got = rows.join(edges, PAGE)
+    before = F.when(F.row_number().over(w) == 1, F.coalesce("edge", F.lit(""))).otherwise(F.lag("t").over(w))
+    got = got.withColumn("before", before).withColumn("after", F.coalesce(F.lead("t").over(w), F.lit("")))
+    kind = legal.line_type(F.col("t"), F.col("before"), F.col("after"))
     return got.withColumn("kind", kind).select(*PAGE, "line_no", "line", F.col("kind.type").alias("type"), F.col("kind.ref").alias("ref"))
 
 
