@@ -148,7 +148,7 @@ def word_grades(texts: list[str], levels: np.ndarray, shrink: float = 1.0) -> di
 class Ordinal:
     """Proportional odds with a ridge penalty, fitted by gradient steps with momentum."""
 
-    def fit(self, x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 3000) -> Ordinal:
+    def fit(self, x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 1200) -> Ordinal:
         self.mean, self.std = x.mean(0), x.std(0) + 1e-9
         z = (x - self.mean) / self.std
         n, k = len(y), LEVELS - 1
@@ -163,7 +163,7 @@ class Ordinal:
             g = np.concatenate([z.T @ e.sum(1) + ridge * w / n, -e.sum(0)])
             m1 = 0.9 * m1 + 0.1 * g
             m2 = 0.999 * m2 + 0.001 * g * g
-            step = 0.05 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-9)
+            step = 0.1 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-9)
             w -= step[: len(w)]
             cut = np.sort(cut - step[len(w) :])
         self.w, self.cut = w, cut
@@ -176,20 +176,22 @@ class Ordinal:
         return 1 + (self.score(x)[:, None] > self.cut).sum(1)
 
 
-def cross_validate(texts: list[str], levels: np.ndarray, surprisal: dict[str, float], unknown: float, ridge: float, folds: int = 6, seed: int = 0) -> np.ndarray:
-    """Held-out levels of the graded texts."""
+def cross_validate(texts: list[str], levels: np.ndarray, surprisal: dict[str, float], unknown: float, ridges: list[float], folds: int = 6, seed: int = 0) -> dict[float, np.ndarray]:
+    """Held-out levels of the graded texts under each penalty. A fold's features are measured once."""
     order = np.random.default_rng(seed).permutation(len(texts))
-    out = np.zeros(len(texts), int)
+    out = {r: np.zeros(len(texts), int) for r in ridges}
     for f in range(folds):
         test = order[f::folds]
         train = np.setdiff1d(order, test)
-        model, measure = train_model([texts[i] for i in train], levels[train], surprisal, unknown, ridge)
-        out[test] = model.level(np.array([measure.row(texts[i]) for i in test]))
+        rows, measure = training_rows([texts[i] for i in train], levels[train], surprisal, unknown)
+        held = np.array([measure.row(texts[i]) for i in test]).reshape(-1, len(FEATURES))
+        for r in ridges:
+            out[r][test] = Ordinal().fit(rows, levels[train], r).level(held)
     return out
 
 
-def train_model(texts: list[str], levels: np.ndarray, surprisal: dict[str, float], unknown: float, ridge: float) -> tuple[Ordinal, Measure]:
-    """The words' grades used for the regression's own rows come from the other half of the texts."""
+def training_rows(texts: list[str], levels: np.ndarray, surprisal: dict[str, float], unknown: float) -> tuple[np.ndarray, Measure]:
+    """Feature rows of the graded texts, and the measure for others. The words' grades in a row come from the other half of the texts."""
     order = np.argsort(levels, kind="stable")
     half = np.zeros(len(texts), int)
     half[order] = np.arange(len(texts)) % 2
@@ -199,7 +201,7 @@ def train_model(texts: list[str], levels: np.ndarray, surprisal: dict[str, float
         measure = Measure(surprisal, unknown, word_grades([texts[i] for i in other], levels[other]))
         for i in np.flatnonzero(half == h):
             rows[i] = measure.row(texts[i])
-    return Ordinal().fit(rows, levels, ridge), Measure(surprisal, unknown, word_grades(texts, levels))
+    return rows, Measure(surprisal, unknown, word_grades(texts, levels))
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,8 +232,10 @@ def fitted(samples: DataFrame, documents: DataFrame, text: str = "text") -> tupl
     if not len(texts):
         raise ValueError("no graded texts")
     surprisal, unknown = corpus_surprisal(documents, text)
-    best = min((float(np.mean(np.abs(cross_validate(texts, levels, surprisal, unknown, r) - levels))), -r) for r in (0.3, 1.0, 3.0))
-    return train_model(texts, levels, surprisal, unknown, -best[1])
+    held = cross_validate(texts, levels, surprisal, unknown, [0.3, 1.0, 3.0])
+    ridge = min(held, key=lambda r: (float(np.mean(np.abs(held[r] - levels))), -r))
+    rows, measure = training_rows(texts, levels, surprisal, unknown)
+    return Ordinal().fit(rows, levels, ridge), measure
 
 
 def _level_batches(model: Ordinal, measure: Measure):
