@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from . import arrays
 
 #: One-byte sketch positions carried along.
 SKETCH = 40
@@ -138,7 +139,7 @@ def _sketch_batches(rule: Rule):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(i, 2000) for i in range(0, len(batch), 2000)):
+            for part in arrays.slices(batch, 3, 2_000_000):
                 kept, texts = [], []
                 for i, t in enumerate(part.column(3).to_pylist()):
                     u = rule.units(t)

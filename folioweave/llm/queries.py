@@ -85,6 +85,6 @@ ORACLE: dict[str, str] = {
         WITH lim AS (SELECT lower(trim(chunktype)) AS k, min(max_chars) AS m FROM split_limits GROUP BY 1)
         SELECT DISTINCT c.id AS chunk_id
         FROM legal_chunks c LEFT JOIN lim l ON lower(trim(c.chunkType)) = l.k
-        WHERE length(c.text) > coalesce(l.m, (SELECT m FROM lim WHERE k = 'generic'))
+        WHERE c.id IS NOT NULL AND length(c.text) > coalesce(l.m, (SELECT m FROM lim WHERE k = 'generic'))
     """,
 }

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from . import arrays
 
 MOST_GRADED = 5000
 KNOWN_SHARE = 2e-6
@@ -207,7 +208,7 @@ def training_rows(texts: list[str], levels: np.ndarray, surprisal: dict[str, flo
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     strip = ".,;:!?()[]\"'«»“”-–—¡¿…"
     for batch in batches:
-        for part in (batch.slice(i, 4000) for i in range(0, len(batch), 4000)):
+        for part in arrays.slices(batch, 0):
             tokens = Counter("\n".join(part.column(0).to_pylist()).lower().split())
             words: Counter = Counter()
             for t, n in tokens.items():
@@ -241,7 +242,7 @@ def fitted(samples: DataFrame, documents: DataFrame, text: str = "text") -> tupl
 def _level_batches(model: Ordinal, measure: Measure):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(i, 1000) for i in range(0, len(batch), 1000)):
+            for part in arrays.slices(batch, 1):
                 rows = np.array([measure.row(t) for t in part.column(1).to_pylist()]).reshape(-1, len(FEATURES))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(model.level(rows).astype(np.int32)), pa.array(model.score(rows)), *(pa.array(c) for c in rows[:, :7].T)],

@@ -5,7 +5,7 @@ longer than limit minus overlap are cut again; then each piece but the first is
 overlap characters of what stands before it.  So every piece holds at most limit characters, and
 the bodies without overlaps join to the text as stored.
 
-Defined results: null texts give no piece; blank and short texts aren't cut; an overlap of half the limit or more is taken as half the limit less one;
+Defined results: null ids and null texts give no piece; blank and short texts aren't cut; an overlap of half the limit or more is taken as half the limit less one;
 a limit below 2 is taken as 2; without any boundary the cut falls in the middle, but never before a
 combining mark.  Several limit rows for one type: the smallest limit holds.  A type that is null or
 unlisted takes the generic row; without a generic row such texts are not cut.
@@ -120,7 +120,7 @@ def split_oversized(chunks: DataFrame, limits: DataFrame) -> DataFrame:
     Texts within the limit never leave the JVM: the length filter runs before Python.  Only the oversized
     rows are shuffled, to count a chunk delivered twice once (its longest text, then the greatest text).
     """
-    long = with_limits(chunks, limits).where(F.length("text") > F.col("max_chars"))
+    long = with_limits(chunks, limits).where(F.col("id").isNotNull() & (F.length("text") > F.col("max_chars")))
     w = Window.partitionBy("id").orderBy(F.length("text").desc(), F.col("text").desc(), F.col("chunkType").desc_nulls_last(), F.col("articleRef").desc_nulls_last())
     one = long.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
     return one.mapInArrow(_split_batches, _ROWS)

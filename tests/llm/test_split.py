@@ -45,9 +45,9 @@ def test_operator(spark):
         (None, "article", None, "z" * 90, "x", "y"),
     ]
     df = spark.createDataFrame(rows, CHUNKS)
-    got = S.split_oversized(df.where("id IS NOT NULL"), limits).collect()
+    got = S.split_oversized(df, limits).collect()
     assert {r.chunk_id for r in got} == {"a", "b"} and len(got) == 4
     assert [r.chunkType for r in got if r.chunk_id == "a"] == [" ARTICLE "] * 2
-    assert {r.chunk_id for r in S.oversized_ids(df, limits).collect()} == {"a", "b", None}
+    assert {r.chunk_id for r in S.oversized_ids(df, limits).collect()} == {"a", "b"}
     assert S.split_oversized(df, limits.limit(0)).count() == 0
     assert S.split_oversized(df.limit(0), limits).count() == 0
