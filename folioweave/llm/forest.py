@@ -28,11 +28,11 @@ from pyspark.sql import functions as F
 
 #: Trees, candidates on each side that every tree ascends to, rows compared at once.
 TREES, REACH, BLOCK = 4, 384, 512
-PIVOTS = (1024, 256)
+PIVOTS = (2048, 64)
 #: Expected rows of the sample for pivots and bounds; at most twice as many are taken.
 SAMPLE = 8192
 RANGE_ROWS = 40_000
-DIGIT_BITS, PLANE_BITS, KEY_BITS = (10, 8), 34, 11
+DIGIT_BITS, PLANE_BITS, KEY_BITS = (11, 6), 35, 11
 
 
 @dataclass

@@ -354,15 +354,53 @@ def _texts(df: DataFrame, key: str, text: str) -> DataFrame:
     return rows.withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(7), "text")})
 
 
+def _ids(texts: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rid and id of every id that takes part, and of the ids of classes with several deliveries.
+
+    Most classes have one delivery, whose id stands with the class; only the others look their ids up.
+    """
+    several = reps.where("n > 1").select("rid", "t1", "t2")
+    copies = texts.select("id", "t1", "t2").join(several, ["t1", "t2"]).select("rid", "id").distinct()
+    return reps.where("n = 1").select("rid", F.col("rep").alias("id")).unionByName(copies), copies
+
+
+def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
+    """v, label: the least vertex of each vertex's component. Labels go along edges and jump to their label's label, so rounds are few; each is written to the shared folder."""
+    both = cut_lineage(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = cut_lineage(both.groupBy(F.col("a").alias("v")).agg(F.least(F.first("a"), F.min("b")).alias("label")))
+    for _ in range(rounds):
+        told = both.join(labels.select(F.col("v").alias("b"), "label"), "b").groupBy(F.col("a").alias("v")).agg(F.min("label").alias("told"))
+        jump = labels.select(F.col("v").alias("label"), F.col("label").alias("jump"))
+        new = labels.join(told, "v", "left").join(jump, "label", "left")
+        new = cut_lineage(new.select("v", F.least("label", "told", "jump").alias("label"), F.col("label").alias("old")))
+        labels = new.select("v", "label")
+        if new.where("label < old").limit(1).count() == 0:
+            break
+    return labels
+
+
+def groups(df: DataFrame, key: str, text: str, rule: Rule) -> DataFrame:
+    """id, group_id (the least id of its group, its own where it stands alone) and links, the number of other ids whose texts are alike: one row per id that takes part."""
+    texts = _texts(df, key, text)
+    reps = classes(texts, rule)
+    linked = cut_lineage(similar_classes(texts, reps, rule).select("a", "b"))
+    ids, _ = _ids(texts, reps)
+    size = ids.groupBy("rid").agg(F.count("*").alias("size"))
+    ends = linked.unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = ends.join(size.select(F.col("rid").alias("b"), "size"), "b").groupBy(F.col("a").alias("rid")).agg(F.sum("size").alias("others"))
+    label = components(linked).select(F.col("v").alias("rid"), "label")
+    rows = ids.join(size, "rid").join(near, "rid", "left").join(label, "rid", "left").withColumn("label", F.coalesce("label", "rid"))
+    first = rows.groupBy("label").agg(F.min("id").alias("group_id"))
+    got = rows.join(first, "label").select("id", "group_id", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
+    return got.groupBy("id").agg(F.min("group_id").alias("group_id"), F.sum("links").alias("links"))
+
+
 def similar_pairs(df: DataFrame, key: str, text: str, rule: Rule) -> DataFrame:
     """id_a < id_b: every pair of ids whose texts are alike, copies included."""
     texts = _texts(df, key, text)
     reps = classes(texts, rule)
     linked = similar_classes(texts, reps, rule)
-    # most classes have one delivery, whose id stands with the class; only the others look their ids up
-    several = reps.where("n > 1").select("rid", "t1", "t2")
-    copies = texts.select("id", "t1", "t2").join(several, ["t1", "t2"]).select("rid", "id").distinct()
-    ids = reps.where("n = 1").select("rid", F.col("rep").alias("id")).unionByName(copies)
+    ids, copies = _ids(texts, reps)
     ab = linked.join(ids.select(F.col("rid").alias("a"), F.col("id").alias("x")), "a")
     ab = ab.join(ids.select(F.col("rid").alias("b"), F.col("id").alias("y")), "b").select("x", "y")
     same = copies.select("rid", F.col("id").alias("x")).join(copies.select("rid", F.col("id").alias("y")), "rid").where("x < y").select("x", "y")

@@ -54,6 +54,12 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return chunks.select(F.lit("chunk").alias("src"), "id_a", "id_b").unionByName(titles.select(F.lit("document").alias("src"), "id_a", "id_b"))
 
 
+def p6_groups(spark: SparkSession, d: str) -> DataFrame:
+    chunks = neardup.groups(table(spark, d, "legal_chunks"), "id", "text", neardup.CHUNK_RULE)
+    titles = neardup.groups(table(spark, d, "legal_documents"), "id", "title", neardup.TITLE_RULE)
+    return chunks.select(F.lit("chunk").alias("src"), "*").unionByName(titles.select(F.lit("document").alias("src"), "*"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, d, "documents"))
 
@@ -77,7 +83,7 @@ def p9_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_normalised, p3_found, p3_repaired, p4_found, p4_neighbours, p6_found, p7_ids, p8_mix, p8_shares, p9_found, p9_profile)
+    f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_normalised, p3_found, p3_repaired, p4_found, p4_neighbours, p6_found, p6_groups, p7_ids, p8_mix, p8_shares, p9_found, p9_profile)
 }
 
 ORACLE: dict[str, str] = {

@@ -59,3 +59,28 @@ def test_hot_paths_change_nothing(spark, monkeypatch):
     got = {(r.id_a, r.id_b) for r in N.similar_pairs(df, "id", "text", N.CHUNK_RULE).collect()}
     want = brute(rows, N.CHUNK_RULE)
     assert got <= want and len(got) >= 0.97 * len(want)
+
+
+def test_groups(spark):
+    rows = texts()
+    df = spark.createDataFrame([r for r in rows if r[0] != "dup"], "id string, text string")
+    got = {r.id: (r.group_id, r.links) for r in N.groups(df, "id", "text", N.CHUNK_RULE).collect()}
+    pairs = {(r.id_a, r.id_b) for r in N.similar_pairs(df, "id", "text", N.CHUNK_RULE).collect()}
+    parent = {i: i for i in got}
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        x, y = sorted((top(a), top(b)))
+        parent[y] = x
+    assert {i: g for i, (g, _) in got.items()} == {i: top(i) for i in got}
+    assert all(n == sum(i in p for p in pairs) for i, (_, n) in got.items())
+
+
+def test_long_chain_is_one_component(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(300)], "a bigint, b bigint")
+    assert {(r.label) for r in N.components(edges).collect()} == {0}
+    assert N.components(edges.limit(0)).count() == 0
