@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 TREES, REACH, BLOCK = 4, 384, 512
 PIVOTS = (2048, 64)
 #: Expected rows of the sample for pivots and bounds; at most twice as many are taken.
-SAMPLE = 8192
+SAMPLE = 24_000
 RANGE_ROWS = 40_000
 DIGIT_BITS, PLANE_BITS, KEY_BITS = (11, 6), 35, 11
 
@@ -56,11 +56,14 @@ def grow(sample: np.ndarray, keys: np.ndarray, rows: int, trees: int = TREES) ->
     """Trees from a sample of unit vectors."""
     rng = np.random.default_rng(7)
     out = []
+    # trees take different rows of the sample as pivots, as far as it reaches: trees with the same pivots part the same neighbours
+    order, used = rng.permutation(len(sample)), 0
     for _ in range(trees):
         planes = rng.standard_normal((sample.shape[1], PLANE_BITS)).astype(np.float32)
         pivots, digits = [], []
         for count in PIVOTS:
-            p = sample[rng.permutation(len(sample))[:count]]
+            p = sample[np.take(order, np.arange(used, used + min(count, len(sample))), mode="wrap")]
+            used += count
             place = np.empty(len(p), np.int64)
             place[np.lexsort(((p @ planes) > 0).T[::-1])] = np.arange(len(p))
             pivots.append(p)
