@@ -257,6 +257,17 @@ def break_kind(reader: Reader, line: str, following: str | None) -> str:
     return "word"
 
 
+def taken(reader: Reader, line: str, following: str, unsure: bool = False) -> str:
+    """The kind of break where the first word of following belongs to the end of line, else ''. unsure: what follows may not be the next line; then only a known word is joined."""
+    m, rest = _BROKEN.search(line), following.split()
+    first = core_of(rest[0]) if rest else ""
+    if not m or not any(c.isalpha() for c in first) or first[0].isupper() and not m[1].isupper() or _ITEM.match(following):
+        return ""
+    if unsure and not {m[1].lower() + first.lower(), f"{m[1]}-{first}".lower()} & reader.known:
+        return ""
+    return break_kind(reader, line, following)
+
+
 def faults(reader: Reader, text: str, first_record: bool) -> list[tuple[int, str]]:
     """(line number, kind) of the lines that need repair: number, head, broken or misread."""
     lines = text.split("\n")
@@ -393,20 +404,40 @@ def records(chunks: DataFrame, pages: DataFrame) -> DataFrame:
     return a.unionByName(b)
 
 
+def _span_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The spans of one page after another, texts normalised; a span of no page stands alone. Spans arrive by page and in reading order."""
+    held: list = []
+    for batch in batches:
+        cols = [batch.column(i).to_pylist() for i in range(6)]
+        texts = standins.normalise(batch.column(6))[0].to_pylist() if len(batch) else []
+        for doc, page, block, line, no, span, text in zip(*cols, texts):
+            if held and ((held[-1][0], held[-1][1]) != (doc, page) or doc is None or page is None):
+                yield held
+                held = []
+            held.append((doc, page, block, line, no, text or "", span))
+    if held:
+        yield held
+
+
+def _span_lines(rows: list[tuple]) -> list[list[tuple]]:
+    """A page's lines as lists of their spans; a span without a place is a line of its own."""
+    lines: list[list] = []
+    for r in rows:
+        if lines and r[2] is not None and r[3] is not None and lines[-1][-1][2:4] == r[2:4]:
+            lines[-1].append(r)
+        else:
+            lines.append([r])
+    return lines
+
+
 def _span_batches(words: tuple):
-    """Spans arrive by page and in reading order; lines are put together from their spans and judged as lines."""
+    """Lines are put together from their spans and judged as lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = _reader(words)
-        held: list = []
 
         def judged(rows: list) -> list[str]:
-            lines: list[list] = []
-            for r in rows:
-                if lines and r[2] is not None and r[3] is not None and lines[-1][-1][2:4] == r[2:4]:
-                    lines[-1].append(r)
-                else:
-                    lines.append([r])
+            lines = _span_lines(rows)
             out, fragment, opening = [], False, rows[0][1] == 1
             joined = [" ".join(r[5] for r in line) for line in lines]
             reader.learn({t for x in joined for t in x.split()})
@@ -435,20 +466,59 @@ def _span_batches(words: tuple):
                 fragment = kind != ""
             return out
 
-        for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(6)]
-            texts = standins.normalise(batch.column(6))[0].to_pylist() if len(batch) else []
-            found: list[str] = []
-            for doc, page, block, line, no, span, text in zip(*cols, texts):
-                row = (doc, page, block, line, no, text or "", span)
-                if held and (held[-1][0], held[-1][1]) != (doc, page):
-                    found += judged(held)
-                    held = []
-                held.append(row)
-            if found:
+        found: list[str] = []
+        for rows in _span_pages(batches):
+            found += judged(rows)
+            if len(found) > 20_000:
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["rec_id"])
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(judged(held), pa.string())], names=["rec_id"])
+                found = []
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["rec_id"])
+
+    return run
+
+
+def _body(rows: list[tuple]) -> tuple[list[list[tuple]], list[tuple]]:
+    """The lines of a page that are text, without blank spans, and the spans that have lost their place and are text."""
+    lines, alone, opening = [], [], rows[0][1] == 1
+    for line in _span_lines([r for r in rows if r[5].strip()]):
+        if line[0][2] is None or line[0][3] is None:
+            if not is_furniture(line[0][5], rows[0][1] == 1):
+                alone.append(line[0])
+            continue
+        opens, opening = opening, False
+        if not is_furniture(" ".join(r[5] for r in line), opens):
+            lines.append(line)
+    return lines, alone
+
+
+def repair_spans(reader: Reader, rows: list[tuple]) -> list[tuple[str, str]]:
+    """(span, text) of all spans of a page: a broken word stands whole in the span where it begins, furniture is empty."""
+    lines, alone = _body(rows)
+    tokens = {r[6]: r[5].split() for line in lines for r in line} | {r[6]: r[5].split() for r in alone}
+    context = {core_of(t).lower() for ts in tokens.values() for t in ts}
+    joined = [" ".join(r[5] for r in line) for line in lines]
+    for i, line in enumerate(lines[:-1]):
+        kind = taken(reader, joined[i], joined[i + 1], bool(alone)) if _BROKEN.search(line[-1][5]) else ""
+        if kind:
+            rest = tokens[lines[i + 1][0][6]].pop(0)
+            own = " ".join(tokens[line[-1][6]])
+            tokens[line[-1][6]] = ((_BROKEN.sub(r"\1", own) if kind == "word" else own.rstrip()) + rest).split()
+    reader.learn({t for ts in tokens.values() for t in ts})
+    return [(r[6], " ".join(reader.repaired(t, context) for t in tokens.get(r[6], []))) for r in rows]
+
+
+def _span_repairs(words: tuple):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = _reader(words)
+        out: list[tuple[str, str]] = []
+        for rows in _span_pages(batches):
+            out += repair_spans(reader, rows)
+            if len(out) > 20_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out)], names=["rec_id", "text"])
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out)], names=["rec_id", "text"])
 
     return run
 
@@ -458,18 +528,25 @@ def _span_rows(spans: DataFrame) -> DataFrame:
     return spans.where("span_id IS NOT NULL AND text IS NOT NULL").select(*place, F.col("span_id").cast("string").alias("span"), "text").dropDuplicates(["span"])
 
 
+def _in_reading_order(rows: DataFrame) -> DataFrame:
+    return rows.repartition("doc_id", "page_number").sortWithinPartitions("doc_id", "page_number", "block_no", "line_no", "span_no", "span")
+
+
 def found(chunks: DataFrame, pages: DataFrame, spans: DataFrame) -> DataFrame:
     """src, rec_id, line_no of every line that needs repair."""
     rows = records(chunks, pages)
     words = vocabulary(rows.select("text").unionByName(spans.select("text")))
     lines = rows.mapInArrow(_judge_batches(words, False), "src string, rec_id string, line_no int, kind string").select("src", "rec_id", "line_no")
-    by_page = _span_rows(spans).repartition("doc_id", "page_number").sortWithinPartitions("doc_id", "page_number", "block_no", "line_no", "span_no", "span")
+    by_page = _in_reading_order(_span_rows(spans))
     parts = by_page.mapInArrow(_span_batches(words), "rec_id string").select(F.lit("span").alias("src"), "rec_id", F.lit(1).alias("line_no"))
     return lines.unionByName(parts).distinct()
 
 
 def repaired(chunks: DataFrame, pages: DataFrame, spans: DataFrame) -> DataFrame:
-    """src, rec_id and the repaired text of chunks and pages."""
+    """src, rec_id and the repaired text of chunks, pages and spans; the text of spans is repaired in its normalised form."""
     rows = records(chunks, pages)
     words = vocabulary(rows.select("text").unionByName(spans.select("text")))
-    return rows.mapInArrow(_judge_batches(words, True), "src string, rec_id string, text string").distinct()
+    whole = rows.mapInArrow(_judge_batches(words, True), "src string, rec_id string, text string").distinct()
+    kept, keyless = _span_rows(spans), F.col("doc_id").isNull() | F.col("page_number").isNull()
+    parts = _in_reading_order(kept.where(~keyless)).unionByName(kept.where(keyless))
+    return whole.unionByName(parts.mapInArrow(_span_repairs(words), "rec_id string, text string").select(F.lit("span").alias("src"), "rec_id", "text"))

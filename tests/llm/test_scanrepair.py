@@ -85,3 +85,23 @@ def test_operator(spark):
     fixed = {r.rec_id: r.text for r in S.repaired(chunks, pages, spans).collect()}
     assert fixed["b"] == "el consejo directivo podrá autorizar" and fixed["p:2"] == "el recurso" and fixed["d"] == ""
     assert S.found(chunks.limit(0), pages.limit(0), spans.limit(0)).count() == 0
+
+
+def test_repaired_spans(spark):
+    base = "el consejo directivo podrá autorizar el recurso sanitario antes de la diligencia forestal técnico-administrativa\n" * 40
+    chunks = spark.createDataFrame([("a", 2, base)], "id string, chunkNo int, text string")
+    pages = spark.createDataFrame([], "doc_id string, page_number int, text string")
+    rows = [
+        (1, "p", 2, 0, 0, 0, "Pág."), (2, "p", 2, 0, 0, 1, "7"),  # a page number in two spans
+        (3, "p", 2, 1, 0, 0, "el c0nsejo"), (4, "p", 2, 1, 0, 1, "podrá auto-"),
+        (5, "p", 2, 1, 1, 0, "Hoja 3"),
+        (6, "p", 2, 1, 2, 0, "rizar el recurso técnico-"), (7, "p", 2, 1, 3, 0, "administrativa"), (7, "p", 2, 1, 3, 0, "administrativa"),
+        (8, "p", 2, 1, 4, 0, "antes de la dili-"), (9, "p", 2, 1, 5, 0, "Consejo"),  # what follows isn't there
+        (10, None, None, None, None, None, "fo-"), (11, None, None, None, None, None, "restal"), (12, "p", 2, None, None, None, "recur-"), (13, "p", 2, 1, 6, 0, None),
+    ]
+    spans = spark.createDataFrame(rows, "span_id bigint, doc_id string, page_number int, block_no int, line_no int, span_no int, text string")
+    got = [(r.rec_id, r.text) for r in S.repaired(chunks, pages, spans).where("src = 'span'").collect()]
+    assert len(got) == 12 and dict(got) == {
+        "1": "", "2": "", "3": "el consejo", "4": "podrá autorizar", "5": "", "6": "el recurso técnico-administrativa", "7": "",
+        "8": "antes de la dili-", "9": "Consejo", "10": "fo-", "11": "restal", "12": "recur-",
+    }
