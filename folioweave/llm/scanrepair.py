@@ -21,7 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -54,6 +54,7 @@ _CAPITALS = re.compile(r"\s*(?:\d{1,5}\s{2,})?([^\d|]\S+(?:\s+\S+){3,}?)(?:\s{2,
 _BROKEN = re.compile(r"(\w*[^\W\d_])(\s?)([-¬­‐])\s*$")
 _FIRST_WORD = re.compile(r"\s*([^\W\d_]+)")
 _ROMAN = re.compile(r"[IVXLCDM]+$")
+_UNSURE = "\x01"
 _STRIP = re.compile(r"^[^\w¡!|]+|[^\w|]+$")
 
 
@@ -261,7 +262,7 @@ def taken(reader: Reader, line: str, following: str, unsure: bool = False) -> st
     """The kind of break where the first word of following belongs to the end of line, else ''. unsure: what follows may not be the next line; then only a known word is joined."""
     m, rest = _BROKEN.search(line), following.split()
     first = core_of(rest[0]) if rest else ""
-    if not m or not any(c.isalpha() for c in first) or first[0].isupper() and not m[1].isupper() or _ITEM.match(following):
+    if not m or not any(c.isalpha() for c in first) or first[0].isupper() and not m[1].isupper() and f"{m[1]}-{first}".lower() not in reader.known or _ITEM.match(following):
         return ""
     if unsure and not {m[1].lower() + first.lower(), f"{m[1]}-{first}".lower()} & reader.known:
         return ""
@@ -297,8 +298,23 @@ def faults(reader: Reader, text: str, first_record: bool) -> list[tuple[int, str
     return out
 
 
-def repair(reader: Reader, text: str, first_record: bool) -> str:
-    """Continuous paragraphs without page furniture, broken and misread words."""
+def edges(text: str, first_record: bool) -> tuple[str | None, str | None]:
+    """The first line of a page's text without furniture, and the last one if it ends in a hyphen ('' if not); None where there is none."""
+    lines = [x for x in text.split("\n") if x and not x.isspace()]
+    is_text = lambda i: not is_furniture(lines[i], first_record and i == 0)
+    first = next(filter(is_text, range(len(lines))), None)
+    if first is None:
+        return None, None
+    last = lines[next(filter(is_text, reversed(range(len(lines)))))].strip()
+    return lines[first].strip(), last if _BROKEN.search(last) else ""
+
+
+def repair(reader: Reader, text: str, first_record: bool, before: str | None = None, after: str | None = None) -> str:
+    """Continuous paragraphs without page furniture, broken and misread words.
+
+    before, after: the last line of the page before and the first of the page after. A word broken between
+    pages stands whole on the page where it begins; where nothing continues a word its hyphen stays.
+    """
     lines, paragraphs, current, glue = text.split("\n"), [], "", ""
     opening = first_record
     context = {core_of(t).lower() for t in text.split()}
@@ -309,13 +325,19 @@ def repair(reader: Reader, text: str, first_record: bool) -> str:
             if is_furniture(line, opens):
                 continue
         kept.append(line.strip())
+    full = [i for i, x in enumerate(kept) if x]
+    over = taken(reader, kept[full[-1]], after) if full and after else ""
+    if full and before and taken(reader, before, kept[full[0]]):
+        kept[full[0]] = " ".join(kept[full[0]].split()[1:])
+    if over:
+        kept[full[-1]] = (_BROKEN.sub(r"\1", kept[full[-1]]) if over == "word" else kept[full[-1]]) + after.split()[0]
     for i, line in enumerate(kept):
         if not line:
             if not glue and current and current[-1] in ".:;!?»”":
                 paragraphs.append(current)
                 current = ""
             continue
-        kind = break_kind(reader, line, next((x for x in kept[i + 1 :] if x), None))
+        kind = taken(reader, line, next((x for x in kept[i + 1 :] if x), "")) if line[-1] in "-¬­‐" else ""
         body = _BROKEN.sub(r"\1", line) if kind == "word" else line
         if current and not glue and _starts_paragraph(line, current):
             paragraphs.append(current)
@@ -384,7 +406,7 @@ def _judge_batches(words: tuple, repairing: bool):
                 src, rec, first, texts = (part.column(i).to_pylist() for i in range(4))
                 reader.learn(set("\n".join(texts).split()))
                 if repairing:
-                    fixed = [repair(reader, t, f) for t, f in zip(texts, first)]
+                    fixed = [repair(reader, t, f, b, a) for t, f, b, a in zip(texts, first, part.column(4).to_pylist(), part.column(5).to_pylist())]
                     yield pa.RecordBatch.from_arrays([pa.array(src, pa.string()), pa.array(rec, pa.string()), pa.array(fixed, pa.string())], names=["src", "rec_id", "text"])
                     continue
                 rows = [(s, r, n, k) for s, r, f, t in zip(src, rec, first, texts) for n, k in faults(reader, t, f)]
@@ -408,13 +430,13 @@ def _span_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
     """The spans of one page after another, texts normalised; a span of no page stands alone. Spans arrive by page and in reading order."""
     held: list = []
     for batch in batches:
-        cols = [batch.column(i).to_pylist() for i in range(6)]
+        cols = [batch.column(i).to_pylist() for i in range(batch.num_columns) if i != 6]
         texts = standins.normalise(batch.column(6))[0].to_pylist() if len(batch) else []
-        for doc, page, block, line, no, span, text in zip(*cols, texts):
+        for text, doc, page, block, line, no, span, *edge in zip(texts, *cols):
             if held and ((held[-1][0], held[-1][1]) != (doc, page) or doc is None or page is None):
                 yield held
                 held = []
-            held.append((doc, page, block, line, no, text or "", span))
+            held.append((doc, page, block, line, no, text or "", span, *edge))
     if held:
         yield held
 
@@ -492,17 +514,35 @@ def _body(rows: list[tuple]) -> tuple[list[list[tuple]], list[tuple]]:
     return lines, alone
 
 
-def repair_spans(reader: Reader, rows: list[tuple]) -> list[tuple[str, str]]:
-    """(span, text) of all spans of a page: a broken word stands whole in the span where it begins, furniture is empty."""
+def span_edges(rows: list[tuple]) -> tuple[str | None, str | None]:
+    """As edges, of a page of spans; marked where spans of the page have lost their place."""
+    lines, alone = _body(rows)
+    if not lines:
+        return ("", "") if alone else (None, None)
+    first, last = (" ".join(r[5] for r in line) for line in (lines[0], lines[-1]))
+    mark = _UNSURE if alone else ""
+    return mark + first, mark + last if _BROKEN.search(lines[-1][-1][5]) else ""
+
+
+def repair_spans(reader: Reader, rows: list[tuple], before: str | None = None, after: str | None = None) -> list[tuple[str, str]]:
+    """(span, text) of all spans of a page: a broken word stands whole in the span where it begins, furniture is empty. before, after: as in repair, by span_edges."""
     lines, alone = _body(rows)
     tokens = {r[6]: r[5].split() for line in lines for r in line} | {r[6]: r[5].split() for r in alone}
     context = {core_of(t).lower() for ts in tokens.values() for t in ts}
     joined = [" ".join(r[5] for r in line) for line in lines]
-    for i, line in enumerate(lines[:-1]):
-        kind = taken(reader, joined[i], joined[i + 1], bool(alone)) if _BROKEN.search(line[-1][5]) else ""
+    if lines and before and taken(reader, before.lstrip(_UNSURE), joined[0], bool(alone) or before[0] == _UNSURE):
+        tokens[lines[0][0][6]].pop(0)
+    for i, line in enumerate(lines):
+        within = i + 1 < len(lines)
+        following = joined[i + 1] if within else after or ""
+        if not _BROKEN.search(line[-1][5]):
+            continue
+        kind = taken(reader, joined[i], following.lstrip(_UNSURE), bool(alone) or following[:1] == _UNSURE)
         if kind:
-            rest = tokens[lines[i + 1][0][6]].pop(0)
+            rest = following.lstrip(_UNSURE).split()[0]
             own = " ".join(tokens[line[-1][6]])
+            if within:
+                tokens[lines[i + 1][0][6]].pop(0)
             tokens[line[-1][6]] = ((_BROKEN.sub(r"\1", own) if kind == "word" else own.rstrip()) + rest).split()
     reader.learn({t for ts in tokens.values() for t in ts})
     return [(r[6], " ".join(reader.repaired(t, context) for t in tokens.get(r[6], []))) for r in rows]
@@ -513,7 +553,7 @@ def _span_repairs(words: tuple):
         reader = _reader(words)
         out: list[tuple[str, str]] = []
         for rows in _span_pages(batches):
-            out += repair_spans(reader, rows)
+            out += repair_spans(reader, rows, *rows[0][7:])
             if len(out) > 20_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out)], names=["rec_id", "text"])
                 out = []
@@ -542,11 +582,56 @@ def found(chunks: DataFrame, pages: DataFrame, spans: DataFrame) -> DataFrame:
     return lines.unionByName(parts).distinct()
 
 
+def _edge_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        got = [edges(t, f) for f, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array([g[k] for g in got], pa.string()) for k in (0, 1))], names=["doc_id", "page_number", "first", "last"])
+
+
+def _span_edge_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    out: list[tuple] = []
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int32(), pa.string(), pa.string()))], names=["doc_id", "page_number", "first", "last"])
+
+    for rows in _span_pages(batches):
+        out.append((*rows[0][:2], *span_edges(rows)))
+        if len(out) > 20_000:
+            yield batch()
+            out.clear()
+    if out:
+        yield batch()
+
+
+_EDGES = "doc_id string, page_number int, first string, last string"
+
+
+def _carried(rows: DataFrame) -> DataFrame:
+    """doc_id, page_number, before, after: the edge lines beside a page that ends or begins within a word. They are carried over pages without text, not over missing ones."""
+    one = rows.groupBy("doc_id", "page_number").agg(F.max(F.struct("first", "last")).alias("e")).select("doc_id", "page_number", "e.*")
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("page_number"))
+    one = one.withColumn("island", F.col("page_number").cast("bigint") - number)
+    # both windows only look back: a frame that looks forward to the end is evaluated anew for each row
+    back = Window.partitionBy("doc_id", "island").rowsBetween(Window.unboundedPreceding, -1)
+    got = one.withColumn("before", F.last("last", ignorenulls=True).over(back.orderBy("page_number")))
+    got = got.withColumn("after", F.last("first", ignorenulls=True).over(back.orderBy(F.desc("page_number"))))
+    return got.where("before <> '' OR last <> '' AND after <> ''").select("doc_id", "page_number", "before", "after")
+
+
 def repaired(chunks: DataFrame, pages: DataFrame, spans: DataFrame) -> DataFrame:
     """src, rec_id and the repaired text of chunks, pages and spans; the text of spans is repaired in its normalised form."""
     rows = records(chunks, pages)
     words = vocabulary(rows.select("text").unionByName(spans.select("text")))
-    whole = rows.mapInArrow(_judge_batches(words, True), "src string, rec_id string, text string").distinct()
+    keyed = pages.where("doc_id IS NOT NULL AND page_number IS NOT NULL AND text IS NOT NULL")
+    near = _carried(keyed.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("page_number").cast("int").alias("page_number"), (F.col("page_number") == 1).alias("opening"), "text").mapInArrow(_edge_batches, _EDGES))
+    near = near.select(F.concat_ws(":", "doc_id", F.col("page_number").cast("string")).alias("rec_id"), "before", "after")
+    none = F.lit(None).cast("string")
+    order = ["src", "rec_id", "opening", "text", "before", "after"]
+    whole = rows.where("src = 'chunk'").withColumns({"before": none, "after": none}).unionByName(rows.where("src = 'page'").join(near, "rec_id", "left").select(*order))
+    whole = whole.mapInArrow(_judge_batches(words, True), "src string, rec_id string, text string").distinct()
     kept, keyless = _span_rows(spans), F.col("doc_id").isNull() | F.col("page_number").isNull()
-    parts = _in_reading_order(kept.where(~keyless)).unionByName(kept.where(keyless))
+    placed = kept.where(~keyless)
+    near = _carried(_in_reading_order(placed).mapInArrow(_span_edge_batches, _EDGES))
+    placed = _in_reading_order(placed.join(near, ["doc_id", "page_number"], "left").select(*kept.columns, "before", "after"))
+    parts = placed.unionByName(kept.where(keyless).withColumns({"before": none, "after": none}))
     return whole.unionByName(parts.mapInArrow(_span_repairs(words), "rec_id string, text string").select(F.lit("span").alias("src"), "rec_id", "text"))

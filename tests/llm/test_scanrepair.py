@@ -105,3 +105,32 @@ def test_repaired_spans(spark):
         "1": "", "2": "", "3": "el consejo", "4": "podrá autorizar", "5": "", "6": "el recurso técnico-administrativa", "7": "",
         "8": "antes de la dili-", "9": "Consejo", "10": "fo-", "11": "restal", "12": "recur-",
     }
+
+
+def test_words_broken_between_pages(spark):
+    base = "el consejo directivo podrá autorizar el recurso sanitario antes de la diligencia forestal técnico-administrativa\n" * 40
+    chunks = spark.createDataFrame([("a", 2, base), ("b", 3, "podrá auto-")], "id string, chunkNo int, text string")
+    texts = [
+        ("p", 1, "el consejo podrá auto-\n12 / 40"), ("p", 2, "Hoja 2"),  # carried over a page without text
+        ("p", 3, "Hoja 3\nrizar, el recurso técnico-"), ("p", 4, "administrativa"), ("p", 5, "antes de la dili-"), ("p", 6, "Consejo directivo"),
+        ("q", 1, "la dili-"), ("q", 3, "gencia"), ("q", 4, "auto-"), ("q", 5, "ri-"), ("q", 6, "zar el recurso"),
+    ]
+    pages = spark.createDataFrame(texts + texts[:1], "doc_id string, page_number int, text string")
+    rows, n = [], 0
+    for doc, page, text in texts:
+        for k, line in enumerate(text.split("\n")):
+            n += 1
+            rows.append((n, doc, page, 1, k, 0, line))
+    lost = [(90, "r", 1, 1, 0, 0, "la dili-"), (91, "r", 1, None, None, None, "antes"), (92, "r", 2, 1, 0, 0, "gencia"), (93, "s", 1, 1, 0, 0, "la feda-"), (94, "s", 2, None, None, None, "tario"), (95, "s", 2, 1, 0, 0, "forestal")]
+    spans = spark.createDataFrame(rows + lost, "span_id bigint, doc_id string, page_number int, block_no int, line_no int, span_no int, text string")
+    got = {(r.src, r.rec_id): r.text for r in S.repaired(chunks, pages, spans).collect()}
+    want = {
+        "p:1": "el consejo podrá autorizar,", "p:2": "", "p:3": "el recurso técnico-administrativa", "p:4": "", "p:5": "antes de la dili-", "p:6": "Consejo directivo",
+        "q:1": "la dili-", "q:3": "gencia", "q:4": "autori-", "q:5": "zar", "q:6": "el recurso",
+    }
+    assert {i: t for (s, i), t in got.items() if s == "page"} == want and got["chunk", "b"] == "podrá auto-"
+    joined = {}
+    for n, doc, page, *_ in rows:
+        joined.setdefault(f"{doc}:{page}", []).append(got["span", str(n)])
+    assert {k: " ".join(x for x in v if x) for k, v in joined.items()} == want
+    assert [got["span", str(i)] for i in range(90, 96)] == ["la diligencia", "antes", "", "la feda-", "tario", "forestal"]
