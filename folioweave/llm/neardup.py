@@ -3,16 +3,17 @@
 Every text is a set of runs (of words or of characters).  In each run of the join a set follows one
 sampled token, the one of least hash under that run's function, into a bucket; buckets that are
 too large are split again by further sampled tokens of their members, recursively; buckets that are
-small enough are compared pair by pair on sketches.  Two sets of similarity s meet at a sampled
-token with probability s, so the number of runs follows from the threshold and the recall wanted.
+small enough, or would not be compared with less work after a split, are compared pair by pair on
+sketches.  Two sets of similarity s meet at a sampled token with probability s and stay together in
+each of a split's children with probability s, so the number of runs follows from the threshold, the
+chance to be together after any number of splits, and the recall wanted.
 Candidate pairs are then checked exactly on their whole texts.
 
 Exact copies are one class before anything else: the join works on class representatives, and
 copies come back through the membership table.
 
 Hot buckets: path keys that are frequent in a bounded sample of the classes are split before the
-shuffle by the same function that splits large buckets within a task, so where a bucket is split has
-no influence on what meets.
+shuffle by the same function that splits large buckets within a task.
 
 Defined results: texts that are null or have fewer than min_words words (no run of size n for
 characters) take no part; a key with several texts takes part with each; equal ids are never paired.
@@ -38,11 +39,19 @@ SKETCH = 40
 #: Buckets up to this size are compared pair by pair.
 SMALL = 24
 #: Children of a path at a split, and splits at most within a task: beyond, members are alike in nearly all tokens.
-CHILDREN, DEPTH = 3, 6
+CHILDREN, DEPTH = 5, 6
 #: Classes in the sample for hot paths, members from which a path counts as hot, and meetings in the sample that tell it.
 SAMPLE, HOT_ROWS, HOT_SEEN = 16_384, 20_000, 12
 
 
+def survival(s: float) -> float:
+    """Chance that two sets of similarity s that met are together in some bucket after however many splits."""
+    lost = 0.0
+    for _ in range(1000):
+        lost = (1 - s + s * lost) ** CHILDREN
+    return 1 - lost
+
+
 @dataclass(frozen=True)
 class Rule:
     """What a text's set is and when two sets are alike."""
@@ -55,7 +64,7 @@ class Rule:
 
     @property
     def runs(self) -> int:
-        return math.ceil(math.log(1 - self.recall) / math.log(1 - self.threshold))
+        return math.ceil(math.log(1 - self.recall) / math.log(1 - self.threshold * survival(self.threshold)))
 
     @property
     def shared(self) -> int:
@@ -194,14 +203,16 @@ def hot_paths(sample: pa.Table, runs: int, total: int) -> np.ndarray:
     hot, least = [], max(HOT_SEEN, HOT_ROWS * len(sketch) / max(1, total))
     for _ in range(DEPTH):
         keys, counts = np.unique(path, return_counts=True)
-        new = keys[counts >= least]
-        if not len(new):
+        inside = np.isin(path, keys[counts >= least])
+        if not inside.any():
             break
-        hot.append(new)
-        inside = np.isin(path, new)
-        row = row[inside]
-        path = _children(path[inside], sketch[row]).reshape(-1)
-        row = np.repeat(row, CHILDREN)
+        path, row = path[inside], row[inside]
+        below = _children(path, sketch[row])
+        keys, group = np.unique(path, return_inverse=True)
+        work, _ = _after_split(group, below)
+        gain = work < np.bincount(group).astype(float) ** 2
+        hot.append(keys[gain])
+        path, row = below[gain[group]].reshape(-1), np.repeat(row[gain[group]], CHILDREN)
     return np.unique(np.concatenate(hot)) if hot else np.zeros(0, np.uint64)
 
 
@@ -230,15 +241,30 @@ def _path_batches(runs: int, hot: np.ndarray):
 
 
 def _children(path: np.ndarray, sketch: np.ndarray) -> np.ndarray:
-    """Child paths: the positions sampled depend on the path alone, the branch on the member's token there."""
+    """Child paths: the positions sampled, different ones for each child, depend on the path alone, the branch on the member's token there."""
     out = np.empty((len(path), CHILDREN), np.uint64)
     with np.errstate(over="ignore"):
         for c in range(CHILDREN):
-            where = (_mix(path + np.uint64(c)) % np.uint64(SKETCH)).astype(np.int64)
+            where = (_mix(path + np.uint64(c)) % np.uint64(SKETCH // CHILDREN)).astype(np.int64) + c * (SKETCH // CHILDREN)
             out[:, c] = _mix(path * _BASE + sketch[np.arange(len(path)), where].astype(np.uint64) + (where.astype(np.uint64) << np.uint64(20)))
     return out
 
 
+def _after_split(group: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each group of rows: the sum of the squared sizes of its child buckets, and the first child that holds the whole group, or CHILDREN. below: the rows' child paths."""
+    size = np.bincount(group)
+    work, whole = np.zeros(len(size)), np.full(len(size), CHILDREN)
+    for c in reversed(range(CHILDREN)):
+        order = np.lexsort((below[:, c], group))
+        g, b = group[order], below[order, c]
+        first = np.flatnonzero(np.append(True, (b[1:] != b[:-1]) | (g[1:] != g[:-1])))
+        n = np.diff(np.append(first, len(b)))
+        work += np.bincount(g[first], n.astype(float) ** 2, len(size))
+        full = n == size[g[first]]
+        whole[g[first[full]]] = c
+    return work, whole
+
+
 def _alike(sketch: np.ndarray, a: np.ndarray, b: np.ndarray, shared: int) -> np.ndarray:
     return (sketch[a] == sketch[b]).sum(1) >= shared
 
@@ -260,19 +286,29 @@ def candidate_pairs(path: np.ndarray, sketch: np.ndarray, shared: int) -> Iterat
     """Pairs of rows that meet in a small bucket; large buckets are split again by sampled tokens."""
     rows, path = np.arange(len(path)), path.view(np.uint64)
     for depth in range(DEPTH + 1):
+        if not len(rows):
+            return
         order = np.argsort(path, kind="stable")
         rows, path = rows[order], path[order]
         first = np.append(True, path[1:] != path[:-1])
         group = np.cumsum(first) - 1
         size = np.bincount(group)[group]
-        take = (size > 1) & ((size <= SMALL) | (depth == DEPTH))
-        yield from _pairs_in_groups(rows[take], group[take], sketch, shared)
         large = (size > SMALL) & (depth < DEPTH)
+        take = (size > 1) & ~large
+        yield from _pairs_in_groups(rows[take], group[take], sketch, shared)
         if not large.any():
             return
-        rows = rows[large]
-        path = _children(path[large], sketch[rows]).reshape(-1)
-        rows = np.repeat(rows, CHILDREN)
+        rows, path, size = rows[large], path[large], size[large]
+        group = np.cumsum(np.append(True, path[1:] != path[:-1])) - 1
+        below = _children(path, sketch[rows])
+        work, whole = (x[group] for x in _after_split(group, below))
+        # a bucket that a child holds as a whole goes on with that child alone; one that a split doesn't ease is compared now
+        same = whole < CHILDREN
+        now = ~same & (work >= size.astype(float) ** 2)
+        yield from _pairs_in_groups(rows[now], group[now], sketch, shared)
+        split = ~same & ~now
+        path = np.concatenate([below[same, whole[same]], below[split].reshape(-1)])
+        rows = np.concatenate([rows[same], np.repeat(rows[split], CHILDREN)])
 
 
 def _candidate_batches(shared: int):
