@@ -174,11 +174,33 @@ def _scalar(value) -> str | None:
     return _canonical(value)
 
 
+def _write_iteratively(value) -> str:
+    """The text of _canonical by an explicit stack."""
+    out, todo = [], [(value, False)]
+    while todo:
+        x, written = todo.pop()
+        if written:
+            out.append(x)
+        elif isinstance(x, dict):
+            out.append("{")
+            todo.append(("}", True))
+            for i, k in reversed(list(enumerate(sorted(x)))):
+                todo += [(x[k], False), (("," if i else "") + json.dumps(k, ensure_ascii=False) + ":", True)]
+        elif isinstance(x, list):
+            out.append("[")
+            todo.append(("]", True))
+            for i, v in reversed(list(enumerate(x))):
+                todo += [(v, False), ("," if i else "", True)]
+        else:
+            out.append(json.dumps(x, ensure_ascii=False))
+    return "".join(out)
+
+
 def _canonical(value) -> str:
     try:
         return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
     except RecursionError:
-        return repr(value)[:0] + "<deep>"
+        return _write_iteratively(value)
 
 
 def _digest(*parts: bytes) -> bytes:

@@ -94,3 +94,14 @@ def test_found_matches_recursion(spark):
             continue
         walk(doc, find(value), 0, [0])
     assert got == want
+
+
+def test_deep_values_keep_their_content():
+    from folioweave.operators import nested
+
+    value = {"b": [1, 2.5, None, True, {"ñ": "á\n", "a": []}], "a": {}, "c": [[], {"x": "\""}]}
+    assert nested._write_iteratively(value) == nested._canonical(value)
+    deep = lambda x: "[" * 50_000 + x + "]" * 50_000
+    a, b, c = (nested.flatten_document(f'{{"toc": [{{"title": "t", "note": {deep(x)}, "target": {{"page": 1, "at": {deep(y)}}}}}]}}')[0] for x, y in (("1", "1"), ("2", "1"), ("1", "2")))
+    assert a[4] != b[4] != c[4] != a[4] and a[5] == b[5] != c[5]
+    assert a[11] == '{"note":' + deep("1") + "}"
