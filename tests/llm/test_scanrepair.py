@@ -6,28 +6,67 @@ WORDS = "el la de que consejo directivo podrá autorizar recurso sanitario antes
 
 
 def reader():
-    return S.Reader(WORDS, [100] * len(WORDS))
+    return S.Reader(WORDS, [100] * len(WORDS), heads=S.forms_of("Última actualización 01-01-2001"))
+
+
+def _distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
 
 
 def test_look_up_is_complete():
-    trie = S.Trie([w for w in WORDS if w.isalpha()], [1] * len(WORDS))
+    words = [w for w in WORDS if w.isalpha()] + ["responsabilidad", "ñandú", "sanitaria"]
+    trie = S.Trie(words, [1] * len(words))
     rnd = random.Random(1)
-    asked, want = [], []
-    for w in trie.words:
-        for meant, read in S.CONFUSIONS:
+    asked = ["", "xx", "artxculo", "obligcion", "artículu", "responsbilidad", "responsabilldad", "sanitari(", "ñandu", "🙂" * 9]
+    for _ in range(400):
+        w = list(rnd.choice(words))
+        for _ in range(rnd.randint(0, 3)):
+            at = rnd.randrange(len(w) + 1)
+            w[at : at + rnd.randint(0, 1)] = rnd.choice(["", *"aeiosrt(0ñ"])
+        asked.append("".join(w))
+    got = S.look_up(trie, asked, at_once=37)
+    for i, w in enumerate(asked):
+        most = 0 if len(w) < 4 else 1 if len(w) < S.LONG else 2
+        near = {n for n, v in enumerate(trie.words) if _distance(w, v) <= most}
+        have = {n: c for c, n in got.get(i, [])}
+        assert near <= set(have), w
+        assert all(have[n] <= S.EDITED * _distance(w, trie.words[n]) for n in near), w
+    for meant, read in S.CONFUSIONS:
+        for w in words:
             at = w.find(meant)
             if at >= 0 and len(w) > 5:
-                asked.append(w[:at] + read + w[at + len(meant) :])
-                want.append(w)
-    rnd.shuffle(asked)
-    import numpy as np
+                bad = w[:at] + read + w[at + len(meant) :]
+                assert trie.words.index(w) in {n for _, n in S.look_up(trie, [bad])[0]}, bad
+    two = S.look_up(trie, ["c0nscjo"])
+    assert trie.words[two[0][0][1]] == "consejo" and two[0][0][0] == 2 * S.CONFUSED
+    assert S.look_up(S.Trie([], []), ["abc"]) == {} and S.look_up(trie, []) == {}
+
+
+def test_misreadings_outside_the_confusions():
+    pairs = [S.pair_key(*p.split()) for p in ("consejo directivo", "directivo podrá", "recurso sanitario", "sanitario antes", "la obligación", "obligación de")]
+    r = S.Reader(WORDS, [100] * len(WORDS), pairs)
+    text = "el consejo dixectivo podrá\nla obligacin de sani(ario\nla Obligacin de\nel xonsejo\nla técnica\nla obligacin"
+    r.learn(set(text.split()))
+    assert S.faults(r, text, False) == [(1, "misread"), (2, "misread")]  # a capital may be a name; without known neighbours nothing is told
+    assert S.repair(r, text, False) == "el consejo directivo podrá la obligación de sanitario la Obligacin de el xonsejo la técnica la obligacin"
+
 
-    got = S.look_up(trie, asked, np.zeros(len(asked), bool))
-    assert all(got.get(i) for i in range(len(asked)))
-    two = S.look_up(trie, ["c0nscjo", "sanitari0", "xx", ""], np.array([False] * 4))
-    assert trie.words[two[0][0][1]] == "consejo" and two[0][0][0] == 2 and trie.words[two[1][0][1]] == "sanitario" and 2 not in two
-    free = S.look_up(trie, ["hume7al"], np.array([True]))
-    assert trie.words[free[0][0][1]] == "humedal"
+def test_heads_by_repetition():
+    assert S.forms_of("Boletín Municipal de Avisos, Toluca    12") == S.forms_of("Bo1etín Munlcipal de Avisos, Toluca")
+    assert S.forms_of("Boletín Municipal de Avisos, Toluca")[1] == S.forms_of("Boletín Municipal de Avisos, Jalapa")[1]
+    assert S.forms_of("Capítulo tercero de la ley") == () and S.forms_of("que sigue la frase") == () and S.forms_of("La ley rige. El consejo") == ()
+    r = S.Reader(WORDS, [100] * len(WORDS), heads=S.forms_of("Boletín Municipal de Avisos, Toluca"))
+    assert r.furniture("Boletín Municipal de Avisos, Jalapa", False) and not r.furniture("Boletín Municipal de Avisos, Jalapa", True)
+    assert not r.furniture("Boletín Municipal y Avisos, Jalapa", False)
+    text = "Gaceta Comunal\nel consejo\npodrá\nAlgo de en medio\nautorizar\nla obligación"
+    assert [(n, apart) for n, _, apart in S.head_places(text, False, True)] == [(1, True), (4, False)]
+    assert [(n, apart) for n, _, apart in S.head_places(text, True, False)] == [(4, True)]
 
 
 def test_lines_that_need_repair():
@@ -134,3 +173,22 @@ def test_words_broken_between_pages(spark):
         joined.setdefault(f"{doc}:{page}", []).append(got["span", str(n)])
     assert {k: " ".join(x for x in v if x) for k, v in joined.items()} == want
     assert [got["span", str(i)] for i in range(90, 96)] == ["la diligencia", "antes", "", "la feda-", "tario", "forestal"]
+
+
+def test_unseen_heads_are_found_by_repetition(spark):
+    body = "el consejo directivo podrá autorizar el recurso sanitario antes de la diligencia forestal"
+    pages = [(f"d{d}", p, f"Boletín Municipal de Avisos, Ciudad{'abcdefgh'[d]}\n{body}\nal fin") for d in range(8) for p in (2, 3) if (d, p) != (7, 3)]
+    pages += [("e", p, f"{body}\nde la\nRevista del Notariado\nx\ny\nz\nRevista de un Solo Lugar") for p in (1, 2)]
+    pages += [("f", 1, f"Anales de Toga\n{body}\nla ley"), ("f", 2, f"Anales de Toga    2\n{body}\nla ley"), ("g", 2, f"Memorias de Puerto\n{body}\nla ley")]
+    pages = spark.createDataFrame(pages + pages[:3], "doc_id string, page_number int, text string")
+    chunks = spark.createDataFrame(
+        [("a", "f", 2, f"{body} la\nAnales de Toga\nley que rige."), ("b", "z", 2, f"{body} la\nBoletín Municipal de Avisos, Otra\nley"), ("c", "z", 2, "Fin.\nMemorias de Puerto\nLey")],
+        "id string, documentId string, chunkNo int, text string",
+    )
+    spans = spark.createDataFrame([(1, "f", 3, 0, 0, 0, "Anales de"), (2, "f", 3, 0, 0, 1, "Toga"), (3, "f", 3, 1, 1, 0, body)], "span_id bigint, doc_id string, page_number int, block_no int, line_no int, span_no int, text string")
+    got = {tuple(r) for r in S.found(chunks, pages, spans).collect()}
+    want = {("page", f"d{d}:{p}", 1) for d in range(8) for p in (2, 3) if (d, p) != (7, 3)}
+    want |= {("page", "f:2", 1), ("span", "1", 1), ("span", "2", 1), ("chunk", "b", 2)} | {("page", f"e:{p}", 7) for p in (1, 2)}
+    assert got == want | {("chunk", "a", 2)}
+    fixed = {(r.src, r.rec_id): r.text for r in S.repaired(chunks, pages, spans).collect()}
+    assert fixed["chunk", "a"] == f"{body} la ley que rige." and fixed["page", "f:1"].startswith("Anales") and fixed["span", "1"] == "" and "Anales" not in fixed["page", "f:2"]
