@@ -328,14 +328,14 @@ class Reader:
         """Running head, foot or page number. opens: the first line with text of page 1 or chunk 1, which is the title."""
         if shaped_as_furniture(line, opens):
             return True
-        return not opens and bool(self.forms) and not self.forms.isdisjoint(forms_of(line))
+        return not opens and line[-1:] not in ".;:,-" and not line[:1].islower() and not self.forms.isdisjoint(forms_of(line))
 
 
 def shaped_as_furniture(line: str, opens: bool) -> bool:
     """Furniture by its shape alone: a page number, or a line in capitals that is no heading of the structure."""
-    if _NUMBER.fullmatch(line):
+    if len(line) < 60 and _NUMBER.fullmatch(line):
         return True
-    if opens or len(line) < 20 or any(c.islower() for c in line):
+    if opens or len(line) < 20 or line.upper() != line or any(c.islower() for c in line):
         return False
     m = _CAPITALS.match(line)
     return bool(m) and not _STRUCTURE.match(m[1]) and "|" not in line and sum(c.isalpha() for c in line) > 0.6 * len(line)
