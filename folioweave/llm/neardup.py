@@ -28,10 +28,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, discard
 from . import arrays
 
 #: One-byte sketch positions carried along.
@@ -390,29 +390,54 @@ def _texts(df: DataFrame, key: str, text: str) -> DataFrame:
     return rows.withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(7), "text")})
 
 
+#: Copies of one class that a task pairs with another copy at most.
+SHARE_OF_CLASS = 1000
+
+
+def _shares(n: Column) -> Column:
+    """Into how many shares the n copies of a class are cut."""
+    return F.ceil(n / SHARE_OF_CLASS).cast("int")
+
+
 def _ids(texts: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """rid and id of every id that takes part, and of the ids of classes with several deliveries.
+    """rid, id and share of every id that takes part, and of the ids of classes with several deliveries.
 
     Most classes have one delivery, whose id stands with the class; only the others look their ids up.
     """
-    several = reps.where("n > 1").select("rid", "t1", "t2")
-    copies = texts.select("id", "t1", "t2").join(several, ["t1", "t2"]).select("rid", "id").distinct()
-    return reps.where("n = 1").select("rid", F.col("rep").alias("id")).unionByName(copies), copies
-
-
-def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """v, label: the least vertex of each vertex's component. Labels go along edges and jump to their label's label, so rounds are few; each is written to the shared folder."""
-    both = cut_lineage(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut_lineage(both.groupBy(F.col("a").alias("v")).agg(F.least(F.first("a"), F.min("b")).alias("label")))
-    for _ in range(rounds):
-        told = both.join(labels.select(F.col("v").alias("b"), "label"), "b").groupBy(F.col("a").alias("v")).agg(F.min("label").alias("told"))
-        jump = labels.select(F.col("v").alias("label"), F.col("label").alias("jump"))
-        new = labels.join(told, "v", "left").join(jump, "label", "left")
-        new = cut_lineage(new.select("v", F.least("label", "told", "jump").alias("label"), F.col("label").alias("old")))
-        labels = new.select("v", "label")
-        if new.where("label < old").limit(1).count() == 0:
+    several = reps.where("n > 1").select("rid", "t1", "t2", _shares(F.col("n")).alias("s"))
+    copies = texts.select("id", "t1", "t2").join(several, ["t1", "t2"]).select("rid", "id", F.pmod(F.xxhash64("id"), F.col("s")).cast("int").alias("share")).distinct()
+    return reps.where("n = 1").select("rid", F.col("rep").alias("id"), F.lit(0).alias("share")).unionByName(copies), copies
+
+
+def _star(edges: DataFrame, small: bool) -> DataFrame:
+    """One contraction of edges a > b: every neighbour is tied to the least of the neighbourhood. small: only the neighbours below a vertex count; else those above it are tied."""
+    if small:
+        least = edges.groupBy("a").agg(F.min("b").alias("m"))
+        tied = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        return tied.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+    both = edges.select(F.col("a").alias("v"), F.col("b").alias("w")).unionByName(edges.select(F.col("b").alias("v"), F.col("a").alias("w")))
+    least = both.groupBy("v").agg(F.min("w").alias("m")).select("v", F.least("v", "m").alias("m"))
+    return both.where("w > v").join(least, "v").select(F.col("w").alias("a"), F.col("m").alias("b")).distinct()
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """v, label: the least vertex of each vertex's component.
+
+    Large and small stars alternate until the edges stay as they are, in a number of rounds that grows with the
+    logarithm of the longest path. Each round is written to the shared folder and the one before it removed.
+    """
+    def mark(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+    now = cut_lineage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    seen = mark(now)
+    while seen[0]:
+        new = cut_lineage(_star(_star(now, False), True))
+        discard(now)
+        now, before, seen = new, seen, mark(new)
+        if seen == before:
             break
-    return labels
+    return now.select(F.col("a").alias("v"), F.col("b").alias("label")).unionByName(now.select(F.col("b").alias("v"), F.col("b").alias("label")).distinct())
 
 
 def groups(df: DataFrame, key: str, text: str, rule: Rule) -> DataFrame:
@@ -420,7 +445,7 @@ def groups(df: DataFrame, key: str, text: str, rule: Rule) -> DataFrame:
     texts = _texts(df, key, text)
     reps = classes(texts, rule)
     linked = cut_lineage(similar_classes(texts, reps, rule).select("a", "b"))
-    ids, _ = _ids(texts, reps)
+    ids = _ids(texts, reps)[0].drop("share")
     size = ids.groupBy("rid").agg(F.count("*").alias("size"))
     ends = linked.unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b")))
     near = ends.join(size.select(F.col("rid").alias("b"), "size"), "b").groupBy(F.col("a").alias("rid")).agg(F.sum("size").alias("others"))
@@ -431,14 +456,25 @@ def groups(df: DataFrame, key: str, text: str, rule: Rule) -> DataFrame:
     return got.groupBy("id").agg(F.min("group_id").alias("group_id"), F.sum("links").alias("links"))
 
 
+def _members(rows: DataFrame, rid: str, n: str, ids: DataFrame, name: str) -> DataFrame:
+    """rows with every id of the class rid of n copies as name; a class meets its rows share by share, so that a large one is spread over many tasks."""
+    spread = rows.withColumn("share", F.explode(F.sequence(F.lit(0), _shares(F.col(n)) - 1)))
+    return spread.join(ids.select(F.col("rid").alias(rid), "share", F.col("id").alias(name)), [rid, "share"]).drop("share")
+
+
 def similar_pairs(df: DataFrame, key: str, text: str, rule: Rule) -> DataFrame:
-    """id_a < id_b: every pair of ids whose texts are alike, copies included."""
+    """id_a < id_b: every pair of ids whose texts are alike, copies included.
+
+    The result has n (n - 1) / 2 rows for a text with n copies, as the listing of all pairs wants; groups gives one row per id instead.
+    """
     texts = _texts(df, key, text)
     reps = classes(texts, rule)
     linked = similar_classes(texts, reps, rule)
     ids, copies = _ids(texts, reps)
-    ab = linked.join(ids.select(F.col("rid").alias("a"), F.col("id").alias("x")), "a")
-    ab = ab.join(ids.select(F.col("rid").alias("b"), F.col("id").alias("y")), "b").select("x", "y")
-    same = copies.select("rid", F.col("id").alias("x")).join(copies.select("rid", F.col("id").alias("y")), "rid").where("x < y").select("x", "y")
+    for side in "ab":
+        linked = linked.join(reps.select(F.col("rid").alias(side), F.col("n").alias(f"n{side}")), side)
+    ab = _members(_members(linked, "a", "na", ids, "x"), "b", "nb", ids, "y").select("x", "y")
+    own = copies.join(reps.where("n > 1").select("rid", "n"), "rid").select("rid", "n", F.col("id").alias("x"))
+    same = _members(own, "rid", "n", copies, "y").where("x < y").select("x", "y")
     both = ab.unionByName(same).where("x <> y")
     return both.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()

@@ -83,11 +83,25 @@ def test_groups(spark):
 
 
 def test_long_chain_is_one_component(spark):
-    edges = spark.createDataFrame([(i, i + 1) for i in range(300)], "a bigint, b bigint")
-    assert {(r.label) for r in N.components(edges).collect()} == {0}
+    # neighbours on the chain have distant numbers, so that no vertex learns from the order
+    step, n = 7_919, 100_000
+    edges = spark.range(n).selectExpr(f"id * {step} % {n} AS a", f"(id + 1) * {step} % {n} AS b").where(f"a <> {step * 50_000 % n}")
+    got = N.components(edges.unionByName(spark.createDataFrame([(200_001, 200_000), (200_000, 200_002), (200_000, 200_000)], "a bigint, b bigint")))
+    sizes = {r.label: r["count"] for r in got.groupBy("label").count().collect()}
+    assert got.select("v").distinct().count() == got.count() == n + 3
+    assert len(sizes) == 2 and sizes[0] == n and sizes[200_000] == 3
     assert N.components(edges.limit(0)).count() == 0
 
 
+def test_copies_in_shares(spark, monkeypatch):
+    base = " ".join(f"w{i}" for i in range(40))
+    rows = [(f"{k:02}", base) for k in range(20)] + [(f"b{k}", base + " fin") for k in range(7)] + [("b0", base + " fin")]
+    want = brute(rows, N.CHUNK_RULE)
+    monkeypatch.setattr(N, "SHARE_OF_CLASS", 3)
+    got = [(r.id_a, r.id_b) for r in N.similar_pairs(spark.createDataFrame(rows, "id string, text string"), "id", "text", N.CHUNK_RULE).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_splits_lose_no_recall():
     # pairs at the threshold in buckets that are split again and again: the share that meets in a run, and so in one of the runs
     rng = np.random.default_rng(5)
