@@ -23,13 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 OUTLINE_KEY = "toc"
-#: Strings nested in strings are opened at most so often.
-MAX_UNWRAP = 8
 
 _ROWS = (
     "document_id string, node_ord int, parent_ord int, sibling_no int, depth int, "
     "obj_hash binary, target_hash binary, node_id string, title string, level string, "
-    "target_page string, target_offset string, extra string, child_hashes array<binary>"
+    "target_page string, target_offset string, target_extra string, extra string, child_hashes array<binary>"
 )
 _ARROW = pa.schema(
     [
@@ -45,6 +43,7 @@ _ARROW = pa.schema(
         ("level", pa.string()),
         ("target_page", pa.string()),
         ("target_offset", pa.string()),
+        ("target_extra", pa.string()),
         ("extra", pa.string()),
         ("child_hashes", pa.list_(pa.binary())),
     ]
@@ -136,9 +135,8 @@ def parse_json(text: str | None):
 
 
 def _opened(value):
-    for _ in range(MAX_UNWRAP):
-        if not isinstance(value, str):
-            break
+    """A JSON text in a string, in however many strings: each opening makes it shorter."""
+    while isinstance(value, str):
         value = parse_json(value)
     return value
 
@@ -151,21 +149,25 @@ def _objects(value) -> list[dict]:
     return [x for x in value if isinstance(x, dict)] if isinstance(value, list) else []
 
 
-def find_outline(value) -> list[dict]:
-    """The nodes under the outline key: the shallowest such key, at one depth the first written, that holds nodes."""
-    value = _opened(value)
+def _locate(value) -> tuple[dict | None, list[dict]]:
+    """The object that holds the outline, and the outline's nodes."""
     level = [value]
     while level:
         below = []
         for x in level:
             if isinstance(x, dict):
                 if OUTLINE_KEY in x and (found := _objects(x[OUTLINE_KEY])):
-                    return found
+                    return x, found
                 below += [v for k, v in x.items() if k != OUTLINE_KEY]
             elif isinstance(x, list):
                 below += x
         level = [x for x in below if isinstance(x, (dict, list))]
-    return []
+    return None, []
+
+
+def find_outline(value) -> list[dict]:
+    """The nodes under the outline key: the shallowest such key, at one depth the first written, that holds nodes."""
+    return _locate(_opened(value))[1]
 
 
 def _scalar(value) -> str | None:
@@ -220,19 +222,20 @@ def flatten_document(metadata: str | None) -> list[list]:
         ord_ = len(rows) + 1
         target = _opened(node.get("target")) if isinstance(node.get("target"), str) else node.get("target")
         page, offset = (target.get("page"), target.get("offset")) if isinstance(target, dict) else (target, None)
+        beside = {k: v for k, v in target.items() if k not in ("page", "offset")} if isinstance(target, dict) else None
         extra = {k: v for k, v in node.items() if k not in ("id", "title", "level", "target", "children")}
         rows.append(
             [ord_, parent, sibling, depth, None, None if target is None else _digest(b"target", _canonical(target).encode("utf-8", "surrogatepass"))]
             + [_scalar(node.get(k)) for k in ("id", "title", "level")]
-            + [_scalar(page), _scalar(offset), _canonical(extra) if extra else None, []]
+            + [_scalar(page), _scalar(offset), _canonical(beside) if beside else None, _canonical(extra) if extra else None, []]
         )
         todo += [(c, ord_, i, depth + 1) for i, c in reversed(list(enumerate(_objects(node.get("children")), 1)))]
     for r in reversed(rows):  # children follow their parent, so their hashes are ready first
-        r[12].reverse()
-        own = json.dumps([r[6], r[7], r[8], r[11]], ensure_ascii=False).encode("utf-8", "surrogatepass")
-        r[4] = _digest(b"node", own, r[5] or b"", *r[12])
+        r[13].reverse()
+        own = json.dumps([r[6], r[7], r[8], r[12]], ensure_ascii=False).encode("utf-8", "surrogatepass")
+        r[4] = _digest(b"node", own, r[5] or b"", *r[13])
         if r[1]:
-            rows[r[1] - 1][12].append(r[4])
+            rows[r[1] - 1][13].append(r[4])
     return rows
 
 
@@ -280,11 +283,11 @@ def outline_objects(occurrences: DataFrame) -> DataFrame:
 
 
 def outline_targets(occurrences: DataFrame) -> DataFrame:
-    """Each distinct target once."""
+    """Each distinct target once, with its fields besides page and offset."""
     return (
         occurrences.where(F.col("target_hash").isNotNull())
         .groupBy("target_hash")
-        .agg(F.first("target_page").alias("page"), F.first("target_offset").alias("offset"), F.count("*").alias("occurrences"))
+        .agg(F.first("target_page").alias("page"), F.first("target_offset").alias("offset"), F.first("target_extra").alias("extra"), F.count("*").alias("occurrences"))
     )
 
 
@@ -295,3 +298,71 @@ def outline_bridge(occurrences: DataFrame) -> DataFrame:
         .select(F.col("obj_hash").alias("parent_hash"), (F.col("pos") + 1).alias("ordinal"), "child_hash")
         .distinct()
     )
+
+
+_FIELDS = "document_id string, value_ord int, parent_ord int, key string, position int, kind string, value string, value_hash binary, child_hashes array<binary>"
+_FIELDS_ARROW = pa.schema(
+    [("document_id", pa.string()), ("value_ord", pa.int32()), ("parent_ord", pa.int32()), ("key", pa.string()), ("position", pa.int32()), ("kind", pa.string()), ("value", pa.string()), ("value_hash", pa.binary()), ("child_hashes", pa.list_(pa.binary()))]
+)
+
+
+def _kind(value) -> str:
+    if value is None:
+        return "null"
+    return {dict: "object", list: "array", str: "string", bool: "boolean"}.get(type(value), "number")
+
+
+def flatten_fields(metadata: str | None) -> list[list]:
+    """Occurrence rows of all values of one document besides its outline, in the order written, with Merkle hashes.
+
+    value_ord, parent_ord (0 for the document's value itself), key in an object, position from 1, kind, value of scalars, hash, children's hashes.
+    """
+    value = _opened(parse_json(metadata))
+    if not isinstance(value, (dict, list)):
+        return []
+    holder, _ = _locate(value)
+    rows: list[list] = []
+    todo = [(value, 0, None, 1)]
+    while todo:
+        x, parent, key, position = todo.pop()
+        kind = _kind(x)
+        rows.append([len(rows) + 1, parent, key, position, kind, None if kind in ("null", "object", "array") else _scalar(x), None, []])
+        me = len(rows)
+        inner = [(k, v) for k, v in x.items() if not (x is holder and k == OUTLINE_KEY)] if kind == "object" else [(None, v) for v in x] if kind == "array" else []
+        todo += [(v, me, k, i) for i, (k, v) in reversed(list(enumerate(inner, 1)))]
+    for r in reversed(rows):
+        parts = r[7][::-1]
+        if r[4] == "object":  # the order of an object's keys is no part of its identity
+            parts.sort()
+        r[6] = _digest(r[4].encode(), (r[5] or "").encode("utf-8", "surrogatepass"), *(x for p in parts for x in p))
+        r[7] = [h for _, h in r[7][::-1]]
+        if r[1]:
+            rows[r[1] - 1][7].append((("" if r[2] is None else r[2]).encode("utf-8", "surrogatepass"), r[6]))
+    return rows
+
+
+def _field_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        cols: list[list] = [[] for _ in _FIELDS_ARROW]
+        for doc, meta in zip(batch.column(0), batch.column(1)):
+            for r in flatten_fields(meta.as_py()):
+                cols[0].append(doc.as_py())
+                for c, v in zip(cols[1:], r):
+                    c.append(_clean(v) if isinstance(v, str) else v)
+            if len(cols[0]) > 20_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _FIELDS_ARROW)], schema=_FIELDS_ARROW)
+                cols = [[] for _ in _FIELDS_ARROW]
+        if cols[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _FIELDS_ARROW)], schema=_FIELDS_ARROW)
+
+
+def field_occurrences(documents: DataFrame) -> DataFrame:
+    """One row per value of each document's metadata besides its outline, linked to its parent value."""
+    return newest_rows(documents).mapInArrow(_field_batches, _FIELDS)
+
+
+def field_values(occurrences: DataFrame) -> DataFrame:
+    """Each distinct value once: objects and arrays alike in all their content have one hash."""
+    return occurrences.groupBy("value_hash").agg(
+        F.first("kind").alias("kind"), F.first("value").alias("value"), F.first(F.size("child_hashes")).alias("children"), F.count("*").alias("occurrences")
+    )

@@ -37,3 +37,22 @@ def p5_objects(spark: SparkSession, d: str) -> DataFrame:
 def p5_bridge(spark: SparkSession, d: str) -> DataFrame:
     got = nested.outline_bridge(nested.outline_occurrences(table(spark, d, "legal_documents")))
     return got.withColumns({c: F.hex(c) for c in ("parent_hash", "child_hash")})
+
+
+@query()
+def p5_target_objects(spark: SparkSession, d: str) -> DataFrame:
+    """Each distinct target once, keyed as in p5_objects."""
+    got = nested.outline_targets(nested.outline_occurrences(table(spark, d, "legal_documents")))
+    return got.withColumn("target_hash", F.hex("target_hash"))
+
+
+@query()
+def p5_fields(spark: SparkSession, d: str) -> DataFrame:
+    """The metadata besides the outline: every value with its parent."""
+    return nested.field_occurrences(table(spark, d, "legal_documents")).drop("child_hashes").withColumn("value_hash", F.hex("value_hash"))
+
+
+@query()
+def p5_values(spark: SparkSession, d: str) -> DataFrame:
+    """The metadata besides the outline: every distinct value once."""
+    return nested.field_values(nested.field_occurrences(table(spark, d, "legal_documents"))).withColumn("value_hash", F.hex("value_hash"))

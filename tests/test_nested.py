@@ -104,4 +104,34 @@ def test_deep_values_keep_their_content():
     deep = lambda x: "[" * 50_000 + x + "]" * 50_000
     a, b, c = (nested.flatten_document(f'{{"toc": [{{"title": "t", "note": {deep(x)}, "target": {{"page": 1, "at": {deep(y)}}}}}]}}')[0] for x, y in (("1", "1"), ("2", "1"), ("1", "2")))
     assert a[4] != b[4] != c[4] != a[4] and a[5] == b[5] != c[5]
-    assert a[11] == '{"note":' + deep("1") + "}"
+    assert a[12] == '{"note":' + deep("1") + "}"
+
+
+def test_strings_in_strings():
+    text = '{"toc": [{"id": "s"}]}'
+    for _ in range(14):
+        text = json.dumps(text)
+    assert [r[6] for r in N.flatten_document(text)] == ["s"]
+
+
+def test_targets_keep_their_fields():
+    a, b = N.flatten_document('{"toc": [{"target": {"page": 1, "offset": 2, "kind": "x"}}, {"target": 7}]}')
+    assert a[9:12] == ["1", "2", '{"kind":"x"}'] and b[9:12] == ["7", None, None]
+
+
+def test_fields_besides_the_outline(spark):
+    meta = {"a": {"toc": [{"id": 1}], "n": 2.5}, "sections": [{"t": "x", "u": None}, {"u": None, "t": "x"}, []], "toc": []}
+    rows = N.flatten_fields(json.dumps(json.dumps(meta)))
+    assert [(r[0], r[1], r[2], r[3], r[4], r[5]) for r in rows] == [
+        (1, 0, None, 1, "object", None), (2, 1, "a", 1, "object", None), (3, 2, "n", 1, "number", "2.5"), (4, 1, "sections", 2, "array", None),
+        (5, 4, None, 1, "object", None), (6, 5, "t", 1, "string", "x"), (7, 5, "u", 2, "null", None), (8, 4, None, 2, "object", None),
+        (9, 8, "u", 1, "null", None), (10, 8, "t", 2, "string", "x"), (11, 4, None, 3, "array", None), (12, 1, "toc", 3, "array", None),
+    ]
+    assert rows[4][6] == rows[7][6] != rows[10][6] == rows[11][6]
+    assert N.flatten_fields(None) == N.flatten_fields("{") == N.flatten_fields("7") == []
+    deep = N.flatten_fields('{"k":' + "[" * 50_000 + "]" * 50_000 + "}")
+    assert len(deep) == 50_001
+    df = spark.createDataFrame([("d", json.dumps(meta), 1), ("e", json.dumps(meta), 1), ("f", None, 1)], "id string, metadata string, updatedAt int")
+    occ = N.field_occurrences(df)
+    assert occ.count() == 24 and N.field_values(occ).where("kind = 'object'").agg({"occurrences": "sum"}).first()[0] == 8
+    assert N.field_values(occ).count() == len({r[6] for r in rows})
