@@ -2,13 +2,14 @@
 
 Features of a text: lexical diversity (distinct words in blocks of 50), word rarity (mean surprisal
 under the word counts of the whole corpus), connectives, clause depth (commas, semicolons and
-subordinating words per sentence), length (of words and sentences) and the mean grade of its words in
-the graded texts.  A proportional-odds model with a ridge penalty maps them to levels; the penalty is
-chosen by cross-validation on the graded texts.  The level given is the one whose cumulative
-probability passes one half.
+subordinating words per sentence) and length (of words and sentences).  They are measured for many
+texts at once, on the numbers of their words and on their code points.  A proportional-odds model with
+a ridge penalty maps them to levels; the penalty is chosen by cross-validation on the graded texts.
+The level given is the one whose cumulative probability passes one half.
 
 The graded texts are a bounded set (at most MOST_GRADED rows are used); the corpus counts cover all
-documents, and the words above KNOWN_SHARE of them, at most 1 / KNOWN_SHARE, come to the driver.
+documents, and the words seen more often than EVIDENCE + KNOWN_SHARE of all words, at most 1 / KNOWN_SHARE,
+come to the driver.
 
 Defined results: null and blank texts get no level; a text without letters gets the level of a text
 without any of the features' words; case, line ends and list marks have no influence.
@@ -16,9 +17,8 @@ without any of the features' words; case, line ends and list marks have no influ
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +30,7 @@ from ..session import cut_lineage
 from . import arrays
 
 MOST_GRADED = 5000
-KNOWN_SHARE = 2e-6
+EVIDENCE, KNOWN_SHARE = 1, 2e-6
 LEVELS = 5
 BLOCK = 50
 
@@ -42,108 +42,90 @@ CONNECTIVES = set(
     that when although while if because unless where whereas provided notwithstanding whether which whose so save having being without
     prejudice regard therefore hereby thereof understood insofar far under within""".split()
 )
-_MARK = re.compile(r"(?:(?:art[íi]culo|section|secci[óo]n)\s+\d+\s*\.?\s*[-–]?\s*|[-•*·]\s+|\d+[.)]\s+|[ivxlc]+[.)]\s+|[a-z]\)\s+)", re.I)
-_END = re.compile(r"[.!?…]+(?=\s)|\n")
+_BLANKS, _BREAKS = re.compile(r"[^\S\n]+"), re.compile(r" ?\n[ \n]*")
+_WRAPPED = re.compile(r"(?<=[^.!?…\x00\n])\n(?=[^\W\d_])")
+_MARK = re.compile(r"(?<=[\x00\n])(?:(?:art[íi]culo|section|secci[óo]n)\s+\d+\s*\.?\s*[-–]?\s*|[-•*·]\s+|\d+[.)]\s+|[ivxlc]+[.)]\s+|[a-z]\)\s+)", re.I)
 _WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
-FEATURES = ["diversity", "rarity", "connectives", "clauses", "sentence", "word", "longest", "grade", "english"]
-_ENGLISH = {"the", "of", "and", "shall", "to", "is", "by", "in", "we", "you", "they", "it"}
-_SPANISH = {"el", "la", "de", "y", "en", "los", "que", "del", "un", "una", "su", "al"}
-
-
-def prepared(text: str) -> str:
-    """Lower case, without list marks; lines wrapped within a sentence are joined, runs of blanks are one."""
-    out: list[str] = []
-    for line in text.replace("\r", "\n").split("\n"):
-        line = " ".join(line.split())
-        if not line:
-            continue
-        if out and line[0].islower() and out[-1][-1] not in ".!?…":
-            out[-1] += " " + line
-            continue
-        if m := _MARK.match(line):
-            line = line[m.end() :]
-        if line:
-            out.append(line)
-    return "\n".join(out).lower()
+FEATURES = ["diversity", "rarity", "connectives", "clauses", "sentence", "word", "longest"]
 
 
-class Measure:
-    """Turns texts into feature rows."""
+def prepared(texts: list[str]) -> str:
+    """All texts as one string, each after a NUL: lower case, without list marks; lines wrapped within a sentence are joined, runs of blanks are one."""
+    whole = "\0" + "\0".join(t.replace("\0", " ") for t in texts) + "\0"
+    whole = _BREAKS.sub("\n", _BLANKS.sub(" ", whole.replace("\r", "\n"))).replace("\0\n", "\0").replace("\n\0", "\0").replace("\0 ", "\0").replace(" \0", "\0")
+    whole = _WRAPPED.sub(lambda m: " " if whole[m.end()].islower() else "\n", whole)
+    return _MARK.sub("", whole).lower()
 
-    def __init__(self, surprisal: dict[str, float], unknown: float, grade: dict[str, float]):
-        self.surprisal, self.unknown, self.grade = surprisal, unknown, grade
-        self.facts: dict[str, tuple] = {}
 
-    def fact(self, token: str) -> tuple:
-        """Of a token's word: 1 (0 without letters), surprisal, connective, grade, 1 where graded, length, English, Spanish; remembered (emptied when full)."""
-        if len(self.facts) > 500_000:
-            self.facts.clear()
+class _Facts(dict):
+    """Numbers of tokens; a new one's word is looked at once."""
+
+    def __init__(self, surprisal: dict[str, float], unknown: float):
+        super().__init__()
+        self.surprisal, self.unknown = surprisal, unknown
+        self.rows: list[tuple] = []
+
+    def __missing__(self, token: str) -> int:
         m = _WORD.search(token)
         w = m[0] if m else ""
-        g = self.grade.get(w)
-        got = (1, self.surprisal.get(w, self.unknown), w in CONNECTIVES, g or 0.0, g is not None, len(w), w in _ENGLISH, w in _SPANISH) if w else (0,) * 8
-        self.facts[token] = got
-        return got
-
-    def row(self, text: str) -> list[float]:
-        low = prepared(text)
-        tokens = low.split()
-        known = self.facts
-        n = rare = linked = graded = rated = letters = en = es = kinds = 0
-        for t, c in Counter(tokens).items():
-            one, r, l, g, k, size, e, s = known.get(t) or self.fact(t)
-            if one:
-                kinds += 1
-                n += c
-                rare += c * r
-                letters += c * size
-                if l:
-                    linked += c
-                if k:
-                    graded += c * g
-                    rated += c
-                if e:
-                    en += c
-                if s:
-                    es += c
-        if not n:
-            return [1.0, self.unknown, 0.0, 0.0, 0.0, 0.0, 0.0, 3.0, 0.0]
-        sizes, at = [], 0
-        for m in _END.finditer(low):
-            end = m.end()
-            if end - at > 6:
-                sizes.append(end - at)
-            at = end
-        if len(low) - at > 6:
-            sizes.append(len(low) - at)
-        sizes.sort()
-        sentences = max(1, len(sizes))
-        blocks = [len(set(tokens[i : i + BLOCK])) for i in range(0, len(tokens) - BLOCK + 1, BLOCK)]
-        marks = low.count(",") + low.count(";")
-        return [
-            sum(blocks) / (BLOCK * len(blocks)) if blocks else kinds / n,
-            rare / n,
-            linked / n,
-            math.log1p((marks + linked) / sentences),
-            math.log1p(n / sentences),
-            letters / n,
-            math.log1p(sizes[int(0.9 * (len(sizes) - 1))]) if sizes else 0.0,
-            graded / rated if rated else 3.0,
-            float(en > es),
-        ]
-
-
-def word_grades(texts: list[str], levels: np.ndarray, shrink: float = 1.0) -> dict[str, float]:
-    """Mean level at which each word is used, shrunk to the middle level; a word's weight in a text is its share there."""
-    use: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(2))
-    per = np.bincount(levels, minlength=LEVELS + 1)
-    for t, lv in zip(texts, levels):
-        words = _WORD.findall(prepared(t))
-        for w, c in Counter(words).items():
-            share = c / len(words) * 100 / per[lv]
-            use[w] += (share * lv, share)
-    middle = (LEVELS + 1) / 2
-    return {w: float((a + shrink * 0.05 * middle) / (b + shrink * 0.05)) for w, (a, b) in use.items()}
+        self[token] = n = len(self.rows)
+        self.rows.append((1.0, self.surprisal.get(w, self.unknown), float(w in CONNECTIVES), len(w)) if w else (0.0, 0.0, 0.0, 0.0))
+        return n
+
+
+class Measure:
+    """Turns texts into feature rows; remembers tokens (emptied when there are many)."""
+
+    def __init__(self, surprisal: dict[str, float], unknown: float):
+        self.surprisal, self.unknown = surprisal, unknown
+        self.facts = _Facts(surprisal, unknown)
+
+    def rows(self, texts: list[str]) -> np.ndarray:
+        if len(self.facts) > 500_000:
+            self.facts = _Facts(self.surprisal, self.unknown)
+        low = prepared(texts)
+        n = len(texts)
+        tokens = low.replace("\0", " \0 ").split()[:-1]
+        number = np.fromiter(map(self.facts.__getitem__, tokens), np.int64, len(tokens))
+        fact = np.array(self.facts.rows).reshape(-1, 4)
+        begins = number == self.facts["\0"]
+        row = np.cumsum(begins)[~begins] - 1
+        number = number[~begins]
+        worded, rare, linked, letters = (np.bincount(row, fact[number, k], n) for k in range(4))
+        words = np.maximum(worded, 1)
+        size = np.bincount(row, minlength=n)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+        # blocks from the start, and one at the end that makes the last words count
+        block = at // BLOCK
+        tail = (size[row] % BLOCK > 0) & (size[row] > BLOCK) & (at >= size[row] - BLOCK)
+        whole = block < np.maximum(size[row] // BLOCK, size[row] < BLOCK)
+        key = np.concatenate([row[whole] * (len(row) + 2) + block[whole], row[tail] * (len(row) + 2) + len(row) + 1])
+        kinds = np.unique(np.stack([key, np.concatenate([number[whole], number[tail]])]), axis=1)[0]
+        groups, distinct = np.unique(kinds, return_counts=True)
+        held = np.unique(key, return_counts=True)[1]
+        of = groups // (len(row) + 2)
+        diversity = np.bincount(of, distinct / held, n) / np.maximum(np.bincount(of, minlength=n), 1)
+        cps = np.frombuffer(low.encode("utf-32-le"), np.uint32)
+        stop = np.isin(cps, [ord(c) for c in ".!?…"])
+        edge = (cps == 10) | (cps == 0)
+        edge[:-1] |= stop[:-1] & np.isin(cps[1:], [10, 32, 0])
+        edges = np.flatnonzero(edge)
+        text = np.cumsum(cps == 0) - 1
+        length, owner = np.diff(edges), text[edges[:-1]]
+        ok = length > 6
+        length, owner = length[ok], owner[ok]
+        order = np.lexsort((length, owner))
+        length, owner = length[order], owner[order]
+        count = np.bincount(owner, minlength=n)[:n]
+        first = np.cumsum(count) - count
+        ninth = np.zeros(n)
+        some = count > 0
+        ninth[some] = length[(first + (0.9 * (count - 1)).astype(np.int64))[some]]
+        sentences = np.maximum(count, 1)
+        marks = np.bincount(text[np.isin(cps, [ord(","), ord(";")])], minlength=n)[:n]
+        out = np.stack([diversity, rare / words, linked / words, np.log1p((marks + linked) / sentences), np.log1p(worded / sentences), letters / words, np.log1p(ninth)], axis=1)
+        out[worded == 0] = (1.0, self.unknown, 0.0, 0.0, 0.0, 0.0, 0.0)
+        return out
 
 
 class Ordinal:
@@ -177,34 +159,18 @@ class Ordinal:
         return 1 + (self.score(x)[:, None] > self.cut).sum(1)
 
 
-def cross_validate(texts: list[str], levels: np.ndarray, surprisal: dict[str, float], unknown: float, ridges: list[float], folds: int = 6, seed: int = 0) -> dict[float, np.ndarray]:
-    """Held-out levels of the graded texts under each penalty. A fold's features are measured once."""
-    order = np.random.default_rng(seed).permutation(len(texts))
-    out = {r: np.zeros(len(texts), int) for r in ridges}
+def cross_validate(rows: np.ndarray, levels: np.ndarray, ridges: list[float], folds: int = 6, seed: int = 0) -> dict[float, np.ndarray]:
+    """Held-out levels of the graded texts under each penalty."""
+    order = np.random.default_rng(seed).permutation(len(rows))
+    out = {r: np.zeros(len(rows), int) for r in ridges}
     for f in range(folds):
         test = order[f::folds]
         train = np.setdiff1d(order, test)
-        rows, measure = training_rows([texts[i] for i in train], levels[train], surprisal, unknown)
-        held = np.array([measure.row(texts[i]) for i in test]).reshape(-1, len(FEATURES))
-        for r in ridges:
-            out[r][test] = Ordinal().fit(rows, levels[train], r).level(held)
+        for r in ridges if len(train) else []:
+            out[r][test] = Ordinal().fit(rows[train], levels[train], r).level(rows[test])
     return out
 
 
-def training_rows(texts: list[str], levels: np.ndarray, surprisal: dict[str, float], unknown: float) -> tuple[np.ndarray, Measure]:
-    """Feature rows of the graded texts, and the measure for others. The words' grades in a row come from the other half of the texts."""
-    order = np.argsort(levels, kind="stable")
-    half = np.zeros(len(texts), int)
-    half[order] = np.arange(len(texts)) % 2
-    rows = np.zeros((len(texts), len(FEATURES)))
-    for h in (0, 1):
-        other = [i for i in range(len(texts)) if half[i] != h]
-        measure = Measure(surprisal, unknown, word_grades([texts[i] for i in other], levels[other]))
-        for i in np.flatnonzero(half == h):
-            rows[i] = measure.row(texts[i])
-    return rows, Measure(surprisal, unknown, word_grades(texts, levels))
-
-
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     strip = ".,;:!?()[]\"'«»“”-–—¡¿…"
     for batch in batches:
@@ -213,7 +179,7 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             words: Counter = Counter()
             for t, n in tokens.items():
                 w = t.strip(strip)
-                if w and len(w) <= 40 and not any(c.isdigit() for c in w):
+                if w and not any(c.isdigit() for c in w):
                     words[w] += n
             yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
 
@@ -223,7 +189,7 @@ def corpus_surprisal(documents: DataFrame, text: str = "text") -> tuple[dict[str
     counts = documents.where(F.col(text).isNotNull()).select(text).mapInArrow(_count_batches, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     counts = cut_lineage(counts)
     total = counts.agg(F.sum("n")).first()[0] or 1
-    got = counts.where(F.col("n") >= max(2, KNOWN_SHARE * total)).toArrow().to_pydict()
+    got = counts.where(F.col("n") > EVIDENCE + KNOWN_SHARE * total).toArrow().to_pydict()
     return {w: float(np.log(total / n)) for w, n in zip(got["word"], got["n"])}, float(np.log(1 / KNOWN_SHARE))
 
 
@@ -232,21 +198,21 @@ def fitted(samples: DataFrame, documents: DataFrame, text: str = "text") -> tupl
     texts, levels = [r[0] for r in graded], np.array([r[1] for r in graded], int)
     if not len(texts):
         raise ValueError("no graded texts")
-    surprisal, unknown = corpus_surprisal(documents, text)
-    held = cross_validate(texts, levels, surprisal, unknown, [0.3, 1.0, 3.0])
+    measure = Measure(*corpus_surprisal(documents, text))
+    rows = measure.rows(texts)
+    held = cross_validate(rows, levels, [0.3, 1.0, 3.0])
     ridge = min(held, key=lambda r: (float(np.mean(np.abs(held[r] - levels))), -r))
-    rows, measure = training_rows(texts, levels, surprisal, unknown)
-    return Ordinal().fit(rows, levels, ridge), measure
+    return Ordinal().fit(rows, levels, ridge), Measure(measure.surprisal, measure.unknown)
 
 
 def _level_batches(model: Ordinal, measure: Measure):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in arrays.slices(batch, 1):
-                rows = np.array([measure.row(t) for t in part.column(1).to_pylist()]).reshape(-1, len(FEATURES))
+                rows = measure.rows(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(model.level(rows).astype(np.int32)), pa.array(model.score(rows)), *(pa.array(c) for c in rows[:, :7].T)],
-                    names=["doc_id", "reading_level", "score", *FEATURES[:7]],
+                    [part.column(0), pa.array(model.level(rows).astype(np.int32)), pa.array(model.score(rows)), *(pa.array(c) for c in rows.T)],
+                    names=["doc_id", "reading_level", "score", *FEATURES],
                 )
 
     return run
@@ -255,7 +221,7 @@ def _level_batches(model: Ordinal, measure: Measure):
 def reading_levels(documents: DataFrame, samples: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, reading_level, the model's score and the features of every document whose text isn't blank."""
     if samples.limit(1).count() == 0:
-        return documents.sparkSession.createDataFrame([], f"doc_id bigint, reading_level int, score double, {', '.join(f'{c} double' for c in FEATURES[:7])}")
+        return documents.sparkSession.createDataFrame([], f"doc_id bigint, reading_level int, score double, {', '.join(f'{c} double' for c in FEATURES)}")
     model, measure = fitted(samples, documents, text)
     rows = documents.where(F.col(text).isNotNull() & F.col(text).rlike(r"(?U)\S") & F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(_level_batches(model, measure), f"doc_id bigint, reading_level int, score double, {', '.join(f'{c} double' for c in FEATURES[:7])}")
+    return rows.mapInArrow(_level_batches(model, measure), f"doc_id bigint, reading_level int, score double, {', '.join(f'{c} double' for c in FEATURES)}")
