@@ -34,21 +34,27 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage, discard
 from . import arrays
 
-#: One-byte sketch positions carried along.
-SKETCH = 40
+#: Sketch positions of four bits carried along, two in a byte.
+SKETCH, NIBBLES = 80, 16
+WIDTH = SKETCH // 2
 #: Buckets up to this size are compared pair by pair.
-SMALL = 24
+SMALL = 64
 #: Children of a path at a split, and splits at most within a task: beyond, members are alike in nearly all tokens.
-CHILDREN, DEPTH = 5, 6
+CHILDREN, DEPTH = 3, 8
 #: Classes in the sample for hot paths, members from which a path counts as hot, and meetings in the sample that tell it.
 SAMPLE, HOT_ROWS, HOT_SEEN = 16_384, 20_000, 12
 
 
+def agreement(s: float) -> float:
+    """Chance that two sets of similarity s have the same value at a sketch position."""
+    return s + (1 - s) / NIBBLES
+
+
 def survival(s: float) -> float:
     """Chance that two sets of similarity s that met are together in some bucket after however many splits."""
-    lost = 0.0
+    lost, same = 0.0, agreement(s)
     for _ in range(1000):
-        lost = (1 - s + s * lost) ** CHILDREN
+        lost = (1 - same + same * lost) ** CHILDREN
     return 1 - lost
 
 
@@ -68,8 +74,9 @@ class Rule:
 
     @property
     def shared(self) -> int:
-        """Sketch positions that a pair must share to be checked exactly: 2.3 deviations below the threshold's mean."""
-        return math.floor(SKETCH * self.threshold - 2.3 * math.sqrt(SKETCH * self.threshold * (1 - self.threshold)))
+        """Sketch positions that a pair must share to be checked exactly: 2.5 deviations below the threshold's mean."""
+        p = agreement(self.threshold)
+        return math.floor(SKETCH * p - 2.5 * math.sqrt(SKETCH * p * (1 - p)))
 
     def units(self, text: str):
         low = text.lower()
@@ -131,16 +138,26 @@ def _run_hashes(texts: list, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketches(texts: list, rule: Rule, functions: int) -> np.ndarray:
-    """Least value of each text's runs under each hash function; every text must have a run."""
+    """Least value, mixed, of each text's runs under each hash function; every text must have a run."""
     h, off = _run_hashes(texts, rule)
-    out = np.empty((len(texts), functions), np.uint64)
+    half = (h >> np.uint64(32)).astype(np.uint32)
+    out = np.empty((functions, len(texts)), np.uint32)
     seed = np.random.default_rng(20240229)
-    mult = seed.integers(1, 1 << 63, functions, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    mult = seed.integers(1, 1 << 31, functions, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    at = off[:-1]
+    x, y = np.empty_like(half), np.empty_like(half)
     with np.errstate(over="ignore"):
         for k in range(functions):
-            x = h * mult[k]
-            out[:, k] = np.minimum.reduceat(x ^ (x >> np.uint64(32)), off[:-1])
-    return _mix(out)
+            np.multiply(half, mult[k], out=x)
+            np.right_shift(x, 16, out=y)
+            np.bitwise_xor(x, y, out=x)
+            out[k] = np.minimum.reduceat(x, at)
+    return _mix(out.T.astype(np.uint64))
+
+
+def pack(values: np.ndarray) -> np.ndarray:
+    """Sketches of values below 16, two in a byte."""
+    return np.ascontiguousarray(values[:, 0::2] | values[:, 1::2] << np.uint8(4))
 
 
 def _sketch_batches(rule: Rule):
@@ -159,10 +176,10 @@ def _sketch_batches(rule: Rule):
                     continue
                 got = sketches(texts, rule, total)
                 tokens = np.ascontiguousarray((got[:, : rule.runs] >> np.uint64(32)).astype(np.uint32))
-                sketch = np.ascontiguousarray((got[:, rule.runs :] >> np.uint64(56)).astype(np.uint8))
+                sketch = pack((got[:, rule.runs :] >> np.uint64(60)).astype(np.uint8))
                 rest = part.select([0, 1, 2]).take(pa.array(kept))
                 yield pa.RecordBatch.from_arrays(
-                    [*rest.columns, _binary(sketch, SKETCH), _binary(tokens.view(np.uint8), 4 * rule.runs)], names=["id", "t1", "t2", "sketch", "tokens"]
+                    [*rest.columns, _binary(sketch, WIDTH), _binary(tokens.view(np.uint8), 4 * rule.runs)], names=["id", "t1", "t2", "sketch", "tokens"]
                 )
 
     return run
@@ -197,7 +214,7 @@ def hot_paths(sample: pa.Table, runs: int, total: int) -> np.ndarray:
     if not len(sample):
         return np.zeros(0, np.uint64)
     sample = sample.combine_chunks()
-    sketch = _from_binary(sample.column("sketch").chunk(0), np.uint8, SKETCH)
+    sketch = _from_binary(sample.column("sketch").chunk(0), np.uint8, WIDTH)
     path = _paths(_from_binary(sample.column("tokens").chunk(0), np.uint32, runs)).reshape(-1)
     row = np.repeat(np.arange(len(sketch)), runs)
     hot, least = [], max(HOT_SEEN, HOT_ROWS * len(sketch) / max(1, total))
@@ -221,7 +238,7 @@ def _path_batches(runs: int, hot: np.ndarray):
         for batch in batches:
             if not len(batch):
                 continue
-            sketch = _from_binary(batch.column(1), np.uint8, SKETCH)
+            sketch = _from_binary(batch.column(1), np.uint8, WIDTH)
             path = _paths(_from_binary(batch.column(2), np.uint32, runs)).reshape(-1)
             row = np.repeat(np.arange(len(batch)), runs)
             done = []
@@ -243,10 +260,12 @@ def _path_batches(runs: int, hot: np.ndarray):
 def _children(path: np.ndarray, sketch: np.ndarray) -> np.ndarray:
     """Child paths: the positions sampled, different ones for each child, depend on the path alone, the branch on the member's token there."""
     out = np.empty((len(path), CHILDREN), np.uint64)
+    each = SKETCH // CHILDREN
     with np.errstate(over="ignore"):
         for c in range(CHILDREN):
-            where = (_mix(path + np.uint64(c)) % np.uint64(SKETCH // CHILDREN)).astype(np.int64) + c * (SKETCH // CHILDREN)
-            out[:, c] = _mix(path * _BASE + sketch[np.arange(len(path)), where].astype(np.uint64) + (where.astype(np.uint64) << np.uint64(20)))
+            where = (_mix(path + np.uint64(c)) % np.uint64(each)).astype(np.int64) + c * each
+            value = sketch[np.arange(len(path)), where >> 1] >> (where & 1).astype(np.uint8) * np.uint8(4) & np.uint8(15)
+            out[:, c] = _mix(path * _BASE + value.astype(np.uint64) + (where.astype(np.uint64) << np.uint64(20)))
     return out
 
 
@@ -265,21 +284,41 @@ def _after_split(group: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.n
     return work, whole
 
 
-def _alike(sketch: np.ndarray, a: np.ndarray, b: np.ndarray, shared: int) -> np.ndarray:
-    return (sketch[a] == sketch[b]).sum(1) >= shared
+_ONES = np.uint64(0x1111111111111111)
+
+
+def _agreeing(other: np.ndarray) -> np.ndarray:
+    """Positions at which sketches agree, from the exclusive or of their words: those whose four bits are equal."""
+    other |= other >> np.uint64(1)
+    other |= other >> np.uint64(2)
+    other &= _ONES
+    return SKETCH - np.bitwise_count(other).sum(0, dtype=np.int16)
 
 
 def _pairs_in_groups(order: np.ndarray, group: np.ndarray, sketch: np.ndarray, shared: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of neighbours at each distance within equal group numbers; order: row numbers sorted by group."""
-    step, at = 1, np.arange(len(order))
-    while len(at):
-        at = at[at + step < len(order)]
-        at = at[group[at] == group[at + step]]
-        for k in range(0, len(at), 1 << 17):
-            a, b = order[at[k : k + (1 << 17)]], order[at[k : k + (1 << 17)] + step]
-            ok = _alike(sketch, a, b, shared)
-            yield a[ok], b[ok]
-        step += 1
+    """Alike pairs at each distance within equal group numbers; order: row numbers sorted by group.
+
+    Large groups go first, so that at a distance only a beginning of the rows is left; sketches are compared side by side in memory.
+    """
+    if not len(order):
+        return
+    first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    size = np.diff(np.append(first, len(group)))
+    by = np.argsort(-size, kind="stable")
+    size, first = size[by], first[by]
+    order = order[np.repeat(first - (np.cumsum(size) - size), size) + np.arange(len(order))]
+    group = np.repeat(np.arange(len(size)), size)
+    words = np.ascontiguousarray(sketch.view(np.uint64)[order].T)
+    ends = np.cumsum(size)
+    for step in range(1, int(size[0])):
+        most = int(ends[np.searchsorted(-size, -step, "left") - 1])
+        for lo in range(0, most - step, 1 << 15):
+            hi = min(lo + (1 << 15), most - step)
+            ok = _agreeing(words[:, lo:hi] ^ words[:, lo + step : hi + step]) >= shared
+            at = lo + np.flatnonzero(ok)
+            at = at[group[at] == group[at + step]]
+            if len(at):
+                yield order[at], order[at + step]
 
 
 def candidate_pairs(path: np.ndarray, sketch: np.ndarray, shared: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -327,7 +366,7 @@ def _candidate_batches(shared: int):
             if not len(batch):
                 continue
             path = batch.column(0).to_numpy()
-            waiting.append((path, batch.column(1).to_numpy(), _from_binary(batch.column(2), np.uint8, SKETCH)))
+            waiting.append((path, batch.column(1).to_numpy(), _from_binary(batch.column(2), np.uint8, WIDTH)))
             held += len(path)
             if held < 50_000 or path[0] == path[-1]:
                 continue

@@ -106,12 +106,12 @@ def test_splits_lose_no_recall():
     # pairs at the threshold in buckets that are split again and again: the share that meets in a run, and so in one of the runs
     rng = np.random.default_rng(5)
     n, s = 1500, 0.5
-    one = rng.integers(0, 256, (n, N.SKETCH), dtype=np.uint8)
-    two = np.where(rng.random((n, N.SKETCH)) < s, one, rng.integers(0, 256, (n, N.SKETCH), dtype=np.uint8)).astype(np.uint8)
-    sketch = np.concatenate([one, two])
+    one, other = (rng.integers(0, 16, (n, N.SKETCH), dtype=np.uint8) for _ in range(2))
+    two = np.where(rng.random((n, N.SKETCH)) < s, one, other).astype(np.uint8)
+    sketch = N.pack(np.concatenate([one, two]))
     met = np.zeros(n)
     for run in range(40):
-        path = np.full(2 * n, 977 + run, np.uint64)
+        path = np.full(2 * n, 977 + run, np.uint64)  # all in one bucket
         hit = set()
         for a, b in N.candidate_pairs(path, sketch, N.CHUNK_RULE.shared):
             for x, y in zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist()):
@@ -124,8 +124,8 @@ def test_splits_lose_no_recall():
 
 
 def test_buckets_that_stay_alike_are_compared_once():
-    sketch = np.random.default_rng(2).integers(0, 256, N.SKETCH, dtype=np.uint8)[None, :].repeat(400, 0)
-    sketch[np.arange(400), np.arange(400) % N.SKETCH] ^= 1
+    sketch = np.random.default_rng(2).integers(0, 256, N.WIDTH, dtype=np.uint8)[None, :].repeat(400, 0)
+    sketch[np.arange(400), np.arange(400) % N.WIDTH] ^= 1
     got = [np.minimum(a, b) * 400 + np.maximum(a, b) for a, b in N.candidate_pairs(np.full(400, 3, np.uint64), sketch, N.CHUNK_RULE.shared)]
     got = np.concatenate(got)
     assert len(np.unique(got)) == len(got) == 400 * 399 // 2
