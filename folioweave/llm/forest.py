@@ -1,11 +1,17 @@
 """The k most similar vectors for every vector by a hash-prefix forest.
 
 Each tree gives a vector a long hash string: two digits (the nearest of PIVOTS[0], then of PIVOTS[1]
-pivots taken from a bounded sample, numbered along a line of hyperplane bits) and then hyperplane bits.
-A tree is the array of all vectors sorted by that string, cut into ranges at quantiles of the sample's
-strings.  Around a vector the longest-prefix matches stand next to it; ascending the tree widens the
-stretch on both sides.  All trees ascend in step until each gives 2 * REACH candidates, whose exact
-similarities are taken; the trees' lists are merged.
+pivots taken from a bounded sample, numbered by repeated bisection, so that a common prefix of their bits
+is a common cluster) and then hyperplane bits.  A tree is the array of all vectors sorted by that string,
+cut into ranges at quantiles of the sample's strings.
+
+Descent finds a vector's longest-prefix matches, the rows next to it.  The ascent is synchronous: all
+trees go up together, from long common prefixes to short ones, to the longest prefix length at which they
+have WANTED candidates between them.  That length differs from vector to vector; it is told when a vector
+is planted, from its place among the sample's strings of all trees, so that no exchange between trees is
+needed.  In each tree the candidates are the rows with at least that common prefix, and in any case the
+NEAR next rows on each side; of longer stretches the REACH next ones on each side.  Their exact
+similarities are taken and the trees' lists are merged.
 
 Every row is indexed; only the pivots and the range bounds come from a sample of about SAMPLE rows.
 The last bits of the string are bits of the row's key, so that equal vectors, however many, spread over
@@ -26,13 +32,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Trees, candidates on each side that every tree ascends to, rows compared at once.
-TREES, REACH, BLOCK = 4, 384, 512
+#: Trees; candidates all trees ascend to together; rows on each side that a tree gives at least and at most; rows compared at once.
+TREES, WANTED, NEAR, REACH, BLOCK = 4, 1500, 128, 768, 256
+#: Rows of the sample from which a prefix length is told; deeper ones are reckoned by halving.
+TOLD = 32
 PIVOTS = (2048, 64)
 #: Expected rows of the sample for pivots and bounds; at most twice as many are taken.
 SAMPLE = 24_000
-RANGE_ROWS = 40_000
+RANGE_ROWS = 16_000
 DIGIT_BITS, PLANE_BITS, KEY_BITS = (11, 6), 35, 11
+BITS = sum(DIGIT_BITS) + PLANE_BITS + KEY_BITS
 
 
 @dataclass
@@ -41,6 +50,7 @@ class Tree:
     digits: list[np.ndarray]
     planes: np.ndarray
     bounds: np.ndarray
+    sample: np.ndarray
 
     def strings(self, x: np.ndarray, keys: np.ndarray) -> np.ndarray:
         """Hash strings as ordered 63-bit numbers."""
@@ -52,6 +62,51 @@ class Tree:
         return out << KEY_BITS | (keys >> np.int64(20)) & np.int64((1 << KEY_BITS) - 1)
 
 
+def stretch_of(strings: np.ndarray, length: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end in the sorted array `among` of the strings that share prefixes of the given lengths."""
+    shift = BITS - length
+    prefix = strings >> shift
+    return np.searchsorted(among, prefix << shift), np.searchsorted(among, (prefix << shift) + ((np.int64(1) << shift) - 1), "right")
+
+
+def prefix_lengths(forest: list[Tree], strings: list[np.ndarray], rows: int) -> np.ndarray:
+    """Of each row, given by its strings in all trees: the longest common prefix at which the trees together have WANTED of all rows."""
+    each = rows / max(1, len(forest[0].sample))
+    need = max(WANTED / each, TOLD)
+    n = len(strings[0])
+    low, high, held = np.zeros(n, np.int64), np.full(n, BITS - KEY_BITS, np.int64), np.full(n, float(rows * len(forest)))
+    while (low < high).any():
+        mid = (low + high + 1) // 2
+        count = np.zeros(n)
+        for tree, s in zip(forest, strings):
+            a, b = stretch_of(s, mid, tree.sample)
+            count += b - a
+        ok = count >= need
+        held = np.where(ok & (low < high), count * each, held)
+        low, high = np.where(ok, mid, low), np.where(ok, high, mid - 1)
+    deeper = np.floor(np.log2(np.maximum(held / WANTED, 1))).astype(np.int64) if each > WANTED / TOLD else 0
+    return np.minimum(low + deeper, BITS - KEY_BITS).astype(np.int8)
+
+
+def bisected(points: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Numbers of points by repeated halving along their widest direction."""
+    place = np.empty(len(points), np.int64)
+    todo = [(np.arange(len(points)), 0)]
+    while todo:
+        part, base = todo.pop()
+        if len(part) == 1:
+            place[part[0]] = base
+            continue
+        y = points[part] - points[part].mean(0)
+        d = rng.standard_normal(y.shape[1]).astype(np.float32)
+        for _ in range(3):
+            d = y.T @ (y @ d)
+            d /= np.linalg.norm(d) + 1e-9
+        order, half = np.argsort(y @ d, kind="stable"), (len(part) + 1) // 2
+        todo += [(part[order[:half]], base), (part[order[half:]], base + half)]
+    return place
+
+
 def grow(sample: np.ndarray, keys: np.ndarray, rows: int, trees: int = TREES) -> list[Tree]:
     """Trees from a sample of unit vectors."""
     rng = np.random.default_rng(7)
@@ -64,14 +119,12 @@ def grow(sample: np.ndarray, keys: np.ndarray, rows: int, trees: int = TREES) ->
         for count in PIVOTS:
             p = sample[np.take(order, np.arange(used, used + min(count, len(sample))), mode="wrap")]
             used += count
-            place = np.empty(len(p), np.int64)
-            place[np.lexsort(((p @ planes) > 0).T[::-1])] = np.arange(len(p))
             pivots.append(p)
-            digits.append(place)
-        tree = Tree(pivots, digits, planes, np.zeros(0, np.int64))
+            digits.append(bisected(p, rng))
+        tree = Tree(pivots, digits, planes, np.zeros(0, np.int64), np.zeros(0, np.int64))
         ranges = max(1, min(-(-rows // RANGE_ROWS), len(sample) // 4))
-        got = np.sort(tree.strings(sample, keys))
-        tree.bounds = got[np.arange(1, ranges) * len(got) // ranges] if len(got) else got
+        tree.sample = np.sort(tree.strings(sample, keys))
+        tree.bounds = tree.sample[np.arange(1, ranges) * len(tree.sample) // ranges]
         out.append(tree)
     return out
 
@@ -98,7 +151,7 @@ def _from_binary(arr: pa.Array, kind, width: int) -> np.ndarray:
     return np.frombuffer(data, np.uint8, count=len(arr) * width, offset=int(at)).view(kind).reshape(len(arr), -1)
 
 
-def _plant_batches(trees: list[Tree], width: int):
+def _plant_batches(trees: list[Tree], width: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.concatenate([[0], np.cumsum([len(t.bounds) + 1 for t in trees])])
         for batch in batches:
@@ -107,21 +160,28 @@ def _plant_batches(trees: list[Tree], width: int):
                 if not len(keys):
                     continue
                 packed = np.rint(x * 32767).astype(np.int16)
-                for n, tree in enumerate(trees):
-                    s = tree.strings(x, keys)
+                strings = [t.strings(x, keys) for t in trees]
+                length = prefix_lengths(trees, strings, rows)
+                for n, (tree, s) in enumerate(zip(trees, strings)):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array((first[n] + np.searchsorted(tree.bounds, s, "right")).astype(np.int32)), pa.array(s), pa.array(keys), _binary(packed, 2 * width)],
-                        names=["stretch", "string", "key", "vector"],
+                        [pa.array((first[n] + np.searchsorted(tree.bounds, s, "right")).astype(np.int32)), pa.array(s), pa.array(keys), pa.array(length), _binary(packed, 2 * width)],
+                        names=["stretch", "string", "key", "length", "vector"],
                     )
 
     return run
 
 
-def _nearest(x: np.ndarray, keys: np.ndarray, lo: int, hi: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of rows lo..hi the k best candidates in their stretch; missing ones have similarity -2."""
-    a, b = max(0, lo - REACH), min(len(x), hi + REACH)
+def _nearest(x: np.ndarray, keys: np.ndarray, strings: np.ndarray, length: np.ndarray, lo: int, hi: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows lo..hi the k best candidates of their stretch; missing ones have similarity -2."""
+    at = np.arange(lo, hi)
+    begin, end = stretch_of(strings[lo:hi], length[lo:hi], strings)
+    begin = np.maximum(np.maximum(np.minimum(begin, at - NEAR), at - REACH), 0)
+    end = np.minimum(np.minimum(np.maximum(end, at + NEAR + 1), at + REACH + 1), len(x))
+    a, b = int(begin.min()), int(end.max())
     s = x[lo:hi] @ x[a:b].T
-    s[np.arange(hi - lo), np.arange(lo - a, hi - a)] = -2
+    col = np.arange(a, b)
+    s[(col < begin[:, None]) | (col >= end[:, None])] = -2
+    s[at - lo, at - a] = -2
     take = min(k, b - a)
     best = np.argpartition(s, b - a - take, axis=1)[:, b - a - take :] if b - a > take else np.tile(np.arange(b - a), (hi - lo, 1))
     return keys[a + best], np.take_along_axis(s, best, 1)
@@ -130,8 +190,8 @@ def _nearest(x: np.ndarray, keys: np.ndarray, lo: int, hi: int, k: int) -> tuple
 def _search_batches(width: int, k: int):
     """Rows arrive sorted by stretch and string; blocks are compared with their surroundings as they stream by."""
 
-    def emit(x, keys, lo, hi):
-        got, sim = _nearest(x, keys, lo, hi, k)
+    def emit(x, keys, strings, length, lo, hi):
+        got, sim = _nearest(x, keys, strings, length, lo, hi, k)
         if got.shape[1] < k:
             pad = k - got.shape[1]
             got = np.pad(got, ((0, 0), (0, pad)))
@@ -142,35 +202,34 @@ def _search_batches(width: int, k: int):
         return pa.RecordBatch.from_arrays([pa.array(keys[lo:hi]), _binary(row, 12 * k)], names=["key", "found"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # stretch, keys, vectors; rows before `done` have been answered
+        held = None  # stretch, vectors, keys, strings, prefix lengths; rows before `done` have been answered
         done = 0
         for batch in batches:
             if not len(batch):
                 continue
-            stretch, keys = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            x = _from_binary(batch.column(3), np.int16, 2 * width).astype(np.float32) / np.float32(32767)
-            if held is not None:
-                stretch, keys, x = np.append(held[0], stretch), np.append(held[1], keys), np.concatenate([held[2], x])
-            same = np.append(False, (keys[1:] == keys[:-1]) & (stretch[1:] == stretch[:-1]))
+            new = (batch.column(0).to_numpy(), _from_binary(batch.column(4), np.int16, 2 * width).astype(np.float32) / np.float32(32767), batch.column(2).to_numpy(), batch.column(1).to_numpy(), batch.column(3).to_numpy().astype(np.int64))
+            rows = new if held is None else tuple(np.concatenate(p) for p in zip(held, new))
+            same = np.append(False, (rows[2][1:] == rows[2][:-1]) & (rows[0][1:] == rows[0][:-1]))
             if same.any():  # delivered twice: equal keys and vectors are neighbours
                 done -= int(same[:done].sum())
-                stretch, keys, x = stretch[~same], keys[~same], x[~same]
+                rows = tuple(r[~same] for r in rows)
+            stretch = rows[0]
             edges = np.append(np.flatnonzero(np.append(True, stretch[1:] != stretch[:-1])), len(stretch))
             for a, b in zip(edges[:-1], edges[1:]):
                 last = b == len(stretch)
                 at = max(done, a)
+                part = [r[a:b] for r in rows[1:]]
                 while at < b and (not last or at + BLOCK + REACH <= b):
                     end = min(at + BLOCK, b)
-                    yield emit(x[a:b], keys[a:b], at - a, end - a)
+                    yield emit(*part, at - a, end - a)
                     at = end
                 done = at
             keep = max(edges[-2], done - REACH)
-            held, done = (stretch[keep:], keys[keep:], x[keep:]), done - keep
+            held, done = tuple(r[keep:] for r in rows), done - keep
         if held is not None:
-            stretch, keys, x = held
-            while done < len(keys):
-                end = min(done + BLOCK, len(keys))
-                yield emit(x, keys, done, end)
+            while done < len(held[0]):
+                end = min(done + BLOCK, len(held[0]))
+                yield emit(*held[1:], done, end)
                 done = end
 
     return run
@@ -243,8 +302,10 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 5, width: int = 64, t
     if not len(sample):
         return spark.createDataFrame([], "key bigint, rank int, neighbour bigint, similarity float")
     forest = grow(sample, keys, total, trees)
-    planted = rows.mapInArrow(_plant_batches(forest, width), "stretch int, string bigint, key bigint, vector binary")
-    sorted_ = planted.repartition("stretch").sortWithinPartitions("stretch", "string", "key")
+    planted = rows.mapInArrow(_plant_batches(forest, width, total), "stretch int, string bigint, key bigint, length tinyint, vector binary")
+    # as many tasks as ranges, so that a task's rows don't grow with the data
+    ranges = sum(len(t.bounds) + 1 for t in forest)
+    sorted_ = planted.repartition(ranges, "stretch").sortWithinPartitions("stretch", "string", "key")
     found = sorted_.mapInArrow(_search_batches(width, k), "key bigint, found binary")
     together = found.repartition("key").sortWithinPartitions("key")
     return together.mapInArrow(_merge_batches(k), "key bigint, rank int, neighbour bigint, similarity float")
