@@ -94,17 +94,19 @@ class Measure:
         worded, rare, linked, letters = (np.bincount(row, fact[number, k], n) for k in range(4))
         words = np.maximum(worded, 1)
         size = np.bincount(row, minlength=n)
-        at = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-        # blocks from the start, and one at the end that makes the last words count
-        block = at // BLOCK
-        tail = (size[row] % BLOCK > 0) & (size[row] > BLOCK) & (at >= size[row] - BLOCK)
-        whole = block < np.maximum(size[row] // BLOCK, size[row] < BLOCK)
-        key = np.concatenate([row[whole] * (len(row) + 2) + block[whole], row[tail] * (len(row) + 2) + len(row) + 1])
-        kinds = np.unique(np.stack([key, np.concatenate([number[whole], number[tail]])]), axis=1)[0]
-        groups, distinct = np.unique(kinds, return_counts=True)
-        held = np.unique(key, return_counts=True)[1]
-        of = groups // (len(row) + 2)
-        diversity = np.bincount(of, distinct / held, n) / np.maximum(np.bincount(of, minlength=n), 1)
+        # blocks from the start, and one at the end that makes the last words count; a shorter text is one block
+        first = np.cumsum(size) - size
+        whole, tail, short = size // BLOCK, np.flatnonzero((size > BLOCK) & (size % BLOCK > 0)), np.flatnonzero((size > 0) & (size < BLOCK))
+        owner = np.concatenate([np.repeat(np.arange(n), whole), tail, short])
+        step = np.arange(whole.sum()) - np.repeat(np.cumsum(whole) - whole, whole)
+        begin = np.concatenate([np.repeat(first, whole) + BLOCK * step, first[tail] + size[tail] - BLOCK, first[short]])
+        held = np.minimum(size[owner], BLOCK)
+        col = np.arange(BLOCK)
+        inside = col < held[:, None]
+        block = np.where(inside, number[np.where(inside, begin[:, None] + col, 0)] if len(number) else -1, -1).astype(np.int32)
+        block.sort(axis=1)
+        distinct = (block[:, 1:] != block[:, :-1]).sum(1) + (block[:, 0] >= 0)
+        diversity = np.bincount(owner, distinct / held, n) / np.maximum(np.bincount(owner, minlength=n), 1)
         cps = np.frombuffer(low.encode("utf-32-le"), np.uint32)
         stop = np.isin(cps, [ord(c) for c in ".!?…"])
         edge = (cps == 10) | (cps == 0)
