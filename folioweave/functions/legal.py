@@ -23,7 +23,7 @@ ARTICLE_NUMBER = rf"(?:\d+[º°o]?(?:\.\s*Bis)?(?:\s*-\s*[A-Za-z0-9]+)+|\d+[º°
 BOOK = rf"(?U)^[Ll]ibro\s+{STRICT_NUMBER}[\.\sº°o\-]*"
 TITLE = rf"(?iU)^([Tt][íi]tulo|[Tt]ema)\s+({STRICT_NUMBER})[\.\sº°o\-]*"
 CHAPTER = rf"(?iU)^[Cc]ap[íi]tulo\s+({STRICT_NUMBER})[\.\sº°o\-]*"
-SECTION = rf"(?iU)^[Ss]ecci[óo]n\s+((?:{ROMAN}|\\d+(?:\\.\\d+)+))[\.\sº°o\-]*"
+SECTION = rf"(?iU)^[Ss]ecci[óo]n\s+((?:{ROMAN}|\d+(?:\.\d+)+))[\.\sº°o\-]*"
 ANNEX = rf"(?iU)^[Aa]nexo\s+(?:{STRICT_NUMBER}|[A-Z])[\.\sº°o\-]*"
 ARTICLE = rf"(?iU)^Art[íi]culo\s+({ARTICLE_NUMBER})[\.\sº°o]*"
 RULE = r"(?U)^[Rr]egla\s+\d+(?:\.\d+)+[\.\sº°o\-]*"
@@ -87,6 +87,24 @@ PRESERVED = [
     (TRANSITORY_HEADER, "transitorios"),
     (r"(?iU)^(PRIMERO|SEGUNDO|TERCERO|CUARTO|QUINTO|SEXTO|SÉPTIMO|OCTAVO|NOVENO|DÉCIMO)\s*[\.\-]+", "transitorio_ordinal"),
 ]
+BLOCK_START = (
+    r"(?iU)^(CONSIDERANDO|EXPIDIENDO|EXHORTANDO|ART[ÍI]CULO|ART\.\s*\d|T[ÍI]TULO|CAP[ÍI]TULO|SECCI[ÓO]N|TRANSITORIOS?|ÚNICO|VISTO|PUNTOS?\s+DE\s+ACUERDO|"
+    r"CÁMARA\s+DE\s+DIPUTADOS|DECRETO\s+por\s+el\s+que)\b"
+)
+OWN_ROW = (
+    r"(?iU)^(?:(?:CONSIDERANDO|EXPIDIENDO|EXHORTANDO|DECRETO\s+por\s+el\s+que|T[ÍI]TULO|CAP[ÍI]TULO|SECCI[ÓO]N|TRANSITORIOS?|ÚNICO|VISTO|PUNTOS?\s+DE\s+ACUERDO|"
+    r"CÁMARA\s+DE\s+DIPUTADOS)\b|Al\s+margen\b)"
+)
+CUT_AT_END = [r"(?iU)(?:artí|durant)$", r"(?iU),\s*(se|le|les|nos|me|te|lo|los|las)$", r"(?iU) [a-záéíóúñ]$"]
+MID_WORD = r"(?iU)^(?:culos|on|e)\b"
+VERB_START = (
+    r"(?U)^(?=\p{Ll})(?i:considera|consideró|consideran|deberá|deberán|podrá|podrán|tendrá|tendrán|habrá|habrán|resulta|resultan|establece|establecen|determina|determinan|"
+    r"dispone|disponen|autoriza|autorizan|ordena|ordenan|precisa|precisan|señala|señalan|define|definen|otorga|otorgan|fundamento)\b\s+"
+)
+ARTICLE_ALONE = r"(?iU)^Art[íi]culo\s+\d+[º°o]?(?:\.\s*Bis)?(?:\s*-\s*[A-Za-z0-9]+)*(?:\s*[.\-]*\s*)?$"
+ARTICLE_DASH = r"(?iU)Art[íi]culo\s+\d+[º°o]?-$"
+ARTICLE_TAIL = r"(?iU)Art[íi]culo\s+\d+(?:[º°o]?(?:\.\s*Bis)?(?:\s*-\s*[A-Za-z0-9]+)*)?-\s*$"
+LETTER_ALONE = r"^[A-Z]\.$"
 MONTHS = ["enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agosto", "septiembre", "octubre", "noviembre", "diciembre"]
 DOC_TYPES = [
     ("reglamento", ["reglamento"]),
@@ -99,6 +117,8 @@ DOC_TYPES = [
 ]
 STOP_WORDS = "a al ante bajo con contra de del desde el en entre es esta este la las lo los mas ni no o para pero por que se sin sobre su sus un una y ya".split()
 
+ACRONYM_STOPS = "de del la los las el sobre en para por al con que y e o u federal general nacional nueva".split()
+
 # --- Expressions ---
 
 
@@ -139,6 +159,37 @@ def preservation_rule(line: Column) -> Column:
     return out
 
 
+def own_row(line: Column) -> Column:
+    """Lines of a gazette's masthead, rubric or marginal note, which are never joined with others."""
+    return strip(line).rlike(OWN_ROW)
+
+
+def cut_at_end(line: Column) -> Column:
+    """The line ends within a word or before the rest of its clause."""
+    t, out = strip(line), F.lit(False)
+    for p in CUT_AT_END:
+        out = out | t.rlike(p)
+    return out
+
+
+def cut_at_start(line: Column) -> Column:
+    """The line begins with the second half of a word or with the verb of the clause before it."""
+    t = strip(line)
+    return t.rlike(MID_WORD) | t.rlike(VERB_START)
+
+
+def stray_blank(before: Column, after: Column) -> Column:
+    """A blank line between the two is an artefact of layout: they belong together."""
+    a, b = strip(before), strip(after)
+    signs = cut_at_end(a) | cut_at_start(b)
+    return F.coalesce((a != "") & (b != "") & preservation_rule(b).isNull() & ~b.rlike(BLOCK_START) & (merge_score(a, b) >= 2) & signs, F.lit(False))
+
+
+def squeezed_breaks(text: Column) -> Column:
+    """At most two line feeds in a row, without blanks around the text."""
+    return strip(F.regexp_replace(F.coalesce(text, F.lit("")), r"\n{3,}", "\n\n"))
+
+
 def merge_score(before: Column, after: Column) -> Column:
     """How strongly two lines belong together; 0 where either is blank."""
     p, n = strip(before), strip(after)
@@ -184,6 +235,14 @@ def doc_type(title: Column) -> Column:
     return out.otherwise("otro")
 
 
+def law_acronym(title: Column) -> Column:
+    """The first letters, in capitals, of a title's words but for those that don't count; of fewer than two letters the title's beginning."""
+    t = F.coalesce(title, F.lit(""))
+    words = F.filter(F.split(squeeze(t), " "), lambda w: w.rlike(r"^\p{L}") & ~F.lower(w).isin(ACRONYM_STOPS))
+    letters = F.array_join(F.transform(words, lambda w: F.upper(F.substring(w, 1, 1))), "")
+    return F.when(F.length(letters) < 2, strip(F.substring(t, 1, 50))).otherwise(letters)
+
+
 def law_name(title: Column) -> Column:
     """The title without trailing parentheses, at most 255 characters."""
     return F.substring(strip(F.regexp_replace(strip(title), r"(?U)\s*\([^)]*\)\s*$", "")), 1, 255)

@@ -19,6 +19,16 @@ def newest(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(packed).alias("_r")).select(key, *[F.col(f"_r.{c}").alias(c) for c in [*order, *rest]]).select(*[c for c in df.columns if c == key or c in order or c in rest])
 
 
+def distinct_chunks(chunks: DataFrame, *extra: str) -> DataFrame:
+    """One row per chunk id, of several deliveries the greatest by document, number, type, reference, heading, pages and the text's hash.
+
+    Only these narrow columns and the extra ones move; ask for the text only where it is needed.
+    """
+    cols = ["documentId", "chunkNo", "chunkType", "articleRef", "heading", "startPage", "endPage"]
+    packed = F.struct(*cols, F.md5("text").alias("_md5"), *extra)
+    return chunks.where("id IS NOT NULL AND documentId IS NOT NULL").groupBy("id").agg(F.max(packed).alias("r")).select("id", *[F.col(f"r.{c}").alias(c) for c in (*cols, *extra)])
+
+
 def upsert_documents(stored: DataFrame, incoming: DataFrame, key: str = "blobPath") -> DataFrame:
     """The stored table after the incoming rows are merged by key: incoming values win where given; titles and law names are cut."""
     cols = [c for c in stored.columns if c != key]
@@ -64,3 +74,40 @@ def manifest(strategy, content_hash, canonical):
 
 def with_latest(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where("_rn = 1").drop("_rn")
+
+
+def with_outline(docs: DataFrame, tree: DataFrame, native: DataFrame | None = None, strategy: str = "chunk_based_v1") -> DataFrame:
+    """documentId and metadata with outlineStrategy, outlineManifest, toc, sections, outlineStats, nativeToc figures and a null outlineError over what it held.
+
+    docs: documentId, metadata (JSON text), contentHash. Outlines are written flat, each node with its parent's id. Metadata that is no JSON object is replaced.
+    """
+    from . import toc
+
+    node = F.struct("position", F.col("node_id").alias("id"), F.col("parent_id").alias("parent"), "title", "level", "page")
+    nodes = tree.groupBy("documentId").agg(F.array_sort(F.collect_list(node)).alias("toc"))
+    parts = toc.canonical(tree).join(nodes, "documentId").join(toc.stats(tree), "documentId")
+    got = docs.join(parts, "documentId", "left")
+    if native is not None:
+        got = got.join(toc.native_stats(native), "documentId", "left")
+    keys = F.coalesce(F.json_object_keys("metadata"), F.array().cast("array<string>"))
+    stored = F.from_json("metadata", "map<string,string>")
+    drop = ["outlineStrategy", "outlineManifest", "toc", "sections", "outlineStats", "nativeToc", "outlineError"]
+    kept = F.map_filter(F.when(F.size(keys) > 0, stored).otherwise(F.create_map().cast("map<string,string>")), lambda k, v: ~k.isin(drop))
+    patch = {
+        "outlineStrategy": F.lit(strategy),
+        "outlineManifest": manifest(F.lit(strategy), F.coalesce("contentHash", F.lit("")), F.coalesce("outline", F.lit(""))),
+        "toc": F.to_json(F.transform("toc", lambda x: F.struct(x["id"], x["parent"], x["title"], x["level"], F.struct(x["page"].alias("page")).alias("target")))),
+        "sections": F.to_json(F.transform("toc", lambda x: F.struct(x["id"], x["title"], x["page"].alias("pageStart"), x["page"].alias("pageEnd")))),
+        "outlineStats": F.to_json(F.struct(F.coalesce("total", F.lit(0)).alias("totalNodes"), F.coalesce("by_level", F.lit("{}")).alias("byLevel"), F.coalesce("max_depth", F.lit(0)).alias("maxDepth"))),
+        "outlineError": F.lit(None).cast("string"),
+    }
+    if native is not None:
+        patch["nativeToc"] = F.to_json(F.struct(F.coalesce("entries", F.lit(0)).alias("entries"), F.coalesce("transitory_sections", F.lit(0)).alias("transitorioSections")))
+    new = F.map_from_arrays(F.array(*[F.lit(k) for k in patch]), F.array(*patch.values()))
+    return got.select("documentId", F.to_json(F.map_concat(kept, new)).alias("metadata"))
+
+
+def flat_records(records: DataFrame) -> DataFrame:
+    """documentId, status, score, severity, failed_checks: a report row for each evaluated document."""
+    failed = F.when(F.col("reasons") == "", 0).otherwise(F.size(F.split("reasons", ",")))
+    return records.select("documentId", "status", "score", "severity", failed.alias("failed_checks"))

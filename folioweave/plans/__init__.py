@@ -5,7 +5,7 @@ from __future__ import annotations
 
 def load():
     """(queries, SQL) of all plan modules."""
-    from . import derived, index, layout, lines, outline, quality, registry
+    from . import derived, index, layout, lines, outline, outlines, quality, registry, structure
 
-    assert all((derived, index, layout, lines, outline, quality))
+    assert all((derived, index, layout, lines, outline, outlines, quality, structure))
     return dict(registry.QUERIES), dict(registry.ORACLE)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import providers
-from ..operators import layout, metadata, ordered, structure
+from ..operators import layout, metadata, ordered
 from ..operators import tables as table_ops
 from ..operators import toc
 from ..streaming import indexing
@@ -22,7 +22,7 @@ from .registry import query
         CAST(len(list_filter(flatten(rows), lambda c: c <> '')) AS INT) AS cells, CAST(len(list_filter(flatten(rows), lambda c: c <> '' AND regexp_matches(c, '\\d'))) AS INT) AS numeric_cells FROM r
 """)
 def table_figures(spark: SparkSession, d: str) -> DataFrame:
-    rows = _one(spark, d).where(F.col("text").contains("|")).select("id", table_ops.from_markdown(F.col("text")).alias("rows")).where(F.size("rows") > 0)
+    rows = _one(spark, d, "text").where(F.col("text").contains("|")).select("id", table_ops.from_markdown(F.col("text")).alias("rows")).where(F.size("rows") > 0)
     f = rows.withColumn("f", table_ops.figures(F.col("rows")))
     numeric = F.size(F.filter(table_ops.cells(F.col("rows")), lambda x: x.rlike(r"\d")))
     return f.select("id", F.col("f.rows").alias("row_count"), F.col("f.columns").alias("columns"), F.col("f.cells").alias("cells"), numeric.alias("numeric_cells"))
@@ -30,7 +30,7 @@ def table_figures(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def table_verdicts(spark: SparkSession, d: str) -> DataFrame:
-    rows = _one(spark, d).where(F.col("text").contains("|")).select("id", table_ops.from_markdown(F.col("text")).alias("rows"))
+    rows = _one(spark, d, "text").where(F.col("text").contains("|")).select("id", table_ops.from_markdown(F.col("text")).alias("rows"))
     got = table_ops.judged(rows)
     return got.select("id", "verdict", F.coalesce(F.length(table_ops.to_markdown(table_ops.merged_header(F.col("rows")), F.lit(1))), F.lit(0)).alias("markdown_chars"))
 
@@ -42,7 +42,7 @@ def legal_legends(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def generic_headings(spark: SparkSession, d: str) -> DataFrame:
-    chunks = _one(spark, d).where(norm_key(F.coalesce("chunkType", F.lit("generic"))) == "generic").select("id", "documentId", "text")
+    chunks = _one(spark, d, "text").where(norm_key(F.coalesce("chunkType", F.lit("generic"))) == "generic").select("id", "documentId", "text")
     titles = _docs(spark, d).select(F.col("id").alias("documentId"), "title")
     return chunks.join(titles, "documentId", "left").select("id", metadata.generic_heading(F.col("text"), F.col("title")).alias("heading"))
 
@@ -53,25 +53,6 @@ def suspicious_headings(spark: SparkSession, d: str) -> DataFrame:
     return _one(spark, d).where(metadata.suspicious_heading(F.col("heading"))).select("id")
 
 
-def _tree(spark: SparkSession, d: str) -> DataFrame:
-    return structure.nodes(layout.labelled(layout.blocks(table(spark, d, "extracted_spans"))))
-
-
-@query()
-def structure_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return _tree(spark, d)
-
-
-@query()
-def structure_sections(spark: SparkSession, d: str) -> DataFrame:
-    return structure.sections(_tree(spark, d))
-
-
-@query()
-def projected_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return structure.projected(_tree(spark, d))
-
-
 @query()
 def boxed_note_verdicts(spark: SparkSession, d: str) -> DataFrame:
     blocks = layout.blocks(table(spark, d, "extracted_spans"))
@@ -131,14 +112,6 @@ def running_table_index(spark: SparkSession, d: str) -> DataFrame:
     return ordered.running_sum(rows, ["documentId"], "chunkNo", "is_table", "tables_so_far").select("id", "tables_so_far")
 
 
-@query(f"""WITH {_NEWEST} SELECT id, 'text_outline_v1-' || substring(contentHash, 1, 12) || '-' || substring(sha256(coalesce(metadata, '')), 1, 16) AS manifest FROM docs WHERE contentHash IS NOT NULL""")
-def outline_manifests(spark: SparkSession, d: str) -> DataFrame:
-    from ..operators import index
-
-    docs = _docs(spark, d).where("contentHash IS NOT NULL")
-    return docs.select("id", index.manifest(F.lit("text_outline_v1"), F.col("contentHash"), F.coalesce("metadata", F.lit(""))).alias("manifest"))
-
-
 @query(f"""WITH {_NEWEST} SELECT lower(trim(coalesce(jurisdiction, 'unknown'))) AS jurisdiction, lower(trim(coalesce(docType, 'unknown'))) AS doc_type, count(*) AS documents, min(publishDate)::VARCHAR AS first_published, max(publishDate)::VARCHAR AS last_published FROM docs GROUP BY 1, 2""")
 def documents_by_kind(spark: SparkSession, d: str) -> DataFrame:
     key = lambda c: norm_key(F.coalesce(c, F.lit("unknown")))
@@ -150,7 +123,7 @@ def documents_by_kind(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {_CHUNKS}, p AS (SELECT documentId, startPage, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM chunks WHERE startPage IS NOT NULL GROUP BY 1, 2)
     SELECT documentId, count(*) AS pages, CAST(sum(n) AS BIGINT) AS chunks, round(avg(n), 4) AS chunks_per_page, CAST(max(chars) AS BIGINT) AS longest_page FROM p GROUP BY 1""")
 def two_level_page_rollup(spark: SparkSession, d: str) -> DataFrame:
-    p = _one(spark, d).where("startPage IS NOT NULL").groupBy("documentId", "startPage").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    p = _one(spark, d, "text").where("startPage IS NOT NULL").groupBy("documentId", "startPage").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
     return p.groupBy("documentId").agg(F.count("*").alias("pages"), F.sum("n").alias("chunks"), F.round(F.avg("n"), 4).alias("chunks_per_page"), F.max("chars").alias("longest_page"))
 
 

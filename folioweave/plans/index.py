@@ -7,14 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import legal
 from ..operators import index as ops
-from ..operators import toc as toc_ops
 from ..operators import vectors
 from ..tables import norm_key, table
 from .registry import query
 
 _NEWEST = """docs AS (SELECT DISTINCT ON (id) * FROM legal_documents WHERE id IS NOT NULL ORDER BY id, updatedAt DESC NULLS LAST, metadata DESC NULLS LAST)"""
 _CHUNKS = """chunks AS (SELECT DISTINCT ON (id) *, lower(trim(coalesce(chunkType, 'generic'), ' ')) AS type FROM legal_chunks WHERE id IS NOT NULL AND documentId IS NOT NULL
-    ORDER BY id, documentId DESC, chunkNo DESC NULLS LAST, chunkType DESC NULLS LAST, articleRef DESC NULLS LAST, heading DESC NULLS LAST, text DESC NULLS LAST, startPage DESC NULLS LAST)"""
+    ORDER BY id, documentId DESC, chunkNo DESC NULLS LAST, chunkType DESC NULLS LAST, articleRef DESC NULLS LAST, heading DESC NULLS LAST, startPage DESC NULLS LAST, endPage DESC NULLS LAST, md5(text) DESC NULLS LAST)"""
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
@@ -83,18 +82,16 @@ def document_upsert_view(spark: SparkSession, d: str) -> DataFrame:
     FROM (SELECT *, trim(regexp_replace(coalesce(text, ''), '[\\s\\p{{Z}}\\x{{85}}\\x{{1c}}-\\x{{1f}}]+', ' ', 'g')) AS t FROM chunks)
 """)
 def chunk_upsert_view(spark: SparkSession, d: str) -> DataFrame:
-    return ops.chunk_rows(_one(spark, d)).drop("tsv")
+    return ops.chunk_rows(_one(spark, d, "text")).drop("tsv")
 
 
 @query()
 def chunk_search_tokens(spark: SparkSession, d: str) -> DataFrame:
-    return ops.chunk_rows(_one(spark, d)).select("id", F.array_join("tsv", " ").alias("tokens"))
+    return ops.chunk_rows(_one(spark, d, "text")).select("id", F.array_join("tsv", " ").alias("tokens"))
 
 
-def _one(spark: SparkSession, d: str) -> DataFrame:
-    cols = ["documentId", "chunkNo", "chunkType", "articleRef", "heading", "text", "startPage", "endPage"]
-    got = table(spark, d, "legal_chunks").where("id IS NOT NULL AND documentId IS NOT NULL").groupBy("id").agg(F.max(F.struct(*cols)).alias("r"))
-    return got.select("id", "r.*")
+def _one(spark: SparkSession, d: str, *extra: str) -> DataFrame:
+    return ops.distinct_chunks(table(spark, d, "legal_chunks"), *extra)
 
 
 @query(f"WITH {_CHUNKS} SELECT type, count(*) AS chunks FROM chunks GROUP BY 1")
@@ -168,16 +165,7 @@ def embedding_cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     return vectors.top_k(e, "vec_id", "embedding", e.where("vec_id % 100 = 0"), 3)
 
 
-@query()
-def toc_rows(spark: SparkSession, d: str) -> DataFrame:
-    return toc_ops.outline_rows(table(spark, d, "legal_chunks"))
-
-
-@query()
-def toc_parents(spark: SparkSession, d: str) -> DataFrame:
-    return toc_ops.with_parents(toc_ops.outline_rows(table(spark, d, "legal_chunks")))
-
-
-@query()
-def toc_level_counts(spark: SparkSession, d: str) -> DataFrame:
-    return toc_ops.stats(toc_ops.outline_rows(table(spark, d, "legal_chunks"))).groupBy("level").agg(F.sum("nodes").alias("nodes"), F.count("*").alias("documents"))
+@query(f"""WITH {_NEWEST}, w AS (SELECT id, coalesce(title, '') AS t, list_filter(string_split(trim(regexp_replace(coalesce(title, ''), '[\\s\\p{{Z}}]+', ' ', 'g')), ' '), lambda x: regexp_matches(x, '^\\p{{L}}') AND lower(x) NOT IN ({", ".join(f"'{x}'" for x in legal.ACRONYM_STOPS)})) AS words FROM docs)
+    SELECT id, CASE WHEN len(words) < 2 THEN regexp_replace(substring(t, 1, 50), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') ELSE array_to_string(list_transform(words, lambda x: upper(x[1])), '') END AS acronym FROM w""")
+def law_acronyms(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select("id", legal.law_acronym(F.col("title")).alias("acronym"))

@@ -12,10 +12,8 @@ from .registry import query
 _SPANS = """
     spans AS (SELECT DISTINCT ON (span_id) * FROM extracted_spans WHERE span_id IS NOT NULL ORDER BY span_id, doc_id, page_number, block_no, line_no, span_no, text),
     good AS (SELECT * FROM spans WHERE text IS NOT NULL AND regexp_replace(text, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g') <> '' AND block_no IS NOT NULL),
-    bl AS (SELECT doc_id, page_number, block_no, line_no, string_agg(text, ' ' ORDER BY span_no NULLS FIRST, span_id) AS line, count(*) AS spans,
-        min(bbox.x0) AS x0, min(bbox.y0) AS y0, max(bbox.x1) AS x1, max(bbox.y1) AS y1 FROM good GROUP BY ALL),
-    blocks AS (SELECT doc_id, page_number, block_no, string_agg(line, chr(10) ORDER BY line_no NULLS FIRST) AS text, CAST(sum(spans) AS BIGINT) AS spans,
-        min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM bl GROUP BY ALL)
+    blocks AS (SELECT doc_id, page_number, block_no, regexp_replace(string_agg(text, '' ORDER BY line_no NULLS FIRST, span_no NULLS FIRST, span_id), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g') AS text, count(*) AS spans,
+        min(bbox.x0) AS x0, min(bbox.y0) AS y0, max(bbox.x1) AS x1, max(bbox.y1) AS y1 FROM good GROUP BY ALL)
 """
 
 
@@ -88,4 +86,51 @@ def bbox_overlap_semi(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def merged_paragraphs(spark: SparkSession, d: str) -> DataFrame:
-    return ops.paragraphs(_blocks(spark, d), ops.dominant_font(table(spark, d, "extracted_spans")))
+    spans = table(spark, d, "extracted_spans")
+    return ops.merged(ops.kinds(ops.reading_order(ops.blocks(spans))), ops.font_sizes(spans)).drop("source_blocks")
+
+
+@query(f"""
+    WITH {_SPANS}, bold AS (SELECT doc_id, page_number, bbox.x0 AS x0, bbox.y0 AS y0, bbox.x1 AS x1, bbox.y1 AS y1 FROM spans WHERE is_bold)
+    SELECT doc_id, page_number, block_no, EXISTS (SELECT 1 FROM bold o WHERE o.doc_id = b.doc_id AND o.page_number = b.page_number
+        AND (b.x1 - b.x0) * (b.y1 - b.y0) > 0 AND {_COVER} / ((b.x1 - b.x0) * (b.y1 - b.y0)) >= 0.3) AS inside FROM blocks b
+""")
+def blocks_in_frames(spark: SparkSession, d: str) -> DataFrame:
+    return ops.inside_frames(_blocks(spark, d), _bold(spark, d)).select("doc_id", "page_number", "block_no", "inside")
+
+
+@query(f"""
+    WITH {_SPANS}, o AS (SELECT doc_id, page_number, block_no, y1 AS gap_top, lead(y0) OVER w AS gap_bottom, lead(block_no) OVER w AS next_no FROM blocks
+        WINDOW w AS (PARTITION BY doc_id, page_number ORDER BY floor(y0 / 5) * 5 NULLS FIRST, x0 NULLS FIRST, block_no)),
+    bold AS (SELECT doc_id, page_number, bbox.y0 AS y0, bbox.y1 AS y1 FROM spans WHERE is_bold)
+    SELECT doc_id, page_number, block_no, next_no FROM o WHERE gap_bottom IS NOT NULL AND EXISTS (SELECT 1 FROM bold t WHERE t.doc_id = o.doc_id AND t.page_number = o.page_number AND t.y0 < o.gap_bottom AND t.y1 > o.gap_top)
+""")
+def blocks_parted_by_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """Neighbouring blocks with a box between them; bold spans stand for the boxes."""
+    return ops.parted(ops.reading_order(_blocks(spark, d)), _bold(spark, d))
+
+
+@query(f"""
+    WITH {_SPANS}, bold AS (SELECT doc_id, page_number, bbox.x0 AS x0, bbox.y0 AS y0, bbox.x1 AS x1, bbox.y1 AS y1 FROM spans WHERE is_bold),
+    cut AS (SELECT doc_id, page_number, block_no, EXISTS (SELECT 1 FROM bold o WHERE o.doc_id = b.doc_id AND o.page_number = b.page_number AND (b.x1 - b.x0) * (b.y1 - b.y0) > 0 AND {_COVER} / ((b.x1 - b.x0) * (b.y1 - b.y0)) >= 0.5) AS gone FROM blocks b),
+    t AS (SELECT doc_id, page_number, count(*) AS boxes FROM bold GROUP BY 1, 2)
+    SELECT doc_id, page_number, count(*) AS blocks, count(*) FILTER (gone) AS excluded, count(*) FILTER (NOT gone) AS kept, coalesce(max(boxes), 0) AS boxes FROM cut LEFT JOIN t USING (doc_id, page_number) GROUP BY 1, 2
+""")
+def page_diagnostics(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators import extraction
+
+    return extraction.diagnostics(_blocks(spark, d), _bold(spark, d))
+
+
+@query(f"""
+    WITH {_SPANS}, pg AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id ORDER BY page_number) AS k, row_number() OVER (PARTITION BY doc_id ORDER BY page_number, block_no) AS n FROM blocks WHERE doc_id IS NOT NULL AND page_number IS NOT NULL)
+    SELECT doc_id, CAST(n AS INT) AS ord, coalesce(md5(string_agg(text, chr(10) ORDER BY o)), md5('')) AS around FROM (
+        SELECT a.doc_id, a.n, b.text, b.n AS o FROM pg a LEFT JOIN pg b ON a.doc_id = b.doc_id AND b.n <> a.n AND b.n BETWEEN a.n - 2 AND a.n + 2) GROUP BY 1, 2
+""")
+def block_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The two blocks before and after each block, as a model would be asked with."""
+    from ..operators import structure
+
+    rows = structure.numbered(_blocks(spark, d).where("doc_id IS NOT NULL AND page_number IS NOT NULL"), ["block_no"])
+    got = ops.with_neighbours(rows)
+    return got.select("doc_id", "ord", F.md5(F.array_join(F.concat("context_before", "context_after"), "\n")).alias("around"))

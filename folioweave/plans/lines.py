@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import legal
 from ..operators import chunks as chunk_ops
 from ..operators import lines as ops
+from ..operators import normaliser
 from ..tables import table
 from .registry import query
 
@@ -109,10 +110,37 @@ def bounded_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(rf"""
-    WITH {_LINES} SELECT doc_id, max(CASE WHEN regexp_matches(line, '(?i)[úÚ]ltima actualizaci[óÓ]n \d{{2}}-\d{{2}}-\d{{4}}') THEN try_strptime(regexp_extract(line, '(\d{{2}}-\d{{2}}-\d{{4}})', 1), '%d-%m-%Y')::DATE END)::VARCHAR AS last_update,
+    WITH {_LINES} SELECT doc_id, max(CASE WHEN regexp_matches(line, '(?i)[úÚ]ltima reforma DOF \d{{2}}-\d{{2}}-\d{{4}}') THEN try_strptime(regexp_extract(line, '(\d{{2}}-\d{{2}}-\d{{4}})', 1), '%d-%m-%Y')::DATE END)::VARCHAR AS last_reform,
         count(DISTINCT page_number) AS pages, count(*) AS lines, CAST(sum(length(line)) AS BIGINT) AS chars FROM lines GROUP BY 1
 """)
 def page_metrics(spark: SparkSession, d: str) -> DataFrame:
     stamp = F.try_to_timestamp(F.regexp_extract("line", r"(\d{2}-\d{2}-\d{4})", 1), F.lit("dd-MM-yyyy")).cast("date")
-    seen = F.when(F.col("line").rlike(r"(?iU)última actualización \d{2}-\d{2}-\d{4}"), stamp)
-    return _lines(spark, d).groupBy("doc_id").agg(F.max(seen).cast("string").alias("last_update"), F.count_distinct("page_number").alias("pages"), F.count("*").alias("lines"), F.sum(F.length("line")).alias("chars"))
+    seen = F.when(F.col("line").rlike(r"(?iU)última reforma DOF \d{2}-\d{2}-\d{4}"), stamp)
+    return _lines(spark, d).groupBy("doc_id").agg(F.max(seen).cast("string").alias("last_reform"), F.count_distinct("page_number").alias("pages"), F.count("*").alias("lines"), F.sum(F.length("line")).alias("chars"))
+
+
+@query()
+def normalised_pages(spark: SparkSession, d: str) -> DataFrame:
+    return normaliser.normalised_pages(table(spark, d, "page_content"))
+
+
+@query()
+def normalisation_audit(spark: SparkSession, d: str) -> DataFrame:
+    return normaliser.audit_totals(normaliser.normalised_pages(table(spark, d, "page_content")))
+
+
+@query(rf"""
+    WITH {_LINES}, t AS (SELECT doc_id, page_number, line_no, trim(line) AS t FROM lines)
+    SELECT doc_id, page_number, line_no, regexp_matches(t, '(?i)^(?:(?:considerando|expidiendo|exhortando|decreto\s+por\s+el\s+que|t[ÍíI]tulo|cap[ÍíI]tulo|secci[ÓóO]n|transitorios?|[Úú]nico|visto|puntos?\s+de\s+acuerdo|c[Áá]mara\s+de\s+diputados)(?:[^\wáéíóúüñÁÉÍÓÚÜÑ]|$)|al\s+margen(?:[^\wáéíóúüñÁÉÍÓÚÜÑ]|$))') AS own_row,
+        regexp_matches(t, '(?i)(?:art[íÍ]|durant)$|,\s*(?:se|le|les|nos|me|te|lo|los|las)$| [a-záéíóúñÁÉÍÓÚÑ]$') AS cut_at_end,
+        regexp_matches(t, '(?i)^(?:culos|on|e)(?:[^\wáéíóúüñÁÉÍÓÚÜÑ]|$)') OR regexp_matches(t, '^[a-záéíóúñü]') AND regexp_matches(t, '(?i)^(?:considera|consider[óÓ]|consideran|deber[áÁ]n?|podr[áÁ]n?|tendr[áÁ]n?|habr[áÁ]n?|resultan?|establecen?|determinan?|disponen?|autorizan?|ordenan?|precisan?|se[ñÑ]alan?|definen?|otorgan?|fundamento)\s+') AS cut_at_start FROM t
+""")
+def line_break_signs(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col("line")
+    return _lines(spark, d).select("doc_id", "page_number", "line_no", legal.own_row(c).alias("own_row"), legal.cut_at_end(c).alias("cut_at_end"), legal.cut_at_start(c).alias("cut_at_start"))
+
+
+@query(r"""WITH p AS (SELECT doc_id, page_number, max(text) AS text FROM page_content WHERE doc_id IS NOT NULL AND page_number IS NOT NULL GROUP BY 1, 2)
+    SELECT doc_id, page_number, md5(regexp_replace(regexp_replace(coalesce(text, ''), '\n{3,}', chr(10) || chr(10), 'g'), '^[\s\p{Z}\x{85}\x{1c}-\x{1f}]+|[\s\p{Z}\x{85}\x{1c}-\x{1f}]+$', '', 'g')) AS text_md5 FROM p""")
+def squeezed_page_texts(spark: SparkSession, d: str) -> DataFrame:
+    return ops.distinct_pages(table(spark, d, "page_content")).select("doc_id", "page_number", F.md5(legal.squeezed_breaks(F.col("text"))).alias("text_md5"))

@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from folioweave.functions import providers
+from folioweave.session import cut_lineage
 from folioweave.operators import index, layout, metadata, structure, tables, vectors
 from folioweave.sources import readers, sinks
 from folioweave.streaming import indexing
@@ -70,20 +71,48 @@ def test_repeated_heads_and_tree(spark):
         spark, (1, 0, "GACETA 1", 20.0), (2, 0, "GACETA 2", 20.0), (3, 0, "GACETA 3", 20.0), (1, 1, "Título I", 100.0), (1, 2, "Capítulo I", 120.0), (1, 3, "Artículo 1.- Texto", 140.0),
         (1, 4, "cuerpo del artículo que sigue con más texto", 160.0), (2, 1, "I. Una fracción", 100.0), (2, 2, "a) Un inciso", 120.0), (3, 1, "Título II", 100.0), (3, 2, "Artículo 2.- Otro", 120.0), (3, 3, " ", 140.0),
     )
-    labelled = layout.labelled(layout.blocks(s.unionAll(s)))
+    labelled = cut_lineage(layout.labelled(layout.blocks(s.unionAll(s))))
     assert labelled.where("label = 'page_header'").count() == 3
-    tree = structure.nodes(labelled)
-    got = [(r.ord, r.parent_ord, r.node_type, r.article_ref) for r in tree.orderBy("ord").collect()]
-    assert got == [(1, 0, "title", None), (2, 1, "chapter", None), (3, 2, "article", "1"), (4, 3, "paragraph", None), (5, 3, "fraction", "I"), (6, 5, "inciso", None), (7, 0, "title", None), (8, 7, "article", "2")]
+    rows = structure.numbered(labelled, ["block_no"])
+    tree = cut_lineage(structure.nodes(rows))
+    got = [(r.ord, r.parent_ord, r.node_type, r.article_ref, r.node_id) for r in tree.orderBy("ord").collect()]
+    assert got == [
+        (2, 0, "title", None, "title-i"), (3, 2, "chapter", None, "chapter-i"), (4, 3, "article", "1", "article-1"), (5, 4, "paragraph", None, "paragraph-1"), (7, 4, "fraction", None, "fraction-1"),
+        (8, 7, "inciso", None, "inciso-1"), (10, 0, "title", None, "title-ii"), (11, 10, "article", "2", "article-2"),
+    ]
     chunks = {r.ord: r for r in structure.projected(tree).collect()}
-    assert chunks[3].text.endswith("más texto") and chunks[5].sources == 2 and set(chunks) == {1, 2, 3, 5, 7, 8}
-    assert {r.ord: (r.children, r.page_end) for r in structure.sections(tree).collect()}[3] == (2, 2)
-    assert structure.nodes(labelled.limit(0)).count() == 0
+    assert set(chunks) == {4, 7, 11} and chunks[4].text.endswith("más texto") and list(chunks[7].source_ords) == [7, 8] and chunks[7].article_ref == "1" and (chunks[4].page_start, chunks[4].page_end) == (1, 2)
+    assert {r.ord: (r.child_count, r.article_count, r.page_start, r.page_end) for r in structure.sections(tree).collect()} == {2: (1, 0, 1, 2), 3: (1, 1, 1, 2), 10: (1, 1, 3, 3)}
+    assert [r.text_preview for r in structure.excluded(rows).orderBy("ord").collect()] == ["GACETA 1", "GACETA 2", "GACETA 3"]
+    assert structure.nodes(rows.limit(0)).count() == 0
+
+
+def tree_of(spark, labels):
+    rows = [("d", i, label, text, i) for i, (label, text) in enumerate(labels, 1)]
+    return cut_lineage(structure.nodes(spark.createDataFrame(rows, "doc_id string, ord int, label string, text string, page_number int")))
+
+
+def test_transitory_articles_stay_open_until_an_annex(spark):
+    tree = tree_of(spark, [
+        ("document_title", "LEY"), ("article_body", "preámbulo"), ("book_heading", "Libro I"), ("article_heading", "Artículo 1.- Uno"), ("table", ""), ("transitory_heading", "TRANSITORIOS"), ("article_body", "suelto"),
+        ("transitory_item", "Primero.- Entra"), ("article_body", "más"), ("article_heading", "Artículo 2.- Dos"), ("article_body", "tras el dos"), ("annex_heading", "Anexo 1"), ("article_body", "del anexo"), ("article_heading", "Artículo 3.- Tres"),
+        ("unknown", "fin"), ("fraction", "I. a"), ("inciso", "a) b"), ("editorial_note", "Nota"), ("page_footer", "9"),
+    ])
+    assert [(r.ord, r.parent_ord) for r in tree.orderBy("ord").collect()] == [(2, 0), (3, 0), (4, 3), (5, 4), (6, 0), (7, 6), (8, 6), (9, 8), (10, 3), (11, 8), (12, 0), (13, 12), (14, 12), (15, 14), (16, 14), (17, 16), (18, 14)]
+    got = {r.ord: (r.chunk_type, r.text, r.article_ref) for r in structure.projected(tree).collect()}
+    assert got == {
+        2: ("paragraph", "preámbulo", None), 4: ("article", "Artículo 1.- Uno", "1"), 5: ("table", "", "1"), 7: ("transitory", "suelto", None), 8: ("transitory", "Primero.- Entra\nmás\ntras el dos", "primero"),
+        10: ("article", "Artículo 2.- Dos", "2"), 12: ("annex", "Anexo 1", None), 13: ("annex", "del anexo", None), 14: ("article", "Artículo 3.- Tres\nfin", "3"), 16: ("fraction", "I. a\na) b", "3"), 18: ("boxed_note", "Nota", "3"),
+    }
+    assert {r.ord: r.parent_ord for r in tree_of(spark, [("fraction", "I. a"), ("inciso", "a) b")]).collect()} == {1: 0, 2: 1}
+    context = {r.ord: r.context for r in structure.contexts(tree).collect()}
+    assert context[9] == '{"node_id":"paragraph-3","node_type":"paragraph","parent_node_id":"transitory-primero","is_transitory":true}' and '"book_heading":"Libro I"' in context[4]
 
 
 def test_paragraphs_merge(spark):
     s = spans(spark, (1, 0, "La primera parte de una frase", 100.0), (1, 1, "que sigue aquí.", 118.0), (1, 2, "Otra frase nueva.", 136.0), (1, 3, "Artículo 2.- Texto", 152.0))
-    got = [r.text for r in layout.paragraphs(layout.blocks(s), layout.dominant_font(s)).orderBy("para_no").collect()]
+    rows = layout.merged(layout.kinds(layout.reading_order(layout.blocks(s))), layout.font_sizes(s))
+    got = [r.text for r in rows.orderBy("reading_order").collect()]
     assert got == ["La primera parte de una frase que sigue aquí.", "Otra frase nueva.", "Artículo 2.- Texto"]
 
 

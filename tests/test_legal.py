@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioweave.functions import legal
-from folioweave.operators import chunks, lines, ordered, quality, toc
+from folioweave.operators import chunks, lines, normaliser, ordered, quality, toc
 
 
 def column(spark, expr, values):
@@ -18,6 +18,7 @@ def test_dates_titles_and_types(spark):
     assert [str(x) for x in column(spark, legal.spanish_date, ["el 1 de abril de 2024", "31 de febrero de 2024", None, "sin"])] == ["2024-04-01", "None", "None", "None"]
     assert [str(x) for x in column(spark, legal.iso_date, ["2024-03-15T10:00", "2024-02-30", None])] == ["2024-03-15", "None", "None"]
     assert column(spark, legal.law_name, ["Ley del ISR (reformada en 2024)", "A" * 300, None]) == ["Ley del ISR", "A" * 255, None]
+    assert column(spark, legal.law_acronym, ["Ley Federal del Impuesto sobre Automóviles Nuevos", "Código", "de la", None]) == ["LIAN", "Código", "de la", ""]
     assert column(spark, legal.doc_type, ["REGLAMENTO de la Ley", "Código", "NOM-001", None, "x"]) == ["reglamento", "codigo", "norma", "otro", "otro"]
 
 
@@ -32,6 +33,7 @@ def test_dates_titles_and_types(spark):
         ("señalado en el", "Capítulo III", "", ("generic", None)),
         ("", "Capítulo III", "Artículo 5", ("chapter", None)),
         ("", "Sección IV Nombre", "", ("section", None)),
+        ("", "Sección 1.2 Nombre", "", ("section", None)),
         ("", "Libro I", "", ("generic", None)),
         ("", "II. Presentar", "", ("fraction", None)),
         ("", "a) Los datos", "", ("inciso", None)),
@@ -120,19 +122,57 @@ def chunk_rows(spark, rows):
     return spark.createDataFrame([(f"{i}", "d", i, t, ref, head, "texto", 1, 1) for i, (t, ref, head) in enumerate(rows)], CHUNK)
 
 
+TREE = "doc_id string, ord int, parent_ord int, node_id string, node_type string, heading string, text string, article_ref string, page_number int"
+
+
+def articles(spark, refs, heading="Artículo"):
+    return spark.createDataFrame([("d", i, 0, f"article-{r}", "article", f"{heading} {r}", None, r, 1) for i, r in enumerate(refs, 1)], TREE)
+
+
 def test_sequence_health(spark):
-    bad = quality.article_sequence(chunk_rows(spark, [("article", r, None) for r in ("62", "47", "59", "63")])).first()
-    assert round(bad.disorder_ratio, 4) == 0.3333
-    good = quality.article_sequence(chunk_rows(spark, [("article", r, None) for r in ("14", "14-A", "14 Bis", "15")])).first()
-    assert (good.disorder_ratio, good.max_gap, good.duplicate_ratio) == (0, 1, 0)
-    assert quality.article_sequence(chunk_rows(spark, [("article", "1", None)]).limit(0)).count() == 0
+    bad = quality.article_sequence(articles(spark, ["62", "47", "59", "63"])).first()
+    assert bad.disorder_ratio == 0.3333 and not quality.verdicts(quality.checks(articles(spark, ["62", "47", "59", "63"]))).first()["pass_article_sequence_health"]
+    good = quality.verdicts(quality.checks(articles(spark, ["14", "14-A", "14Bis", "15"]))).first()
+    assert (good.disorder_ratio, good.max_gap, good.duplicate_ratio) == (0, 1, 0) and good["pass_article_sequence_health"]
+    assert quality.article_sequence(articles(spark, ["1", "x"]).limit(0)).count() == 0
+    few = quality.article_sequence(articles(spark, ["primero", "segundo", "9"])).first()
+    assert (few.refs, few.disorder_ratio, few.max_gap) == (3, 0, 0)
+    parts = column(spark, lambda c: F.struct(*quality.sequence_parts(c)), ["14", "14A", "14-A", "14 Bis", "primero", None])
+    assert [tuple(p) for p in parts] == [(14, None), (14, "a"), (14, "a"), (14, "bis"), (None, None), (None, None)]
 
 
 def test_scores(spark):
-    clean = quality.scored(chunk_rows(spark, [("article", f"Artículo {i}", f"Artículo {i}") for i in range(1, 6)])).first()
+    clean = quality.scored(articles(spark, ["1", "2", "3"])).first()
     assert clean.score == 1.0 and clean.severity == "low" and clean.reasons == ""
-    dirty = quality.scored(chunk_rows(spark, [("article", None, "[TABLE_1] x"), ("article", None, "3 de 9"), ("article", None, "15 DE MARZO DE 2024"), ("zzz", None, "h")])).first()
-    assert dirty.severity == "high" and "tokens" in dirty.reasons and "coverage" in dirty.reasons
+    rows = [("d", 1, 0, "article-1", "article", "[TABLE_1]", None, None, 1), ("d", 2, 0, "article-2", "article", "Página 3", None, None, 1), ("d", 3, 0, "article-3", "article", "15 de marzo de 2024", None, None, 1), ("d", 4, 0, "table-1", "table", None, None, None, None),
+            ("d", 5, 0, "p", "paragraph", None, "suelto", None, 1), ("d", 6, 0, "q", "paragraph", None, "suelto", None, 1), ("d", 7, 0, "r", "odd", None, None, None, 1), ("d", 8, 0, "article-3", "article", "15 de marzo de 2024", "establecer", None, 1)]
+    got = quality.verdicts(quality.checks(spark.createDataFrame(rows, TREE))).first()
+    assert (got.tokens, got.bleed, got.dates, got.orphans, got.unknown, got.loose, got.toc_duplicates, got.coverage) == (2, 1, 2, 1, 1, 2, 1, 0.0) and list(got.date_examples) == ["15 de marzo de 2024"]
+    dirty = quality.scored(spark.createDataFrame(rows, TREE)).first()
+    assert dirty.severity == "high" and dirty.reasons.split(",") == [k for k in quality.WEIGHTS if k != "article_sequence_health"]
+    assert [(r.gate, r.gate_reason) for r in quality.gated(quality.scored(articles(spark, ["1", "2"]))).collect()] == [(True, "score_meets_threshold")]
+    assert quality.gated(quality.scored(spark.createDataFrame(rows, TREE)), production=False, allow_below=True).first().gate_reason == "below_threshold_but_allowed_non_prod"
+
+
+def test_page_fold():
+    fold = lambda t: normaliser.fold(normaliser.prepared(t))
+    text, audit = fold("La obliga-\nción es clara.")
+    assert text == "La obligación es clara." and audit["hyphen_joins"] == 1
+    assert fold("fin del párrafo anterior.\nArtículo 5. Este artículo")[0].split("\n")[1].startswith("Artículo 5")
+    assert fold("texto.\na) primer inciso\nb) segundo inciso")[0] == "texto.\na) primer inciso\nb) segundo inciso"
+    assert fold("Artículo 194-\nN-1 dice")[0] == "Artículo 194-N-1 dice" and normaliser.prepared("Artículo 14-\nA.") == ["Artículo 14-A."]
+    assert fold("la autoridad que conoce del asunto, se\n\nconsidera competente para ello")[0] == "la autoridad que conoce del asunto, se considera competente para ello"
+    assert fold("esta línea no termina en punto\ny la siguiente es larga")[1]["merges_applied"] == 1
+    assert fold("uno\nCONSIDERANDO\ndos")[0] == "uno\nCONSIDERANDO\ndos" and fold("") == fold(None) and fold("")[0] == ""
+
+
+def test_normalised_pages(spark):
+    pages = [("d", 1, "CÁMARA DE DIPUTADOS\nContenido útil.\n23 de 180\nMás contenido."), ("d", 2, "CÁMARA DE DIPUTADOS\nOtra página."), ("d", 2, "CÁMARA DE DIPUTADOS\nOtra página."), ("d", 3, None), ("d", 4, "CÁMARA DE DIPUTADOS"), (None, 1, "x")]
+    got = {r.page_number: r for r in normaliser.normalised_pages(spark.createDataFrame(pages, "doc_id string, page_number int, text string")).collect()}
+    assert got[1].text == "CÁMARA DE DIPUTADOS\nContenido útil.\nMás contenido." and got[1].headers_removed == 1
+    assert (got[2].text, got[2].headers_removed, got[3].text, got[4].text, got[4].headers_removed) == ("Otra página.", 1, "", "", 1)
+    total = normaliser.audit_totals(normaliser.normalised_pages(spark.createDataFrame(pages, "doc_id string, page_number int, text string"))).first()
+    assert (total.pages, total.headers_removed) == (4, 3)
 
 
 def test_toc_levels(spark):
