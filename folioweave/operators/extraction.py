@@ -91,7 +91,7 @@ def exclude_boxes(table_boxes: DataFrame, rects: DataFrame) -> DataFrame:
     return alone.unionByName(merged_boxes(both))
 
 
-def routed_tables(found: DataFrame, rects: DataFrame, relaxed: bool = False, offset: int = 0) -> DataFrame:
+def routed_tables(found: DataFrame, rects: DataFrame, relaxed: bool = False, offset: int = 0, provider=None) -> DataFrame:
     """The tables a page keeps: header rows merged, prose dropped, numbered through the document, and told apart from boxed notes.
 
     Takes doc_id, page_number, table_no, rows and the box. A table inside a drawn rectangle with at most two columns is put to the arbiter (see
@@ -100,19 +100,18 @@ def routed_tables(found: DataFrame, rects: DataFrame, relaxed: bool = False, off
     from ..functions import providers
     from . import ordered
 
-    rows = found.withColumn("rows", tables.merged_header(F.col("rows")))
-    rows = rows.where(~tables.prose(F.col("rows"), relaxed) & F.col("x0").isNotNull())
+    rows = found.withColumn("rows", tables.merged_header(F.col("rows"))).withColumn("figures", tables.figures(F.col("rows")))
+    r, f = F.col("rows"), F.col("figures")
+    rows = rows.where(~tables.prose_like(r, f, relaxed) & F.col("x0").isNotNull())
     rows = layout.inside_frames(rows, rects)
-    figures = tables.figures(F.col("rows"))
-    text = F.array_join(F.filter(F.transform(F.flatten("rows"), legal.strip), lambda c: c != ""), " ")
-    filled = F.size(F.filter("rows", lambda r: F.exists(r, lambda c: legal.strip(c) != "")))
-    asked = ~tables.editorial(F.col("rows")) & F.col("inside") & (figures["columns"] <= 2)
-    verdict = providers.routed_verdict(text, F.lit(True), figures["columns"], filled)
-    rows = rows.withColumn("arbiter", F.when(asked, verdict))
-    rows = rows.withColumn("is_boxed_note", tables.editorial(F.col("rows")) | F.coalesce(F.col("arbiter")["kind"] == "editorial_note", F.lit(False)))
+    text = F.array_join(tables.cells(r), " ")
+    note = tables.boxed_note(r, f)
+    asked = ~note & F.col("inside") & (f["columns"] <= 2)
+    rows = rows.withColumns({"_note": note, "arbiter": F.when(asked, providers.routed_verdict(text, F.lit(True), f["columns"], f["filled_rows"], F.lit(True), provider))})
+    rows = rows.withColumn("is_boxed_note", F.col("_note") | F.coalesce(F.col("arbiter.kind") == "editorial_note", F.lit(False))).drop("_note")
     rows = rows.withColumns({"_one": F.lit(1), "_at": F.col("page_number") * 1000 + F.col("table_no")})
     rows = ordered.running_sum(rows, ["doc_id"], "_at", "_one", "table_index").withColumn("table_index", F.col("table_index") + offset)
-    return rows.withColumn("markdown", tables.to_markdown(F.col("rows"), F.col("table_index"))).drop("_one", "_at", "inside")
+    return rows.withColumn("markdown", tables.to_markdown(F.col("rows"), F.col("table_index"))).drop("_one", "_at", "inside", "figures")
 
 
 def diagnostics(blocks: DataFrame, boxes: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ that gives the whole new table, to be written beside the old one.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import legal
@@ -29,16 +29,33 @@ def distinct_chunks(chunks: DataFrame, *extra: str) -> DataFrame:
     return chunks.where("id IS NOT NULL AND documentId IS NOT NULL").groupBy("id").agg(F.max(packed).alias("r")).select("id", *[F.col(f"r.{c}").alias(c) for c in (*cols, *extra)])
 
 
+#: What a new document gets where nothing is given, and lengths of columns.
+DEFAULTS = {"jurisdiction": "MX-FEDERAL", "sourceType": "official_gazette"}
+CUT = {"title": 500, "lawName": 255, "heading": 500, "articleRef": 100}
+
+
+def merged_json(stored, patch):
+    """The top-level keys of two JSON objects, those of the patch over those stored; what is no object counts as empty."""
+    as_map = lambda c: F.when(F.json_object_keys(c).isNotNull(), F.from_json(c, "map<string,string>")).otherwise(F.create_map().cast("map<string,string>"))
+    a, b = as_map(stored), as_map(patch)
+    return F.to_json(F.map_concat(F.map_filter(a, lambda k, v: ~F.map_contains_key(b, k)), b))
+
+
 def upsert_documents(stored: DataFrame, incoming: DataFrame, key: str = "blobPath") -> DataFrame:
-    """The stored table after the incoming rows are merged by key: incoming values win where given; titles and law names are cut."""
+    """The stored table after the incoming rows are merged by key: incoming values win where given, metadata are merged by top-level keys, new rows get defaults; titles and law names are cut."""
     cols = [c for c in stored.columns if c != key]
     new = incoming.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_n_{c}") for c in incoming.columns if c in cols])
     got = stored.join(new, stored[key] == new["_key"], "full_outer")
     value = {c: F.coalesce(F.col(f"_n_{c}"), F.col(c)) if f"_n_{c}" in new.columns else F.col(c) for c in cols}
-    if "title" in value:
-        value["title"] = F.substring(value["title"], 1, 500)
-    if "lawName" in value:
-        value["lawName"] = F.substring(value["lawName"], 1, 255)
+    if "_n_metadata" in new.columns:
+        both = F.col("_key").isNotNull() & F.col(key).isNotNull()
+        value["metadata"] = F.when(both, merged_json(F.col("metadata"), F.col("_n_metadata"))).otherwise(value["metadata"])
+    for c, default in DEFAULTS.items():
+        if c in value:
+            value[c] = F.when(F.col(key).isNull(), F.coalesce(value[c], F.lit(default))).otherwise(value[c])
+    for c in ("title", "lawName"):
+        if c in value:
+            value[c] = F.substring(value[c], 1, CUT[c])
     return got.select(F.coalesce(key, "_key").alias(key), *[v.alias(c) for c, v in value.items()])
 
 
@@ -72,8 +89,6 @@ def manifest(strategy, content_hash, canonical):
     return F.concat_ws("-", strategy, F.substring(content_hash, 1, 12), F.substring(F.sha2(canonical, 256), 1, 16))
 
 
-def with_latest(df: DataFrame, key: str, order: str) -> DataFrame:
-    return df.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where("_rn = 1").drop("_rn")
 
 
 def with_outline(docs: DataFrame, tree: DataFrame, native: DataFrame | None = None, strategy: str = "chunk_based_v1") -> DataFrame:
@@ -107,7 +122,62 @@ def with_outline(docs: DataFrame, tree: DataFrame, native: DataFrame | None = No
     return got.select("documentId", F.to_json(F.map_concat(kept, new)).alias("metadata"))
 
 
-def flat_records(records: DataFrame) -> DataFrame:
-    """documentId, status, score, severity, failed_checks: a report row for each evaluated document."""
-    failed = F.when(F.col("reasons") == "", 0).otherwise(F.size(F.split("reasons", ",")))
-    return records.select("documentId", "status", "score", "severity", failed.alias("failed_checks"))
+def flat_records(records: DataFrame, counts: DataFrame, paths: DataFrame, flags: dict[str, str]) -> DataFrame:
+    """A report row for each evaluated document: records and tree figures joined by document, a flag for each failing check named, the first reason and all of them."""
+    types = [c for c in counts.columns if c not in ("doc_id", "has_transitories", "has_annexes")]
+    n = counts.select(F.col("doc_id").alias("documentId"), F.col("article").alias("article_count"), F.col("table").alias("table_count"), sum((F.col(f"`{t}`") for t in types), F.lit(0)).alias("chunk_count"))
+    got = records.join(paths, "documentId").join(n, "documentId", "left").fillna(0, ["article_count", "table_count", "chunk_count"])
+    reasons = F.split("reasons", ",")
+    return got.select(
+        "documentId", "blobPath", F.col("score").alias("quality_score"), F.col("severity").alias("quality_severity"), "chunk_count", "article_count", "table_count", *[F.array_contains(reasons, v).alias(k) for k, v in flags.items()],
+        "status", reasons[0].alias("top_reason"), F.replace("reasons", F.lit(","), F.lit(";")).alias("all_reasons"),
+    )
+
+
+def legacy_chunks(projected: DataFrame) -> DataFrame:
+    """Chunks of a tree (doc_id, ord, chunk_type, heading, text, article_ref, page_start, page_end) as the older chunk rows: numbered in order, tables counted through the document, missing headings empty, missing pages 1."""
+    from . import ordered
+
+    table = F.when(F.col("chunk_type") == "table", 1).otherwise(0)
+    rows = ordered.carried(projected.withColumns({"_one": F.lit(1), "_table": table}), ["doc_id"], "ord", {}, {"chunk_no": "_one", "_tables": "_table"})
+    start = F.coalesce("page_start", F.lit(1))
+    return rows.select(
+        "doc_id", F.col("chunk_no").cast("int").alias("chunk_no"), F.coalesce("chunk_type", F.lit("unknown")).alias("chunk_type"), "article_ref", F.coalesce("heading", F.lit("")).alias("heading"), F.coalesce("text", F.lit("")).alias("text"),
+        start.alias("start_page"), F.coalesce("page_end", start).alias("end_page"), (F.col("_table") == 1).alias("has_table"), F.when(F.col("_table") == 1, F.col("_tables").cast("int")).alias("table_index"),
+    )
+
+
+def in_page_order(text_chunks: DataFrame, table_chunks: DataFrame, document: str = "documentId", page: str = "startPage", number: str = "chunkNo") -> DataFrame:
+    """Text and table chunks as one list, numbered anew by page; on a page the texts come first, each kind in its own order."""
+    from pyspark.sql import Window
+
+    both = text_chunks.withColumn("is_table", F.lit(False)).unionByName(table_chunks.withColumn("is_table", F.lit(True)), allowMissingColumns=True)
+    inside = Window.partitionBy(document, page).orderBy("is_table", number, "id")
+    per = both.groupBy(document, page).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(document).orderBy(page)) - F.col("_n")
+    starts = per.select(F.col(document).alias("_d"), F.col(page).alias("_p"), before.alias("_before"))
+    rows = both.withColumn("_i", F.row_number().over(inside)).join(starts, F.col(document).eqNullSafe(F.col("_d")) & F.col(page).eqNullSafe(F.col("_p")))
+    return rows.withColumn("place", (F.col("_i") + F.col("_before")).cast("int")).drop("_i", "_before", "_d", "_p")
+
+
+def with_embeddings(chunks: DataFrame, embeddings: DataFrame, keys: list[str]) -> DataFrame:
+    """Chunks with their vectors; a document whose numbers of chunks and vectors differ is an error, not a silent loss."""
+    a = chunks.groupBy(keys[0]).agg(F.count("*").alias("chunks"))
+    b = embeddings.groupBy(keys[0]).agg(F.count("*").alias("vectors"))
+    wrong = a.join(b, keys[0], "full_outer").where("NOT (chunks <=> vectors)").limit(1).collect()
+    if wrong:
+        raise ValueError(f"{keys[0]} {wrong[0][0]}: {wrong[0]['chunks'] or 0} chunks, {wrong[0]['vectors'] or 0} vectors")
+    return chunks.join(embeddings, keys)
+
+
+def valid_requests(requests: DataFrame, ids: list[str], texts: list[str]) -> DataFrame:
+    """Adds error: the first field that is no UUID or is blank; null where the request is valid."""
+    uuid = r"(?i)^(?:urn:uuid:)?\{?[0-9a-f]{8}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{12}\}?$"
+    bad = [F.when(~F.coalesce(F.col(c).rlike(uuid), F.lit(False)), F.lit(f"{c} is no UUID")) for c in ids]
+    bad += [F.when(legal.strip(F.coalesce(c, F.lit(""))) == "", F.lit(f"{c} is empty")) for c in texts]
+    return requests.withColumn("error", F.coalesce(*bad))
+
+
+def failed_stage(error):
+    """The stage in which a run failed, by the kind of its error."""
+    return F.when(error.startswith("PDFExtractionError"), "pdf_extraction").when(error.startswith("EmbeddingError"), "embeddings").when(error.isNotNull(), "unknown")

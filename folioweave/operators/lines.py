@@ -48,6 +48,12 @@ def repeated_signatures(lines: DataFrame) -> DataFrame:
     return per.join(total, "doc_id").where((F.col("total") >= 2) & (F.col("pages") >= F.greatest(F.lit(2), F.ceil(F.col("total") * 0.4)))).select("doc_id", "signature", "pages")
 
 
+def repeated_headers(lines: DataFrame, least: int = 10) -> DataFrame:
+    """doc_id, key, lines: header candidates that stand at least so often in a document, reform legends left out."""
+    rows = lines.where(legal.header_candidate(F.col("line")) & ~F.col("line").rlike(legal.REFORM_LEGEND)).select("doc_id", legal.squeeze(F.col("line")).alias("key")).where("key <> ''")
+    return rows.groupBy("doc_id", "key").agg(F.count("*").alias("lines")).where(F.col("lines") >= least)
+
+
 def keep_first_headers(lines: DataFrame) -> DataFrame:
     """Lines without page numbers and without header candidates seen before in the document; reform legends stay."""
     kept = lines.where(~legal.always_removed(F.col("line")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import legal
 
+# --- Fixed values: forms of the legends that laws carry, and how much of a document is searched for them ---
 LAST_REFORM = r"(?iU)(?:última|ultima)s?\s+reformas?\s+(?:publicadas?\s+)?dof\s+(\d{2})-(\d{2})-(\d{4})"
 NEW_LAW = rf"(?iU)nueva\s+ley\s+publicada\s+en\s+el\s+diario\s+oficial\s+de\s+la\s+federaci[oó]n\s+el\s+(\d{{1,2}})\s+de\s+({'|'.join(legal.MONTHS)})\s+de\s+(\d{{4}})"
 IN_FORCE = r"(?iU)\bTEXTO\s+VIGENTE\b"
@@ -40,9 +41,9 @@ def legal_legend(texts: DataFrame, key: str, text: str) -> DataFrame:
     out = per.groupBy("k").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list("first")), lambda x: x["phrase"]), " ").alias("legend"),
         F.max(F.when(F.col("kind") == "nueva", F.col("last.day"))).alias("publication_date"),
-        F.max(F.when(F.col("kind") == "ultima", F.col("last.day"))).alias("last_reform_date"),
+        F.max(F.when(F.col("kind") == "ultima", F.col("last.day"))).alias("last_reform_date"), F.count("*").cast("int").alias("kinds"),
     )
-    return out.select(F.col("k").alias(key), legal.squeeze(F.col("legend")).alias("legend"), "publication_date", "last_reform_date")
+    return out.select(F.col("k").alias(key), legal.squeeze(F.col("legend")).alias("legend"), "publication_date", "last_reform_date", "kinds")
 
 
 def decree_rubric(text: Column) -> Column:
@@ -58,9 +59,20 @@ def cut_at_word(text: Column, most: int) -> Column:
     return F.when(F.length(text) <= most, text).otherwise(F.concat(F.when(whole != "", whole).otherwise(head), F.lit("…")))
 
 
-def generic_heading(text: Column, title: Column) -> Column:
-    """Heading of a chunk without structure: the decree's rubric, its first line that isn't a continuation, or the law's name."""
-    decree = legal.doc_type(title) == "decreto"
+def decree_context(title: Column, head: Column) -> Column:
+    """The document is a decree: by its title, or by a rubric in the first 4000 characters."""
+    return (legal.doc_type(title) == "decreto") | F.coalesce(decree_rubric(F.substring(head, 1, 4000)).isNotNull(), F.lit(False))
+
+
+def first_pages(pages: DataFrame, most: int = 8) -> DataFrame:
+    """doc_id, text of a document's first pages, joined by line feeds."""
+    rows = pages.where((F.col("page_number") >= 1) & (F.col("page_number") <= most)).where("doc_id IS NOT NULL").groupBy("doc_id", "page_number").agg(F.max("text").alias("text"))
+    return rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_number", F.coalesce("text", F.lit("")).alias("t")))), lambda x: x["t"]), "\n").alias("text"))
+
+
+def generic_heading(text: Column, title: Column, decree: Column | None = None) -> Column:
+    """Heading of a chunk without structure: the decree's rubric, its first line that isn't a continuation, or the law's name. decree: whether the document is one, by default by its title."""
+    decree = legal.doc_type(title) == "decreto" if decree is None else decree
     lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), legal.strip), lambda x: x != "")
     preamble = lambda x: (F.length(x) >= 40) & x.rlike(WEEKDAY) & x.rlike(rf"(?iU)\d{{1,2}}\s+de\s+(?:{'|'.join(legal.MONTHS)})\s+de\s+\d{{4}}") & x.rlike(r"\bQue\s+|(?i)Edici[oó]n\s+Vespertina")
     lines = F.filter(lines, lambda x: ~(decree & (x.rlike(MASTHEAD) | preamble(x))))

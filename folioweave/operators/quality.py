@@ -156,7 +156,7 @@ def severity(score: Column) -> Column:
 def gated(scores: DataFrame, threshold: float = 0.85, production: bool = True, allow_below: bool = False) -> DataFrame:
     """Adds gate (whether the new structure is used) and gate_reason: a score at or above the threshold, or below it where that is allowed outside production."""
     reached = F.col("score") >= threshold
-    reason = F.when(reached, "score_meets_threshold").when(F.lit(not production and allow_below), "below_threshold_but_allowed_non_prod").otherwise("below_threshold")
+    reason = F.when(reached, "quality_sufficient").when(F.lit(not production and allow_below), "low_quality_allowed_non_prod").otherwise("quality_insufficient")
     return scores.withColumns({"gate": reached | F.lit(not production and allow_below), "gate_reason": reason})
 
 

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import providers
-from ..operators import layout, metadata, ordered
+from ..operators import metadata, ordered
 from ..operators import tables as table_ops
 from ..operators import toc
 from ..streaming import indexing
@@ -28,18 +27,6 @@ def table_figures(spark: SparkSession, d: str) -> DataFrame:
     return f.select("id", F.col("f.rows").alias("row_count"), F.col("f.columns").alias("columns"), F.col("f.cells").alias("cells"), numeric.alias("numeric_cells"))
 
 
-@query()
-def table_verdicts(spark: SparkSession, d: str) -> DataFrame:
-    rows = _one(spark, d, "text").where(F.col("text").contains("|")).select("id", table_ops.from_markdown(F.col("text")).alias("rows"))
-    got = table_ops.judged(rows)
-    return got.select("id", "verdict", F.coalesce(F.length(table_ops.to_markdown(table_ops.merged_header(F.col("rows")), F.lit(1))), F.lit(0)).alias("markdown_chars"))
-
-
-@query()
-def legal_legends(spark: SparkSession, d: str) -> DataFrame:
-    return metadata.legal_legend(table(spark, d, "page_content").where("page_number <= 8"), "doc_id", "text")
-
-
 @query()
 def generic_headings(spark: SparkSession, d: str) -> DataFrame:
     chunks = _one(spark, d, "text").where(norm_key(F.coalesce("chunkType", F.lit("generic"))) == "generic").select("id", "documentId", "text")
@@ -47,19 +34,6 @@ def generic_headings(spark: SparkSession, d: str) -> DataFrame:
     return chunks.join(titles, "documentId", "left").select("id", metadata.generic_heading(F.col("text"), F.col("title")).alias("heading"))
 
 
-@query(f"""WITH {_CHUNKS} SELECT id FROM chunks WHERE regexp_matches(trim(coalesce(heading, '')), '(?i)^(casos,\\s*se\\s|de esta ley|de la presente ley|de este c[oóÓ]digo)')
-    OR regexp_matches(trim(coalesce(heading, '')), '(?i)^(considera|consider[óÓ]|consideran|deber[áÁ]|deber[áÁ]n|podr[áÁ]|podr[áÁ]n|tendr[áÁ]|tendr[áÁ]n|habr[áÁ]|habr[áÁ]n|resulta|resultan|establece|establecen|determina|determinan|dispone|disponen|autoriza|autorizan|ordena|ordenan|precisa|precisan|se[ñÑ]ala|se[ñÑ]alan|define|definen|otorga|otorgan|fundamento)\\s+')""")
-def suspicious_headings(spark: SparkSession, d: str) -> DataFrame:
-    return _one(spark, d).where(metadata.suspicious_heading(F.col("heading"))).select("id")
-
-
-@query()
-def boxed_note_verdicts(spark: SparkSession, d: str) -> DataFrame:
-    blocks = layout.blocks(table(spark, d, "extracted_spans"))
-    verdict = providers.boxed_verdict(F.col("text"), F.col("x0") > 100, F.lit(1), F.size(F.split("text", "\n")))
-    return blocks.groupBy(verdict.alias("verdict")).agg(F.count("*").alias("blocks"))
-
-
 @query("""
     WITH e AS (SELECT event_id, user_id, ts, value FROM events WHERE event_type <> 'error'), x AS (SELECT user_id, ts, value FROM events WHERE event_type = 'error')
     SELECT e.event_id, e.user_id, (SELECT max(x.value) FROM x WHERE x.user_id = e.user_id AND x.ts = (SELECT max(y.ts) FROM x y WHERE y.user_id = e.user_id AND y.ts <= e.ts)) AS last_error FROM e
@@ -75,11 +49,12 @@ def event_asof_error(spark: SparkSession, d: str) -> DataFrame:
     SELECT user_id, count(*) AS events, round(coalesce(max(gap), 0), 3) AS longest_gap FROM (SELECT user_id, epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS gap FROM events) GROUP BY 1
 """)
 def event_gaps(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    e = table(spark, d, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
-    gap = F.col("at") - F.lag("at").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return e.select("user_id", gap.alias("gap")).groupBy("user_id").agg(F.count("*").alias("events"), F.round(F.coalesce(F.max("gap"), F.lit(0.0)), 3).alias("longest_gap"))
+    e = table(spark, d, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
+    rows = e.groupBy("user_id", "at").agg(F.count("*").alias("n"))  # events of one moment have no gap between them
+    # the last moment before, carried over stretches of a day, so that a busy user is spread over tasks
+    rows = ordered.last_known(rows.withColumn("seen", F.col("at")), ["user_id"], "at", {"before": "seen"}, include_self=False, block=86_400_000_000)
+    gap = (F.col("at") - F.col("before")) / 1e6
+    return rows.groupBy("user_id").agg(F.sum("n").alias("events"), F.round(F.coalesce(F.max(gap), F.lit(0.0)), 3).alias("longest_gap"))
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events WHERE CAST(json_extract_string(props, '$.k') AS INT) >= 90")
@@ -127,12 +102,10 @@ def two_level_page_rollup(spark: SparkSession, d: str) -> DataFrame:
     return p.groupBy("documentId").agg(F.count("*").alias("pages"), F.sum("n").alias("chunks"), F.round(F.avg("n"), 4).alias("chunks_per_page"), F.max("chars").alias("longest_page"))
 
 
-@query(f"""WITH {_NEWEST}, u AS (SELECT id, blobPath, 'prefix' AS input FROM docs WHERE starts_with(blobPath, 'laboral/') UNION SELECT id, blobPath, 'hash' AS input FROM docs WHERE contentHash < '2') SELECT * FROM u""")
+@query(f"""WITH {_NEWEST} SELECT id, blobPath, 'by_path' AS input FROM docs WHERE blobPath IS NOT NULL UNION ALL SELECT id, blobPath, 'by_id' AS input FROM docs""")
 def input_descriptors(spark: SparkSession, d: str) -> DataFrame:
+    """Every document named by its path and by its id, one list behind the other."""
     from ..sources import readers
 
-    docs = _docs(spark, d)
-    a = docs.where(F.col("blobPath").startswith("laboral/")).select("id", "blobPath", F.lit("prefix").alias("input"))
-    b = docs.where("contentHash < '2'").select("id", "blobPath", F.lit("hash").alias("input"))
-    return readers.descriptors([a, b])
-
+    docs = _docs(spark, d).select("id", "blobPath")
+    return readers.descriptors([docs.where("blobPath IS NOT NULL").withColumn("input", F.lit("by_path")), docs.withColumn("input", F.lit("by_id"))])

@@ -46,22 +46,25 @@ def docs_with_chunks(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).join(c, "id", "left_semi").select("id")
 
 
-@query(f"WITH {_NEWEST} SELECT id FROM docs WHERE id NOT IN (SELECT documentId FROM legal_chunks WHERE documentId IS NOT NULL)")
-def docs_without_chunks(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "legal_chunks").select(F.col("documentId").alias("id"))
+@query(f"WITH {_NEWEST} SELECT id FROM docs WHERE id NOT IN (SELECT documentId FROM legal_chunks WHERE documentId IS NOT NULL AND lower(trim(chunkType)) = 'table')")
+def docs_without_tables(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "legal_chunks").where(norm_key(F.col("chunkType")) == "table").select(F.col("documentId").alias("id"))
     return _docs(spark, d).join(c, "id", "left_anti").select("id")
 
 
-@query(f"""WITH {_NEWEST} SELECT id, updatedAt FROM docs WHERE (metadata IS NULL OR NOT contains(metadata, '"toc"')) AND id IN (SELECT documentId FROM legal_chunks) ORDER BY updatedAt, id LIMIT 20""")
+@query(f"""WITH {_NEWEST} SELECT id, updatedAt FROM docs WHERE (metadata IS NULL OR NOT contains(metadata, '"toc"') OR regexp_matches(metadata, '"toc"\\s*:\\s*(null|\\[\\s*\\])')) AND id IN (SELECT documentId FROM legal_chunks) ORDER BY updatedAt, id LIMIT 20""")
 def missing_toc_candidates(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "legal_chunks").select(F.col("documentId").alias("id"))
-    missing = F.col("metadata").isNull() | ~F.col("metadata").contains('"toc"')
+    empty = F.col("metadata").rlike(r'"toc"\s*:\s*(null|\[\s*\])')
+    missing = F.col("metadata").isNull() | ~F.col("metadata").contains('"toc"') | empty
     return _docs(spark, d).where(missing).join(c, "id", "left_semi").select("id", "updatedAt").orderBy("updatedAt", "id").limit(20)
 
 
-@query(f"WITH {_NEWEST} SELECT contentHash, count(*) AS documents FROM docs WHERE contentHash IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
+@query("SELECT contentHash, count(*) AS deliveries, count(DISTINCT id) AS documents FROM legal_documents WHERE contentHash IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
 def duplicate_content(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).where("contentHash IS NOT NULL").groupBy("contentHash").agg(F.count("*").alias("documents")).where("documents > 1")
+    """Contents delivered more than once."""
+    rows = table(spark, d, "legal_documents").where("contentHash IS NOT NULL").groupBy("contentHash")
+    return rows.agg(F.count("*").alias("deliveries"), F.count_distinct("id").alias("documents")).where("deliveries > 1")
 
 
 @query(f"""
@@ -85,7 +88,8 @@ def chunk_upsert_view(spark: SparkSession, d: str) -> DataFrame:
     return ops.chunk_rows(_one(spark, d, "text")).drop("tsv")
 
 
-@query()
+@query(f"""WITH {_CHUNKS}, w AS (SELECT id, list_sort(list_distinct(list_filter(string_split_regex(translate(lower(coalesce(text, '')), 'áéíóúüñ', 'aeiouun'), '[^a-z0-9]+'), lambda x: x <> '' AND x NOT IN ({", ".join(f"'{x}'" for x in legal.STOP_WORDS)})))) AS t FROM chunks)
+    SELECT id, array_to_string(t, ' ') AS tokens FROM w""")
 def chunk_search_tokens(spark: SparkSession, d: str) -> DataFrame:
     return ops.chunk_rows(_one(spark, d, "text")).select("id", F.array_join("tsv", " ").alias("tokens"))
 

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import index, quality as ops
 from ..session import cut_lineage
-from ..tables import table
-from .index import _CHUNKS, _NEWEST, _RUNS, _docs, _one, _runs
+from .index import _CHUNKS, _NEWEST, _docs, _one
 from .registry import query
 from .structure import _TREE, _in, chunk_blocks, structure
 
@@ -80,7 +79,7 @@ def quality_scores(spark: SparkSession, d: str) -> DataFrame:
     return _scores(spark, d)
 
 
-@query(f"WITH {_SCORED} SELECT doc_id, score, score >= 0.85 AS gate, CASE WHEN score >= 0.85 THEN 'score_meets_threshold' ELSE 'below_threshold' END AS gate_reason FROM graded")
+@query(f"WITH {_SCORED} SELECT doc_id, score, score >= 0.85 AS gate, CASE WHEN score >= 0.85 THEN 'quality_sufficient' ELSE 'quality_insufficient' END AS gate_reason FROM graded")
 def quality_gate(spark: SparkSession, d: str) -> DataFrame:
     return ops.gated(_scores(spark, d)).select("doc_id", "score", "gate", "gate_reason")
 
@@ -126,7 +125,21 @@ def variant_compare(spark: SparkSession, d: str) -> DataFrame:
     return got.drop("left_notes", "right_notes", "left_types", "right_types")
 
 
-@query(f"""WITH {_RECORDS} SELECT documentId, status, score, severity, coalesce(len(string_split(nullif(reasons, ''), ',')), 0) AS failed_checks FROM recs""")
+_FLAGS = {"has_visible_table_tokens": "has_visible_table_tokens", "has_header_footer_bleed": "header_footer_bleed", "low_article_ref_coverage": "article_ref_coverage", "has_orphan_tables": "orphan_tables_count", "has_toc_duplicates": "toc_duplicate_ratio"}
+
+
+@query(f"""WITH {_RECORDS}, n AS (SELECT doc_id, count(*) FILTER (node_type = 'article') AS article_count, count(*) FILTER (node_type = 'table') AS table_count, count(*) AS chunk_count FROM tree GROUP BY 1)
+    SELECT documentId, blobPath, r.score AS quality_score, r.severity AS quality_severity, coalesce(chunk_count, 0) AS chunk_count, coalesce(article_count, 0) AS article_count, coalesce(table_count, 0) AS table_count,
+        {", ".join(f"list_contains(string_split(r.reasons, ','), '{v}') AS {k}" for k, v in _FLAGS.items())}, status, string_split(r.reasons, ',')[1] AS top_reason, replace(r.reasons, ',', ';') AS all_reasons
+    FROM recs r JOIN docs ON docs.id = documentId LEFT JOIN n ON n.doc_id = documentId""")
 def evaluation_rows(spark: SparkSession, d: str) -> DataFrame:
-    """One flat row per document, as the corpus report's CSV holds them: records joined with their quality reports."""
-    return index.flat_records(_records(spark, d))
+    """One flat row per document, as the corpus report's CSV holds them: records joined with their quality reports and the figures of their trees."""
+    tree = _nodes(spark, d)
+    paths = _docs(spark, d).select(F.col("id").alias("documentId"), "blobPath")
+    return index.flat_records(_records(spark, d), structure.counts(tree, tree), paths, _FLAGS)
+
+
+@query(f"WITH {_RECORDS} SELECT {', '.join(f'count(*) FILTER (list_contains(string_split(reasons, chr(44)), {chr(39)}{v}{chr(39)})) AS {k}' for k, v in _FLAGS.items())} FROM recs")
+def flag_counts(spark: SparkSession, d: str) -> DataFrame:
+    has = lambda v: F.array_contains(F.split("reasons", ","), v)
+    return _records(spark, d).agg(*[F.count_if(has(v)).alias(k) for k, v in _FLAGS.items()])

@@ -21,6 +21,19 @@ def binary_files(spark: SparkSession, root: str, pattern: str = "*.pdf") -> Data
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(root)
 
 
+def discovered(spark: SparkSession, root: str, pattern: str = "*.pdf") -> DataFrame:
+    """path, length of the files below a folder, or of one file, ordered by path; a missing root is an error. Contents are not read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        raise FileNotFoundError(root)
+    return binary_files(spark, root, pattern).select("path", "length").orderBy("path")
+
+
+def probe(spark: SparkSession) -> bool:
+    """Whether the engine answers."""
+    return spark.sql("SELECT 1").first()[0] == 1
+
+
 def with_identity(files: DataFrame) -> DataFrame:
     """Adds the content hash and the title that the file name gives."""
     return files.withColumns({"content_hash": F.sha2("content", 256), "title": F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1)})
@@ -49,8 +62,8 @@ def extract_pages(files: DataFrame, extractor: Extractor = text_extractor) -> Da
 
 
 def descriptors(parts: list[DataFrame], limit: int | None = None) -> DataFrame:
-    """Inputs named in several ways (ids, paths, prefixes) as one list; missing columns are null, each input counts once."""
-    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).distinct()
+    """Inputs named in several ways (ids, paths, prefixes) as one list, one behind the other; missing columns are null, an input named twice stands twice."""
+    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     return both.orderBy(*both.columns).limit(limit) if limit is not None else both
 
 
@@ -61,8 +74,3 @@ def matching(documents: DataFrame, prefix: str | None = None, category: str | No
     if category is not None:
         documents = documents.where(F.col("category_id") == category)
     return documents.orderBy(F.desc("updatedAt"), "id")
-
-
-def bookmarks(native: DataFrame, shift: int = 1) -> DataFrame:
-    """Native outline entries with pages counted from 1."""
-    return native.withColumn("page", F.greatest(F.lit(1), F.col("page") + shift))

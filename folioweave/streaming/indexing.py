@@ -11,7 +11,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..operators import chunks, index, lines
 
@@ -29,6 +29,36 @@ def log_run(spark: SparkSession, path: str, id_: str, started: datetime, status:
     spark.createDataFrame([(id_, started, ended, status, chunks_total, error)], RUN).coalesce(1).write.mode("append").parquet(path)
 
 
+def updated_runs(runs: DataFrame, changes: DataFrame, now) -> DataFrame:
+    """Runs after changes by id: given fields win, and any change sets endedAt, also one to processing."""
+    fields = [c for c in changes.columns if c != "id" and c in runs.columns]
+    new = changes.select("id", *[F.col(c).alias(f"_n_{c}") for c in fields], F.lit(True).alias("_hit"))
+    got = runs.join(new, "id", "left")
+    value = {c: F.coalesce(F.col(f"_n_{c}"), F.col(c)) if c in fields else F.col(c) for c in runs.columns}
+    value["endedAt"] = F.when(F.col("_hit"), F.lit(now)).otherwise(F.col("endedAt"))
+    return got.select(*[v.alias(c) for c, v in value.items()])
+
+
+class Progress(StreamingQueryListener):
+    """Tells a callback the rows processed so far each time a batch has at least `step` more; the callback writes them where progress is read."""
+
+    def __init__(self, callback, step: int = 100):
+        self.callback, self.step, self.rows, self.told = callback, step, 0, 0
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        self.rows += event.progress.numInputRows
+        if self.rows - self.told >= self.step:
+            self.told = self.rows
+            self.callback(self.rows)
+
+    def onQueryTerminated(self, event) -> None:
+        if self.rows != self.told:
+            self.callback(self.rows)
+
+
 def run_states(runs: DataFrame) -> DataFrame:
     """The newest state of each run: ended rows before open ones."""
     return index.newest(runs, "id", ["endedAt", "startedAt"])
