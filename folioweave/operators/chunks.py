@@ -1,7 +1,12 @@
-"""Chunks of bounded size from pages: the sequential fold of segments, per document.
+"""Chunks of bounded size from the segments and tables of pages.
 
-The fold depends on what came before, so it runs in Python over a document's segments as they stream by in order;
-only the open buffer is held, never a whole document.
+What opens a chunk for certain, whatever stands before it, parts a document into stretches: a transitory segment, an article
+other than the last one, a table and what follows it.  Stretches are independent, so they are folded in as many tasks as there
+are; only within a stretch does a chunk depend on what came before, and there the rows stream by in order with one open buffer
+held.  What must be known from before a stretch (the last reference, whether a transitory preamble is open) is carried forward in
+blocks.  A document without any article or table is one stretch.
+
+Tables are never cut and take the reference of the last article or transitory item before them.
 """
 
 from __future__ import annotations
@@ -10,100 +15,166 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-LONGEST, LEAST = 2000, 25
-#: Where a long text may be cut, best first.
-_CUTS = [re.compile(r"\n\s*\n"), re.compile(r"\n"), re.compile(r"(?<=[.;:!?])\s"), re.compile(r"\s")]
-#: Small words that shouldn't end a part.
-_TAIL = re.compile(r"\s(?:de|del|la|el|los|las|en|y|o|a|al|que|se|con|por|su)$", re.I)
+from ..functions import legal
+from . import metadata, ordered, structure
+
+#: Sizes, and small words that a part doesn't end with.
+LONGEST, LEAST, MOST_HEADING = 2000, 25, 500
+CLITICS = {"se", "le", "les", "nos", "me", "te", "lo", "los", "las"}
+PREAMBLE = "Transitorios"
+
+
+def _cut(rest: str, most: int) -> int:
+    """Where a text longer than `most` is cut: behind the last paragraph or line break within reach, else in the second half behind a sentence or at a blank, else hard."""
+    for mark in ("\n\n", "\n"):
+        at = rest.rfind(mark, 0, most + 1)
+        if at >= 0:
+            return at + len(mark)
+    half = most // 2
+    sentences = [m.end() for m in re.finditer(r"\. ", rest[:most]) if m.start() >= half and rest[m.end() : m.end() + 1].isupper()]
+    if sentences:
+        return sentences[-1]
+    blank = rest.rfind(" ", 0, most)
+    cut = blank + 1 if blank > half else most
+    # a part that would end in a clitic leaves it to the next one
+    words = re.search(r" ([^ ]*)$", rest[:cut].rstrip())
+    if words and re.sub(r"^[\W_]+|[\W_]+$", "", words[1]).lower() in CLITICS:
+        before = rest.rfind(" ", 0, words.start())
+        if before >= half:
+            return before + 1
+    return cut
 
 
 def split_by_size(text: str, most: int = LONGEST, least: int = LEAST) -> list[str]:
-    """Parts of at most `most` characters: cut at the last paragraph, line, sentence or blank within the limit, else hard."""
-    parts, rest = [], text.strip()
+    """Parts of about `most` characters; a part of fewer than `least` joins the one before it."""
+    if len(text) <= most:
+        return [text] if text.strip() else []
+    parts: list[str] = []
+
+    def put(part: str) -> None:
+        if parts and len(part.strip()) < least:
+            parts[-1] += "\n" + part
+        elif part:
+            parts.append(part)
+
+    rest = text
     while len(rest) > most:
-        cut = 0
-        for pattern in _CUTS:
-            found = [m.end() for m in pattern.finditer(rest, 0, most) if m.end() >= least]
-            if found:
-                cut = found[-1]
-                while (m := _TAIL.search(rest[:cut].rstrip())) and m.start() >= least and pattern is _CUTS[3]:
-                    cut = m.start() + 1
-                break
-        cut = cut or most
-        parts.append(rest[:cut].strip())
-        rest = rest[cut:].strip()
-    if rest:
-        if parts and len(rest) < least and len(parts[-1]) + len(rest) + 1 <= most:
-            parts[-1] = f"{parts[-1]} {rest}"
-        else:
-            parts.append(rest)
-    return [p for p in parts if p]
+        at = _cut(rest, most)
+        put(rest[:at].rstrip())
+        rest = rest[at:].lstrip()
+    put(rest.strip())
+    return parts
 
 
-_OUT = pa.schema([("doc_id", pa.string()), ("chunk_no", pa.int32()), ("chunk_type", pa.string()), ("article_ref", pa.string()), ("start_page", pa.int32()), ("end_page", pa.int32()), ("text", pa.string())])
-_ROWS = "doc_id string, chunk_no int, chunk_type string, article_ref string, start_page int, end_page int, text string"
+_OUT = pa.schema([("doc_id", pa.string()), ("stretch", pa.int64()), ("part", pa.int32()), ("chunk_type", pa.string()), ("article_ref", pa.string()), ("start_page", pa.int32()), ("end_page", pa.int32()), ("text", pa.string()), ("table_index", pa.int32())])
+_ROWS = "doc_id string, stretch bigint, part int, chunk_type string, article_ref string, start_page int, end_page int, text string, table_index int"
 
 
-class _Fold:
-    """The open buffer of one document."""
+class _Stretch:
+    """The open buffer of one stretch."""
 
-    def __init__(self, doc: str, most: int):
-        self.doc, self.most, self.no = doc, most, 0
-        self.text, self.kind, self.ref, self.first, self.last = "", "generic", None, 0, 0
+    def __init__(self, doc: str, number: int, most: int):
+        self.doc, self.number, self.most, self.parts = doc, number, most, 0
         self.rows: list[tuple] = []
+        self.text, self.kind, self.ref, self.first, self.last = "", "generic", None, 1, 1
+
+    def put(self, kind: str, ref: str | None, first: int, last: int, text: str, table: int | None = None) -> None:
+        self.parts += 1
+        self.rows.append((self.doc, self.number, self.parts, kind, ref, first, last, text, table))
 
     def flush(self) -> None:
-        if self.text.strip():
-            for part in split_by_size(self.text, self.most):
-                self.no += 1
-                self.rows.append((self.doc, self.no, self.kind, self.ref, self.first, self.last, part))
-        self.text = ""
-
-    def add(self, page: int, kind: str, ref: str | None, text: str) -> None:
-        new_ref = ref is not None and ref != self.ref
-        if self.text and (new_ref or kind == "transitorio" or kind in ("book", "title", "chapter", "section", "annex") or len(self.text) + len(text) + 1 > self.most):
-            self.flush()
-        if not self.text:
-            self.kind, self.first = kind, page
-            self.ref = ref if ref is not None or kind != "generic" else self.ref
-            self.text = text
-        else:
+        for part in split_by_size(self.text, self.most) if self.text.strip() else []:
+            self.put(self.kind, self.ref, self.first, self.last, part)
+
+    def add(self, page: int, kind: str, ref: str | None, text: str, preamble: bool) -> None:
+        sticky = PREAMBLE if preamble and kind == "generic" else None
+        if self.text and len(self.text) + len(text) + 1 <= self.most:
             self.text += "\n" + text
+            self.ref = self.ref or sticky
+        else:
+            self.flush()  # the reference stays where the next buffer has none of its own
+            self.text, self.kind, self.ref, self.first = text, kind, ref or sticky or self.ref, page
         self.last = page
 
 
 def _fold_batches(most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fold: _Fold | None = None
+        open_: _Stretch | None = None
+        done: list[tuple] = []
 
-        def drain(f: _Fold) -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*f.rows), _OUT)], schema=_OUT)
-            f.rows = []
+        def drain() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*done), _OUT)], schema=_OUT)
+            done.clear()
             return out
 
         for batch in batches:
-            for doc, page, kind, ref, text in zip(*(c.to_pylist() for c in batch.columns)):
-                if fold is None or fold.doc != doc:
-                    if fold is not None:
-                        fold.flush()
-                        if fold.rows:
-                            yield drain(fold)
-                    fold = _Fold(doc, most)
-                fold.add(page, kind, ref, text)
-                if len(fold.rows) > 2000:
-                    yield drain(fold)
-        if fold is not None:
-            fold.flush()
-            if fold.rows:
-                yield drain(fold)
+            for doc, stretch, page, kind, ref, text, preamble, table in zip(*(c.to_pylist() for c in batch.columns)):
+                if open_ is None or (open_.doc, open_.number) != (doc, stretch):
+                    if open_ is not None:
+                        open_.flush()
+                        done += open_.rows
+                    open_ = _Stretch(doc, stretch, most)
+                if table is not None:
+                    open_.put(kind, ref, page, page, text, table)
+                else:
+                    open_.add(page, kind, ref, text, preamble)
+                done += open_.rows
+                open_.rows = []
+                if len(done) > 2000:
+                    yield drain()
+        if open_ is not None:
+            open_.flush()
+            done += open_.rows
+        if done:
+            yield drain()
 
     return run
 
 
-def bounded_chunks(segments: DataFrame, most: int = LONGEST) -> DataFrame:
-    """Chunks of each document in order, numbered from 1."""
-    rows = segments.select("doc_id", "page_number", "type", "ref", "text", "seg_no").repartition("doc_id").sortWithinPartitions("doc_id", "page_number", "seg_no")
-    return rows.select("doc_id", "page_number", "type", "ref", "text").mapInArrow(_fold_batches(most), _ROWS)
+def stretched(segments: DataFrame, tables: DataFrame | None = None) -> DataFrame:
+    """Segments and tables of documents in order (ord), with the number of their stretch and whether a transitory preamble is open before them (preamble)."""
+    none = F.lit(None)
+    rows = segments.select("doc_id", "page_number", "seg_no", "type", "ref", "text", none.cast("int").alias("table_index"))
+    if tables is not None:
+        kind = F.when(F.col("is_boxed_note"), "boxed_note").otherwise("table")
+        late = F.col("table_index") + (1 << 30)  # behind the text of the page
+        rows = rows.unionByName(tables.select("doc_id", "page_number", late.alias("seg_no"), kind.alias("type"), none.cast("string").alias("ref"), F.col("markdown").alias("text"), F.col("table_index").cast("int").alias("table_index")))
+    rows = structure.numbered(rows, ["seg_no"])
+    header = (F.col("type") == "transitorio") & F.col("ref").isNull() & legal.strip(F.col("text")).rlike(legal.TRANSITORY_HEADER)
+    closes = ((F.col("type") == "transitorio") & F.col("ref").isNotNull()) | ((F.col("type") == "article") & F.coalesce(F.col("ref").endswith(" Transitorio"), F.lit(False))) | F.col("type").isin("book", "title", "chapter", "section")
+    table = F.col("table_index").isNotNull()
+    rows = rows.withColumns({"_p": F.when(header, 1).when(closes, 0), "_r": F.when(~table, F.col("ref")), "_t": F.when(table, 1).otherwise(0)})
+    rows = ordered.last_known(rows, ["doc_id"], "ord", {"_preamble": "_p", "_last": "_r", "_after": "_t"}, include_self=False)
+    opens = table | (F.coalesce("_after", F.lit(0)) == 1) | (F.col("type") == "transitorio") | ((F.col("type") == "article") & F.col("ref").isNotNull() & ~F.col("ref").eqNullSafe(F.col("_last")))
+    rows = rows.withColumns({"_one": F.when(opens, 1).otherwise(0), "preamble": F.coalesce("_preamble", F.lit(0)) == 1})
+    return ordered.running_sum(rows, ["doc_id"], "ord", "_one", "stretch")
+
+
+def bounded_chunks(segments: DataFrame, most: int = LONGEST, tables: DataFrame | None = None, titles: DataFrame | None = None) -> DataFrame:
+    """doc_id, chunk_no from 1, chunk_type, article_ref, start_page, end_page, text, table_index of each document's chunks in order.
+
+    tables: doc_id, page_number, table_index, markdown, is_boxed_note. titles: doc_id, title, head; adds the heading: the reference, else for text the generic
+    heading, for a table its mark.
+    """
+    rows = stretched(segments, tables).select("doc_id", "stretch", "page_number", "type", "ref", "text", "preamble", "table_index", "ord")
+    rows = rows.repartition("doc_id", "stretch").sortWithinPartitions("doc_id", "stretch", "ord").drop("ord")
+    made = rows.mapInArrow(_fold_batches(most), _ROWS)
+    # numbers of chunks from the counts of the stretches; references of tables from the chunks before them
+    counts = made.groupBy("doc_id", "stretch").agg(
+        F.count("*").alias("_n"), F.max(F.when(F.col("chunk_type").isin("article", "transitorio") & F.col("article_ref").isNotNull(), F.struct("part", "article_ref"))).alias("_ref")
+    )
+    w = Window.partitionBy("doc_id").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("doc_id", "stretch", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"), F.last("_ref.article_ref", ignorenulls=True).over(w).alias("_known"))
+    got = made.join(before, ["doc_id", "stretch"])
+    ref = F.when(F.col("table_index").isNotNull(), F.col("_known")).otherwise(F.col("article_ref"))
+    got = got.select("doc_id", (F.col("_before") + F.col("part")).cast("int").alias("chunk_no"), "chunk_type", ref.alias("article_ref"), "start_page", "end_page", "text", "table_index")
+    if titles is None:
+        return got
+    got = got.join(titles, "doc_id", "left")
+    mark = F.concat(F.lit("[TABLE_"), F.col("table_index").cast("string"), F.lit("]"))
+    generic = metadata.generic_heading(F.col("text"), F.col("title"), metadata.decree_context(F.col("title"), F.col("head")))
+    heading = F.coalesce(F.nullif("article_ref", F.lit("")), F.when(F.col("table_index").isNotNull(), mark).otherwise(generic))
+    return got.withColumn("heading", F.substring(legal.strip(heading), 1, MOST_HEADING)).drop("title", "head")

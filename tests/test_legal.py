@@ -101,7 +101,7 @@ def test_split_by_size():
 def test_bounded_chunks_follow_articles(spark):
     p = pages(spark, "Preámbulo\nArtículo 1.- Uno\nsigue\nArtículo 2.- Dos", "más de dos\nTRANSITORIOS\nPrimero.- Entra.")
     got = [(r.chunk_no, r.article_ref, r.start_page, r.end_page) for r in chunks.bounded_chunks(lines.segments(lines.typed_lines(lines.explode_lines(p)))).orderBy("chunk_no").collect()]
-    assert got == [(1, None, 1, 1), (2, "Artículo 1", 1, 1), (3, "Artículo 2", 1, 2), (4, None, 2, 2)]
+    assert got == [(1, None, 1, 1), (2, "Artículo 1", 1, 1), (3, "Artículo 2", 1, 2), (4, "Transitorios", 2, 2)]
 
 
 def test_ordered_blocks_match_windows(spark):
@@ -184,3 +184,32 @@ def test_toc_levels(spark):
 def test_buckets_are_filled(spark):
     df = spark.createDataFrame([(s,) for s in (0.3, 0.6, 0.75, 0.9, 0.95)], "score double")
     assert sorted(tuple(r) for r in quality.score_buckets(df).collect()) == [("0.0-0.5", 1), ("0.5-0.7", 1), ("0.7-0.85", 1), ("0.85-1.0", 2)]
+
+
+def test_cuts_of_long_texts():
+    assert chunks.split_by_size("a" * 10, 20) == ["a" * 10] and chunks.split_by_size("  ", 20) == []
+    assert chunks.split_by_size("uno dos.\n\ntres cuatro", 15, 2) == ["uno dos.", "tres cuatro"]
+    assert chunks.split_by_size("corto. Luego sigue otra frase que es larga", 30, 2) == ["corto. Luego sigue otra frase", "que es larga"]
+    assert chunks.split_by_size("una frase larga. Otra frase más", 25, 2) == ["una frase larga.", "Otra frase más"]
+    assert chunks.split_by_size("aaaaaaaaaaaaaaaa bbb se ccccccc", 24, 2) == ["aaaaaaaaaaaaaaaa", "bbb se ccccccc"]
+    assert chunks.split_by_size("x" * 50, 20, 2) == ["x" * 20, "x" * 20, "x" * 10] and len(chunks.split_by_size("x" * 50, 20)) == 1
+
+
+def test_stretches_tables_and_preambles(spark):
+    rows = [
+        (1, 1, "generic", None, "Preámbulo de la ley"), (1, 2, "article", "Artículo 1", "Artículo 1.- Uno"), (1, 3, "generic", None, "sigue"), (2, 1, "article", "Artículo 1", "Artículo 1 otra vez"), (2, 2, "article", "Artículo 2", "Artículo 2.- Dos"),
+        (3, 1, "generic", None, "tras la tabla"), (3, 2, "transitorio", None, "TRANSITORIOS"), (3, 3, "generic", None, "preámbulo transitorio " * 3), (3, 4, "transitorio", "Artículo Primero Transitorio", "Primero.- x"), (3, 5, "generic", None, "y más"),
+    ]
+    segments = spark.createDataFrame([("d", *r) for r in rows] + [("e", 1, 1, "generic", None, "solo")], "doc_id string, page_number int, seg_no int, type string, ref string, text string")
+    tables = spark.createDataFrame([("d", 2, 1, "| t |", False), ("d", 2, 2, "| u |", True)], "doc_id string, page_number int, table_index int, markdown string, is_boxed_note boolean")
+    titles = spark.createDataFrame([("d", "Ley de Aguas", "")], "doc_id string, title string, head string")
+    got = [tuple(r) for r in chunks.bounded_chunks(segments, 60, tables, titles).where("doc_id = 'd'").orderBy("chunk_no").select("chunk_no", "chunk_type", "article_ref", "start_page", "end_page", "text", "table_index", "heading").collect()]
+    assert got == [
+        (1, "generic", None, 1, 1, "Preámbulo de la ley", None, "Preámbulo de la ley"), (2, "article", "Artículo 1", 1, 2, "Artículo 1.- Uno\nsigue\nArtículo 1 otra vez", None, "Artículo 1"), (3, "article", "Artículo 2", 2, 2, "Artículo 2.- Dos", None, "Artículo 2"),
+        (4, "table", "Artículo 2", 2, 2, "| t |", 1, "Artículo 2"), (5, "boxed_note", "Artículo 2", 2, 2, "| u |", 2, "Artículo 2"), (6, "generic", None, 3, 3, "tras la tabla", None, "tras la tabla"),
+        (7, "transitorio", None, 3, 3, "TRANSITORIOS", None, "TRANSITORIOS"), (8, "generic", "Transitorios", 3, 3, "preámbulo transitorio preámbulo transitorio preámbulo\ntransitorio", None, "Transitorios"),
+        (9, "transitorio", "Artículo Primero Transitorio", 3, 3, "Primero.- x\ny más", None, "Artículo Primero Transitorio"),
+    ]
+    assert chunks.bounded_chunks(segments.limit(0), 60, tables.limit(0)).count() == 0
+    hit = {(r.chunk_no, r.text) for r in chunks.bounded_chunks(segments, 60).where("doc_id = 'd'").collect()}
+    assert len(hit) == len(got) - 2 and max(n for n, _ in hit) == len(hit)
