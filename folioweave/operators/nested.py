@@ -27,7 +27,7 @@ OUTLINE_KEY = "toc"
 _ROWS = (
     "document_id string, node_ord int, parent_ord int, sibling_no int, depth int, "
     "obj_hash binary, target_hash binary, node_id string, title string, level string, "
-    "target_page string, target_offset string, target_extra string, extra string, child_hashes array<binary>"
+    "target_page string, target_offset string, target_extra string, extra string, child_hashes array<binary>, title_is_text boolean"
 )
 _ARROW = pa.schema(
     [
@@ -46,6 +46,7 @@ _ARROW = pa.schema(
         ("target_extra", pa.string()),
         ("extra", pa.string()),
         ("child_hashes", pa.list_(pa.binary())),
+        ("title_is_text", pa.bool_()),
     ]
 )
 
@@ -227,7 +228,7 @@ def flatten_document(metadata: str | None) -> list[list]:
         rows.append(
             [ord_, parent, sibling, depth, None, None if target is None else _digest(b"target", _canonical(target).encode("utf-8", "surrogatepass"))]
             + [_scalar(node.get(k)) for k in ("id", "title", "level")]
-            + [_scalar(page), _scalar(offset), _canonical(beside) if beside else None, _canonical(extra) if extra else None, []]
+            + [_scalar(page), _scalar(offset), _canonical(beside) if beside else None, _canonical(extra) if extra else None, [], node.get("title") is None or isinstance(node.get("title"), str)]
         )
         todo += [(c, ord_, i, depth + 1) for i, c in reversed(list(enumerate(_objects(node.get("children")), 1)))]
     for r in reversed(rows):  # children follow their parent, so their hashes are ready first
