@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import legal
+from ..session import cut_lineage
 from . import metadata, ordered, structure
 
 #: Sizes, and small words that a part doesn't end with.
@@ -142,7 +143,7 @@ def stretched(segments: DataFrame, tables: DataFrame | None = None) -> DataFrame
         kind = F.when(F.col("is_boxed_note"), "boxed_note").otherwise("table")
         late = F.col("table_index") + (1 << 30)  # behind the text of the page
         rows = rows.unionByName(tables.select("doc_id", "page_number", late.alias("seg_no"), kind.alias("type"), none.cast("string").alias("ref"), F.col("markdown").alias("text"), F.col("table_index").cast("int").alias("table_index")))
-    rows = structure.numbered(rows, ["seg_no"])
+    rows = cut_lineage(structure.numbered(cut_lineage(rows), ["seg_no"]))  # read several times below
     header = (F.col("type") == "transitorio") & F.col("ref").isNull() & legal.strip(F.col("text")).rlike(legal.TRANSITORY_HEADER)
     closes = ((F.col("type") == "transitorio") & F.col("ref").isNotNull()) | ((F.col("type") == "article") & F.coalesce(F.col("ref").endswith(" Transitorio"), F.lit(False))) | F.col("type").isin("book", "title", "chapter", "section")
     table = F.col("table_index").isNotNull()

@@ -45,9 +45,8 @@ _RECORDS = f"""{_SCORED}, {_NEWEST}, recs AS (SELECT docs.id AS documentId, CASE
 
 def _nodes(spark: SparkSession, d: str) -> DataFrame:
     """The tree of the chunk table with a flag for table marks, so that texts don't move with it."""
-    rows = chunk_blocks(spark, d)
-    marked = F.concat_ws(" ", "head", F.nullif("text", F.lit(""))).rlike(ops.TABLE_TOKEN)
-    rows = rows.withColumn("text", F.when(marked, "[TABLE_1]"))
+    rows = chunk_blocks(spark, d, "marked")
+    rows = rows.withColumn("text", F.when(F.col("marked") | F.col("head").rlike(ops.TABLE_TOKEN), "[TABLE_1]"))
     tree = structure.nodes(rows).withColumn("tokens", F.col("text").isNotNull())
     return cut_lineage(tree.drop("text", "ancestors"))
 
@@ -56,9 +55,10 @@ def _scores(spark: SparkSession, d: str) -> DataFrame:
     return ops.scored(_nodes(spark, d))
 
 
-def _records(spark: SparkSession, d: str) -> DataFrame:
+def _records(spark: SparkSession, d: str, tree: DataFrame | None = None) -> DataFrame:
     """Every document with its score; documents without chunks count as failed."""
-    got = _docs(spark, d).select(F.col("id").alias("documentId")).join(_scores(spark, d).withColumnRenamed("doc_id", "documentId"), "documentId", "left")
+    scores = ops.scored(_nodes(spark, d) if tree is None else tree)
+    got = _docs(spark, d).select(F.col("id").alias("documentId")).join(scores.withColumnRenamed("doc_id", "documentId"), "documentId", "left")
     status = F.when(F.col("nodes").isNull(), "failed").otherwise("ok")
     return got.select("documentId", status.alias("status"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("severity", F.lit("high")).alias("severity"), F.coalesce("reasons", F.lit("")).alias("reasons"))
 
@@ -136,7 +136,7 @@ def evaluation_rows(spark: SparkSession, d: str) -> DataFrame:
     """One flat row per document, as the corpus report's CSV holds them: records joined with their quality reports and the figures of their trees."""
     tree = _nodes(spark, d)
     paths = _docs(spark, d).select(F.col("id").alias("documentId"), "blobPath")
-    return index.flat_records(_records(spark, d), structure.counts(tree, tree), paths, _FLAGS)
+    return index.flat_records(_records(spark, d, tree), structure.counts(tree, tree), paths, _FLAGS)
 
 
 @query(f"WITH {_RECORDS} SELECT {', '.join(f'count(*) FILTER (list_contains(string_split(reasons, chr(44)), {chr(39)}{v}{chr(39)})) AS {k}' for k, v in _FLAGS.items())} FROM recs")

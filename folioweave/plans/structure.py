@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import layout, structure
+from ..operators.index import distinct_chunks
+from ..operators.quality import TABLE_TOKEN
 from ..session import cut_lineage
 from ..tables import norm_key, table
-from .index import _CHUNKS, _one
+from .index import _CHUNKS
 from .registry import query
 
 _LABEL = {"book": "book_heading", "title": "title_heading", "chapter": "chapter_heading", "section": "section_heading", "annex": "annex_heading", "article": "article_heading",
@@ -47,21 +49,26 @@ _TREE = f"""{_BLOCKS},
     pages AS (SELECT doc_id, ord, min(page_number) AS page_start, max(page_number) AS page_end FROM spread GROUP BY 1, 2)"""
 
 
-def chunk_blocks(spark: SparkSession, d: str) -> DataFrame:
-    """The chunk table's rows as labelled blocks in the order of their numbers."""
-    rows = _one(spark, d, "text").where("chunkNo IS NOT NULL")
+def with_marks(chunks: DataFrame) -> DataFrame:
+    """Adds marked: whether the text holds a table mark, told before anything moves."""
+    return chunks.withColumn("marked", F.coalesce(F.col("text"), F.lit("")).rlike(TABLE_TOKEN))
+
+
+def chunk_blocks(spark: SparkSession, d: str, *extra: str) -> DataFrame:
+    """The chunk table's rows as labelled blocks in the order of their numbers; extra columns (text) move only where they are asked for."""
+    rows = distinct_chunks(with_marks(table(spark, d, "legal_chunks")), *extra).where("chunkNo IS NOT NULL")
     kind = norm_key(F.coalesce("chunkType", F.lit("generic")))
     label = F.when(kind == "transitorio", F.when(F.trim(F.coalesce("articleRef", F.lit(""))) == "", "transitory_heading").otherwise("transitory_item"))
     for k, v in _LABEL.items():
         label = label.when(kind == k, v)
     head = F.coalesce("articleRef", "heading", F.lit(""))
     head = F.when(kind == "transitorio", F.regexp_replace(head, r"(?iU)^art[íi]culo\s+(.*?)(\s+transitorio)?$", "$1.")).otherwise(head)
-    return rows.select(F.col("documentId").alias("doc_id"), F.col("chunkNo").alias("ord"), "id", F.col("startPage").alias("page_number"), "text", head.alias("head"), label.otherwise("article_body").alias("label"))
+    return rows.select(F.col("documentId").alias("doc_id"), F.col("chunkNo").alias("ord"), "id", F.col("startPage").alias("page_number"), *extra, head.alias("head"), label.otherwise("article_body").alias("label"))
 
 
 def chunk_tree(spark: SparkSession, d: str, with_text: bool = False) -> DataFrame:
-    rows = chunk_blocks(spark, d)
-    return cut_lineage(structure.nodes(rows if with_text else rows.withColumn("text", F.lit(None).cast("string"))))
+    rows = chunk_blocks(spark, d, "text") if with_text else chunk_blocks(spark, d).withColumn("text", F.lit(None).cast("string"))
+    return cut_lineage(structure.nodes(rows))
 
 
 def layout_tree(spark: SparkSession, d: str) -> DataFrame:
