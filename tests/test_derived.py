@@ -135,7 +135,7 @@ def test_providers_fall_back(spark):
 
     assert providers.asked(["a"], broken, tries=3, wait=0) == [None] and len(calls) == 3
     blocks = spark.createDataFrame([("x", "unknown", 0.6), ("y", "article_heading", 0.95)], "text string, label string, confidence double")
-    assert [r.label for r in providers.refined_labels(blocks, lambda v: ["annex_body"] * len(v)).orderBy("text").collect()] == ["annex_body", "article_heading"]
+    assert [r.label for r in providers.refined_labels(blocks, lambda v: ['{"label": "annex_body", "confidence": 0.9}'] * len(v)).orderBy("text").collect()] == ["annex_body", "article_heading"]
     got = providers.embedded(df, "i", "title", lambda v: [[float(len(t))] for t in v]).orderBy("i").collect()
     assert [r.embedding for r in got] == [[8.0], [1.0]]
     verdict = lambda t, box: one(spark, providers.boxed_verdict(F.lit(t), F.lit(box), F.lit(1), F.lit(1)))

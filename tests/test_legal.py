@@ -150,8 +150,8 @@ def test_scores(spark):
     assert (got.tokens, got.bleed, got.dates, got.orphans, got.unknown, got.loose, got.toc_duplicates, got.coverage) == (2, 1, 2, 1, 1, 2, 1, 0.0) and list(got.date_examples) == ["15 de marzo de 2024"]
     dirty = quality.scored(spark.createDataFrame(rows, TREE)).first()
     assert dirty.severity == "high" and dirty.reasons.split(",") == [k for k in quality.WEIGHTS if k != "article_sequence_health"]
-    assert [(r.gate, r.gate_reason) for r in quality.gated(quality.scored(articles(spark, ["1", "2"]))).collect()] == [(True, "score_meets_threshold")]
-    assert quality.gated(quality.scored(spark.createDataFrame(rows, TREE)), production=False, allow_below=True).first().gate_reason == "below_threshold_but_allowed_non_prod"
+    assert [(r.gate, r.gate_reason) for r in quality.gated(quality.scored(articles(spark, ["1", "2"]))).collect()] == [(True, "quality_sufficient")]
+    assert quality.gated(quality.scored(spark.createDataFrame(rows, TREE)), production=False, allow_below=True).first().gate_reason == "low_quality_allowed_non_prod"
 
 
 def test_page_fold():
@@ -212,4 +212,4 @@ def test_stretches_tables_and_preambles(spark):
     ]
     assert chunks.bounded_chunks(segments.limit(0), 60, tables.limit(0)).count() == 0
     hit = {(r.chunk_no, r.text) for r in chunks.bounded_chunks(segments, 60).where("doc_id = 'd'").collect()}
-    assert len(hit) == len(got) - 2 and max(n for n, _ in hit) == len(hit)
+    assert len(hit) == 6 == max(n for n, _ in hit) and (3, "Artículo 2.- Dos\ntras la tabla") in hit
