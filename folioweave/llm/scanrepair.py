@@ -42,7 +42,6 @@ EVIDENCE = 3
 KNOWN_SHARE, PAIR_SHARE, HEAD_SHARE = 6e-6, 2e-6, 1e-5
 #: Share of its places in which a form of running heads stands apart from the text.
 APART = 0.6
-LONGEST = 40
 #: What scanning makes of letters (as meant, as read).
 CONFUSIONS = [
     ("o", "0"), ("ó", "6"), ("ó", "0"), ("l", "1"), ("i", "1"), ("s", "5"), ("g", "9"), ("b", "6"), ("z", "2"), ("e", "c"), ("a", "e"),
