@@ -117,6 +117,19 @@ DOC_TYPES = [
 ]
 STOP_WORDS = "a al ante bajo con contra de del desde el en entre es esta este la las lo los mas ni no o para pero por que se sin sobre su sus un una y ya".split()
 
+BLOCK_NOTE = r"(?iU)(?:ACLARACI[OÓ]N|Fe\s+de\s+erratas|N\.\s*de\s+E\.|NOTA\s+(?:DEL\s+EDITOR|ACLARATORIA|editorial)|Art[íi]culo\s+(?:reformad[oa]|adicionad[oa]|derogad[oa])\b|Correcci[oó]n|AVISO)"
+BLOCK_ORDINAL = (
+    r"(?iU)^\s*(?:Primero|Segundo|Tercero|Cuarto|Quinto|Sexto|S[eé]ptimo|Octavo|Noveno|D[eé]cimo|Und[eé]cimo|Duod[eé]cimo|"
+    r"D[eé]cimo\s*(?:primer|segund|tercer|cuart|quint|sext|s[eé]ptim|octav|noven)o?|Vig[eé]simo|Trig[eé]simo|Cuadrag[eé]simo|Quincuag[eé]simo)\s*[.\-–—]"
+)
+INLINE_REFERENCE = (
+    r"(?iU)(?:conforme|conform[ea]|según|previsto|dispuesto|establecid[oa]|señalad[oa]|referid[oa]|contenid[oa]|indicad[oa]|mencionad[oa]|"
+    r"de\s+(?:acuerdo|conformidad)|en\s+(?:t[eé]rminos|los\s+t[eé]rminos)|(?:el|del|al|los|las|un)\s+)\s*(?:art[ií]culo|art\.)\s+\d+"
+)
+OPENS_ARTICLE = r"(?iU)^\s*Art[ií]culo\s+\d+[\s\w]*[.\-–—]"
+OPENS_FRACTION, OPENS_ITEM = r"(?U)^\s*[IVXLCDM]+\s*[.\-–—]", r"(?U)^\s*[a-z]\)\s"
+DATE_ALONE = rf"(?iU)^\s*\d{{1,2}}\s+DE\s+(?:{'|'.join(MONTHS)})\s+DE\s+\d{{4}}\s*$"
+TITLE_WORDS = r"(?iU)\b(LEY|DECRETO|REGLAMENTO|CÓDIGO|ESTATUTO|ACUERDO|NORMA|CONSTITUCIÓN|PRESUPUESTO|LINEAMIENTOS?)\b"
 ACRONYM_STOPS = "de del la los las el sobre en para por al con que y e o u federal general nacional nueva".split()
 
 # --- Expressions ---
@@ -289,7 +302,7 @@ def date_heading(text: Column) -> Column:
     months = "|".join(MONTHS)
     city = rf"(?iU)^[A-ZÁÉÍÓÚÑ][a-záéíóúñ]+(?:\s+de\s+[A-ZÁÉÍÓÚÑ][a-záéíóúñ]+)?,?\s+\d{{1,2}}\s+de\s+(?:{months})"
     return (
-        t.rlike(rf"(?iU)^\s*\d{{1,2}}\s+DE\s+(?:{months})\s+DE\s+\d{{4}}\s*$")
+        t.rlike(DATE_ALONE)
         | (t.rlike(city) & (F.length(t) < 120))
         | (t.rlike(r"(?iU)\bDOF\s+\d{1,2}[-/]\d{1,2}[-/]\d{2,4}\b") & (F.length(t) < 100))
     )
@@ -302,8 +315,7 @@ def upper_ratio(text: Column) -> Column:
 
 def document_title(text: Column) -> Column:
     t = strip(text)
-    words = r"(?iU)\b(LEY|DECRETO|REGLAMENTO|CÓDIGO|ESTATUTO|ACUERDO|NORMA|CONSTITUCIÓN|PRESUPUESTO|LINEAMIENTOS?)\b"
-    return F.length(t).between(5, 300) & ~date_heading(t) & (upper_ratio(t) >= 0.6) & t.rlike(words)
+    return F.length(t).between(5, 300) & ~date_heading(t) & (upper_ratio(t) >= 0.6) & t.rlike(TITLE_WORDS)
 
 
 def line_type(line: Column, before: Column, after: Column) -> Column:
@@ -361,40 +373,36 @@ def line_type(line: Column, before: Column, after: Column) -> Column:
     )
 
 
+def opens_article(line: Column) -> Column:
+    """The line opens an article and doesn't merely refer to one."""
+    return line.rlike(OPENS_ARTICLE) & ~line.rlike(INLINE_REFERENCE)
+
+
 def block_label(text: Column, kind: Column, source: Column, index_zone: Column, boxed: Column) -> Column:
     """struct(label, confidence, reason) of a layout block by ordered rules."""
     t = strip(F.coalesce(text, F.lit("")))
     line = strip(F.split(t, "\n").getItem(0))
     got = lambda a, b, c: F.struct(F.lit(a).alias("label"), F.lit(b).alias("confidence"), F.lit(c).cast("string").alias("reason"))
-    note = r"(?iU)(?:ACLARACI[OÓ]N|Fe\s+de\s+erratas|N\.\s*de\s+E\.|NOTA\s+(?:DEL\s+EDITOR|ACLARATORIA|editorial)|Art[íi]culo\s+(?:reformad[oa]|adicionad[oa]|derogad[oa])\b|Correcci[oó]n|AVISO)"
-    ordinal = (
-        r"(?iU)^\s*(?:Primero|Segundo|Tercero|Cuarto|Quinto|Sexto|S[eé]ptimo|Octavo|Noveno|D[eé]cimo|Und[eé]cimo|Duod[eé]cimo|"
-        r"D[eé]cimo\s*(?:primer|segund|tercer|cuart|quint|sext|s[eé]ptim|octav|noven)o?|Vig[eé]simo|Trig[eé]simo|Cuadrag[eé]simo|Quincuag[eé]simo)\s*[.\-–—]"
-    )
-    inline = (
-        r"(?iU)(?:conforme|conform[ea]|según|previsto|dispuesto|establecid[oa]|señalad[oa]|referid[oa]|contenid[oa]|indicad[oa]|mencionad[oa]|"
-        r"de\s+(?:acuerdo|conformidad)|en\s+(?:t[eé]rminos|los\s+t[eé]rminos)|(?:el|del|al|los|las|un)\s+)\s*(?:art[ií]culo|art\.)\s+\d+"
-    )
     heading = lambda word: line.rlike(rf"(?iU)^\s*{word}\s+[IVXLCDM\d]+")
     yes = lambda c: F.coalesce(c, F.lit(False))
     return (
         F.when(yes(kind == "header"), got("page_header", 0.95, "kind_header_from_normalizer"))
         .when(yes(kind == "footer"), got("page_footer", 0.95, "kind_footer_from_normalizer"))
         .when(yes(source == "pymupdf_table") | yes(kind == "table"), got("table", 0.95, "table_signal"))
-        .when(line.rlike(note) | yes(kind == "boxed_note") | yes(boxed), got("editorial_note", 0.95, "editorial_note_pattern"))
+        .when(line.rlike(BLOCK_NOTE) | yes(kind == "boxed_note") | yes(boxed), got("editorial_note", 0.95, "editorial_note_pattern"))
         .when(yes(index_zone), got("index_block", 0.8, "possible_index_zone_metadata"))
         .when(t.rlike(r"(?iU)^\s*TRANSITORIOS?\s*$"), got("transitory_heading", 0.95, "transitory_heading_pattern"))
-        .when(t.rlike(ordinal), got("transitory_item", 0.95, "transitory_ordinal_pattern"))
+        .when(t.rlike(BLOCK_ORDINAL), got("transitory_item", 0.95, "transitory_ordinal_pattern"))
         .when(date_heading(t), got("article_body", 0.8, "date_not_heading"))
         .when(document_title(t), got("document_title", 0.8, "document_title_keywords_caps"))
-        .when(line.rlike(r"(?iU)^\s*Art[ií]culo\s+\d+[\s\w]*[.\-–—]") & ~line.rlike(inline), got("article_heading", 0.95, "article_heading_pattern"))
+        .when(opens_article(line), got("article_heading", 0.95, "article_heading_pattern"))
         .when(heading("Libro"), got("book_heading", 0.95, "book_heading_pattern"))
         .when(heading("T[ií]tulo"), got("title_heading", 0.95, "title_heading_pattern"))
         .when(heading("Cap[ií]tulo"), got("chapter_heading", 0.95, "chapter_heading_pattern"))
         .when(heading("Secci[oó]n"), got("section_heading", 0.95, "section_heading_pattern"))
         .when(heading("Anexo"), got("annex_heading", 0.95, "annex_heading_pattern"))
-        .when(t.rlike(r"(?U)^\s*[IVXLCDM]+\s*[.\-–—]"), got("fraction", 0.95, "fraction_roman_pattern"))
-        .when(t.rlike(r"(?U)^\s*[a-z]\)\s"), got("inciso", 0.95, "inciso_letter_pattern"))
+        .when(t.rlike(OPENS_FRACTION), got("fraction", 0.95, "fraction_roman_pattern"))
+        .when(t.rlike(OPENS_ITEM), got("inciso", 0.95, "inciso_letter_pattern"))
         .when(F.length(t) > 30, got("article_body", 0.6, "default_prose_body"))
         .otherwise(got("unknown", 0.6, None))
     )

@@ -34,10 +34,16 @@ DEFAULTS = {"jurisdiction": "MX-FEDERAL", "sourceType": "official_gazette"}
 CUT = {"title": 500, "lawName": 255, "heading": 500, "articleRef": 100}
 
 
+def json_map(c):
+    """The top-level fields of a JSON object as variants, so that numbers stay numbers; what is no object has none. Values nested too deep for a variant are kept as texts."""
+    typed = F.try_variant_get(F.try_parse_json(c), "$", "map<string,variant>")
+    plain = F.from_json(c, "map<string,string>").cast("map<string,variant>")
+    return F.when(F.json_object_keys(c).isNotNull(), F.coalesce(typed, plain)).otherwise(F.create_map().cast("map<string,variant>"))
+
+
 def merged_json(stored, patch):
     """The top-level keys of two JSON objects, those of the patch over those stored; what is no object counts as empty."""
-    as_map = lambda c: F.when(F.json_object_keys(c).isNotNull(), F.from_json(c, "map<string,string>")).otherwise(F.create_map().cast("map<string,string>"))
-    a, b = as_map(stored), as_map(patch)
+    a, b = json_map(stored), json_map(patch)
     return F.to_json(F.map_concat(F.map_filter(a, lambda k, v: ~F.map_contains_key(b, k)), b))
 
 
@@ -104,22 +110,20 @@ def with_outline(docs: DataFrame, tree: DataFrame, native: DataFrame | None = No
     got = docs.join(parts, "documentId", "left")
     if native is not None:
         got = got.join(toc.native_stats(native), "documentId", "left")
-    keys = F.coalesce(F.json_object_keys("metadata"), F.array().cast("array<string>"))
-    stored = F.from_json("metadata", "map<string,string>")
-    drop = ["outlineStrategy", "outlineManifest", "toc", "sections", "outlineStats", "nativeToc", "outlineError"]
-    kept = F.map_filter(F.when(F.size(keys) > 0, stored).otherwise(F.create_map().cast("map<string,string>")), lambda k, v: ~k.isin(drop))
+    node = lambda x: F.struct(x["id"].alias("id"), x["parent"].alias("parent"), x["title"].alias("title"), x["level"].alias("level"), F.struct(x["page"].alias("page")).alias("target"))
+    section = lambda x: F.struct(x["id"].alias("id"), x["title"].alias("title"), x["page"].alias("pageStart"), x["page"].alias("pageEnd"))
+    toc_rows = F.coalesce("toc", F.expr("CAST(array() AS array<struct<position:bigint,id:string,parent:string,title:string,level:int,page:int>>)"))
     patch = {
         "outlineStrategy": F.lit(strategy),
         "outlineManifest": manifest(F.lit(strategy), F.coalesce("contentHash", F.lit("")), F.coalesce("outline", F.lit(""))),
-        "toc": F.to_json(F.transform("toc", lambda x: F.struct(x["id"], x["parent"], x["title"], x["level"], F.struct(x["page"].alias("page")).alias("target")))),
-        "sections": F.to_json(F.transform("toc", lambda x: F.struct(x["id"], x["title"], x["page"].alias("pageStart"), x["page"].alias("pageEnd")))),
-        "outlineStats": F.to_json(F.struct(F.coalesce("total", F.lit(0)).alias("totalNodes"), F.coalesce("by_level", F.lit("{}")).alias("byLevel"), F.coalesce("max_depth", F.lit(0)).alias("maxDepth"))),
-        "outlineError": F.lit(None).cast("string"),
+        "toc": F.transform(toc_rows, node),
+        "sections": F.transform(toc_rows, section),
+        "outlineStats": F.struct(F.coalesce("total", F.lit(0)).alias("totalNodes"), F.from_json(F.coalesce("by_level", F.lit("{}")), "map<string,bigint>").alias("byLevel"), F.coalesce("max_depth", F.lit(0)).alias("maxDepth")),
     }
     if native is not None:
-        patch["nativeToc"] = F.to_json(F.struct(F.coalesce("entries", F.lit(0)).alias("entries"), F.coalesce("transitory_sections", F.lit(0)).alias("transitorioSections")))
-    new = F.map_from_arrays(F.array(*[F.lit(k) for k in patch]), F.array(*patch.values()))
-    return got.select("documentId", F.to_json(F.map_concat(kept, new)).alias("metadata"))
+        patch["nativeToc"] = F.struct(F.coalesce("entries", F.lit(0)).alias("entries"), F.coalesce("transitory_sections", F.lit(0)).alias("transitorioSections"))
+    done = F.to_json(F.struct(*[v.alias(k) for k, v in patch.items()]))
+    return got.select("documentId", merged_json(merged_json(F.col("metadata"), F.lit('{"outlineError":null}')), done).alias("metadata"))
 
 
 def flat_records(records: DataFrame, counts: DataFrame, paths: DataFrame, flags: dict[str, str]) -> DataFrame:

@@ -137,7 +137,7 @@ def sections(tree: DataFrame) -> DataFrame:
     return got.fillna(0, ["child_count", "article_count"])
 
 
-def counts(blocks: DataFrame, tree: DataFrame) -> DataFrame:
+def counts(tree: DataFrame) -> DataFrame:
     """Per document: nodes of each type, and whether there are transitory articles and annexes."""
     types = [*dict.fromkeys(NODE.values()), "paragraph"]
     return tree.groupBy("doc_id").agg(

@@ -136,7 +136,7 @@ def evaluation_rows(spark: SparkSession, d: str) -> DataFrame:
     """One flat row per document, as the corpus report's CSV holds them: records joined with their quality reports and the figures of their trees."""
     tree = _nodes(spark, d)
     paths = _docs(spark, d).select(F.col("id").alias("documentId"), "blobPath")
-    return index.flat_records(_records(spark, d, tree), structure.counts(tree, tree), paths, _FLAGS)
+    return index.flat_records(_records(spark, d, tree), structure.counts(tree), paths, _FLAGS)
 
 
 @query(f"WITH {_RECORDS} SELECT {', '.join(f'count(*) FILTER (list_contains(string_split(reasons, chr(44)), {chr(39)}{v}{chr(39)})) AS {k}' for k, v in _FLAGS.items())} FROM recs")

@@ -102,8 +102,7 @@ _TYPES = [*dict.fromkeys(structure.NODE.values()), "paragraph"]
 
 @query(f"""WITH {_TREE} SELECT doc_id, {", ".join(f'count(*) FILTER (node_type = {chr(39)}{t}{chr(39)}) AS "{t}"' for t in _TYPES)}, bool_or(label IN ('transitory_heading', 'transitory_item')) AS has_transitories, bool_or(is_annex) AS has_annexes FROM tree GROUP BY 1""")
 def structure_counts(spark: SparkSession, d: str) -> DataFrame:
-    tree = chunk_tree(spark, d)
-    return structure.counts(tree, tree)
+    return structure.counts(chunk_tree(spark, d))
 
 
 _PROJECT = f"""{_TREE},
@@ -147,3 +146,11 @@ def layout_structure(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def layout_chunks(spark: SparkSession, d: str) -> DataFrame:
     return structure.projected(layout_tree(spark, d))
+
+
+@query()
+def layout_scores(spark: SparkSession, d: str) -> DataFrame:
+    """From spans to scores: blocks, labels, tree and quality of every document with a layout."""
+    from ..operators import quality
+
+    return quality.scored(layout_tree(spark, d))

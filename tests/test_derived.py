@@ -105,6 +105,8 @@ def test_transitory_articles_stay_open_until_an_annex(spark):
         10: ("article", "Artículo 2.- Dos", "2"), 12: ("annex", "Anexo 1", None), 13: ("annex", "del anexo", None), 14: ("article", "Artículo 3.- Tres\nfin", "3"), 16: ("fraction", "I. a\na) b", "3"), 18: ("boxed_note", "Nota", "3"),
     }
     assert {r.ord: r.parent_ord for r in tree_of(spark, [("fraction", "I. a"), ("inciso", "a) b")]).collect()} == {1: 0, 2: 1}
+    blocks = spark.createDataFrame([("d", 1, "document_title", " LEY ", 1), ("d", 5, "document_title", "LEY B", 1), ("d", 2, "article_body", "x", 1)], "doc_id string, ord int, label string, text string, page_number int")
+    assert tuple(structure.titles(blocks).first()) == ("d", "LEY", "LEY B")
     context = {r.ord: r.context for r in structure.contexts(tree).collect()}
     assert context[9] == '{"node_id":"paragraph-3","node_type":"paragraph","parent_node_id":"transitory-primero","is_transitory":true}' and '"book_heading":"Libro I"' in context[4]
 

@@ -33,11 +33,20 @@ def test_native_outline_corrects_transitory_sections(spark):
     assert [r.id for r in toc.sections(tree).where("documentId = 'e'").orderBy("section_no").collect()] == ["chunk-1", "chunk-2", "chunk-3"]
 
 
+def test_model_rescues_doubtful_headings(spark):
+    rows = [("d", 1, "title", None, "Título II de la Ley que rige", 1), ("d", 2, "chapter", None, "Capítulo I", 1), ("d", 3, "article", None, "con el artículo", 1)]
+    df = spark.createDataFrame(rows, "documentId string, chunkNo int, chunkType string, articleRef string, heading string, startPage int")
+    say = lambda sure: lambda v: [f'{{"isStructural": true, "confidence": "{sure}"}}'] * len(v)
+    titles = lambda p: sorted(r.chunkNo for r in toc.outline_rows(df, p).collect())
+    assert titles(None) == [2] and titles(say("alta")) == [1, 2] and titles(say("baja")) == [2]
+
+
 def test_outline_in_metadata(spark):
     tree = cut_lineage(toc.nodes(toc.with_parents(spark.createDataFrame([("d", 1, "Título I", 2, 1, False)], "documentId string, chunkNo int, title string, level int, page int, container boolean"))))
     docs = spark.createDataFrame([("d", '{"toc":[1],"kept":{"a":1},"outlineError":"x"}', "abc"), ("e", "no", None)], "documentId string, metadata string, contentHash string")
     got = {r.documentId: r.metadata for r in index.with_outline(docs, tree).collect()}
-    assert '"kept":"{\\"a\\":1}"' in got["d"] and "chunk-1" in got["d"] and "outlineError" not in got["d"].replace('"outlineError":null', "") and '"totalNodes\\":0' in got["e"]
+    assert '"kept":{"a":1}' in got["d"] and '"toc":[{"id":"chunk-1","level":2,"target":{"page":1},"title":"Título I"}]' in got["d"] and '"outlineError":null' in got["d"]
+    assert '"toc":[]' in got["e"] and '"totalNodes":0' in got["e"]
 
 
 def test_extractor_rows(spark):
@@ -119,7 +128,7 @@ def test_upserts_and_requests(spark):
     stored = spark.createDataFrame([("p", "t", '{"a":1,"b":2}', "MX")], "blobPath string, title string, metadata string, jurisdiction string")
     new = spark.createDataFrame([("p", "u", '{"b":3}'), ("q", "w" * 600, None)], "blobPath string, title string, metadata string")
     got = {r.blobPath: r for r in index.upsert_documents(stored, new).collect()}
-    assert (got["p"].title, got["p"].metadata, got["p"].jurisdiction) == ("u", '{"a":"1","b":"3"}', "MX") and (len(got["q"].title), got["q"].jurisdiction) == (500, "MX-FEDERAL")
+    assert (got["p"].title, got["p"].metadata, got["p"].jurisdiction) == ("u", '{"a":1,"b":3}', "MX") and (len(got["q"].title), got["q"].jurisdiction) == (500, "MX-FEDERAL")
     chunks = spark.createDataFrame([("d", 1), ("d", 2)], "documentId string, chunkNo int")
     vectors = spark.createDataFrame([("d", 2, [2.0]), ("d", 1, [1.0])], "documentId string, chunkNo int, embedding array<float>")
     assert [r.embedding for r in index.with_embeddings(chunks, vectors, ["documentId", "chunkNo"]).orderBy("chunkNo").collect()] == [[1.0], [2.0]]
