@@ -276,11 +276,11 @@ def spanish_date(c: Column) -> Column:
 
 
 def signature(text: Column) -> Column:
-    """A line's form for finding repetitions: lower case, dates and numbers as marks, single blanks."""
+    """A line's form for finding repetitions: capitals, dates and numbers as marks, single blanks."""
     low = F.lower(text)
     t = F.regexp_replace(low, rf"(?U)\b\d{{1,2}}\s*(?:de\s+)?(?:{'|'.join(MONTHS)})(?:\s*(?:de|del)\s*\d{{2,4}})?\b", "<<date>>")
     t = F.regexp_replace(t, r"(?U)\b(?:folio|n[uú]m(?:ero)?|no\.)?\s*\d+\b", "<<num>>")
-    return squeeze(F.when(low.rlike(r"\p{Nd}"), t).otherwise(low))
+    return F.upper(squeeze(F.when(low.rlike(r"\p{Nd}"), t).otherwise(low)))
 
 
 def word_count(text: Column) -> Column:

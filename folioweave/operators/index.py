@@ -128,7 +128,7 @@ def with_outline(docs: DataFrame, tree: DataFrame, native: DataFrame | None = No
 
 def flat_records(records: DataFrame, counts: DataFrame, paths: DataFrame, flags: dict[str, str]) -> DataFrame:
     """A report row for each evaluated document: records and tree figures joined by document, a flag for each failing check named, the first reason and all of them."""
-    types = [c for c in counts.columns if c not in ("doc_id", "has_transitories", "has_annexes")]
+    types = [c for c in counts.columns if c not in ("doc_id", "has_transitories", "has_annexes", "toc_entries", "sections")]
     n = counts.select(F.col("doc_id").alias("documentId"), F.col("article").alias("article_count"), F.col("table").alias("table_count"), sum((F.col(f"`{t}`") for t in types), F.lit(0)).alias("chunk_count"))
     got = records.join(paths, "documentId").join(n, "documentId", "left").fillna(0, ["article_count", "table_count", "chunk_count"])
     reasons = F.split("reasons", ",")

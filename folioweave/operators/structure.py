@@ -138,10 +138,11 @@ def sections(tree: DataFrame) -> DataFrame:
 
 
 def counts(tree: DataFrame) -> DataFrame:
-    """Per document: nodes of each type, and whether there are transitory articles and annexes."""
+    """Per document: nodes of each type, whether there are transitory articles and annexes, entries of the contents and sections."""
     types = [*dict.fromkeys(NODE.values()), "paragraph"]
     return tree.groupBy("doc_id").agg(
-        *[F.count_if(F.col("node_type") == t).alias(t) for t in types], F.bool_or(F.col("label").isin("transitory_heading", "transitory_item")).alias("has_transitories"), F.bool_or("is_annex").alias("has_annexes")
+        *[F.count_if(F.col("node_type") == t).alias(t) for t in types], F.bool_or(F.col("label").isin("transitory_heading", "transitory_item")).alias("has_transitories"), F.bool_or("is_annex").alias("has_annexes"),
+        F.count_if(F.col("node_type").isin(NAVIGABLE)).alias("toc_entries"), F.count_if(F.col("node_type").isin(CONTAINERS)).alias("sections"),
     )
 
 

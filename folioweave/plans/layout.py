@@ -49,8 +49,8 @@ def page_zones(spark: SparkSession, d: str) -> DataFrame:
 
 
 _MONTHS = "|".join(["enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agosto", "septiembre", "octubre", "noviembre", "diciembre"])
-_SIGNED = f"""{_SPANS}, sig AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '\\b\\d{{1,2}}\\s*(?:de\\s+)?(?:{_MONTHS})(?:\\s*(?:de|del)\\s*\\d{{2,4}})?\\b', '<<date>>', 'g'),
-        '\\b(?:folio|n[uú]m(?:ero)?|no\\.)?\\s*\\d+\\b', '<<num>>', 'g'), '[\\s\\p{{Z}}]+', ' ', 'g')) AS signature FROM blocks),
+_SIGNED = f"""{_SPANS}, sig AS (SELECT *, upper(trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '\\b\\d{{1,2}}\\s*(?:de\\s+)?(?:{_MONTHS})(?:\\s*(?:de|del)\\s*\\d{{2,4}})?\\b', '<<date>>', 'g'),
+        '\\b(?:folio|n[uú]m(?:ero)?|no\\.)?\\s*\\d+\\b', '<<num>>', 'g'), '[\\s\\p{{Z}}]+', ' ', 'g'))) AS signature FROM blocks),
     zones AS (SELECT DISTINCT doc_id, page_number, signature, zone FROM (SELECT *, unnest([CASE WHEN y0 < 84.2 THEN 'top' END, CASE WHEN y1 > 757.8 THEN 'bottom' END]) AS zone FROM sig) WHERE zone IS NOT NULL AND signature <> ''),
     tot AS (SELECT doc_id, count(DISTINCT page_number) AS total FROM blocks GROUP BY 1),
     rep AS (SELECT doc_id, zone, signature, count(*) AS pages FROM zones JOIN tot USING (doc_id) GROUP BY 1, 2, 3, total HAVING total >= 2 AND count(*) >= greatest(2, ceil(total * 0.4)))"""

@@ -19,8 +19,8 @@ _LINES = r"""
     lines AS (SELECT doc_id, page_number, CAST(unnest(generate_series(1, len(a))) AS INT) AS line_no, unnest(a) AS line FROM arrs)
 """
 _MONTHS = "|".join(legal.MONTHS)
-_SIGNATURE = rf"""trim(regexp_replace(regexp_replace(regexp_replace(lower(line), '\b\d{{1,2}}\s*(?:de\s+)?(?:{_MONTHS})(?:\s*(?:de|del)\s*\d{{2,4}})?\b', '<<date>>', 'g'),
-    '\b(?:folio|n[uú]m(?:ero)?|no\.)?\s*\d+\b', '<<num>>', 'g'), '\s+', ' ', 'g'))"""
+_SIGNATURE = rf"""upper(trim(regexp_replace(regexp_replace(regexp_replace(lower(line), '\b\d{{1,2}}\s*(?:de\s+)?(?:{_MONTHS})(?:\s*(?:de|del)\s*\d{{2,4}})?\b', '<<date>>', 'g'),
+    '\b(?:folio|n[uú]m(?:ero)?|no\.)?\s*\d+\b', '<<num>>', 'g'), '\s+', ' ', 'g')))"""
 
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:

@@ -100,7 +100,7 @@ def structure_sections(spark: SparkSession, d: str) -> DataFrame:
 _TYPES = [*dict.fromkeys(structure.NODE.values()), "paragraph"]
 
 
-@query(f"""WITH {_TREE} SELECT doc_id, {", ".join(f'count(*) FILTER (node_type = {chr(39)}{t}{chr(39)}) AS "{t}"' for t in _TYPES)}, bool_or(label IN ('transitory_heading', 'transitory_item')) AS has_transitories, bool_or(is_annex) AS has_annexes FROM tree GROUP BY 1""")
+@query(f"""WITH {_TREE} SELECT doc_id, {", ".join(f'count(*) FILTER (node_type = {chr(39)}{t}{chr(39)}) AS "{t}"' for t in _TYPES)}, bool_or(label IN ('transitory_heading', 'transitory_item')) AS has_transitories, bool_or(is_annex) AS has_annexes, count(*) FILTER (node_type IN {_in(structure.NAVIGABLE)}) AS toc_entries, count(*) FILTER (node_type IN {_in(structure.CONTAINERS)}) AS sections FROM tree GROUP BY 1""")
 def structure_counts(spark: SparkSession, d: str) -> DataFrame:
     return structure.counts(chunk_tree(spark, d))
 
