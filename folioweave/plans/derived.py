@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import metadata, ordered
+from ..operators import ordered
 from ..operators import tables as table_ops
 from ..operators import toc
 from ..streaming import indexing
@@ -27,13 +27,6 @@ def table_figures(spark: SparkSession, d: str) -> DataFrame:
     return f.select("id", F.col("f.rows").alias("row_count"), F.col("f.columns").alias("columns"), F.col("f.cells").alias("cells"), numeric.alias("numeric_cells"))
 
 
-@query()
-def generic_headings(spark: SparkSession, d: str) -> DataFrame:
-    chunks = _one(spark, d, "text").where(norm_key(F.coalesce("chunkType", F.lit("generic"))) == "generic").select("id", "documentId", "text")
-    titles = _docs(spark, d).select(F.col("id").alias("documentId"), "title")
-    return chunks.join(titles, "documentId", "left").select("id", metadata.generic_heading(F.col("text"), F.col("title")).alias("heading"))
-
-
 @query("""
     WITH e AS (SELECT event_id, user_id, ts, value FROM events WHERE event_type <> 'error'), x AS (SELECT user_id, ts, value FROM events WHERE event_type = 'error')
     SELECT e.event_id, e.user_id, (SELECT max(x.value) FROM x WHERE x.user_id = e.user_id AND x.ts = (SELECT max(y.ts) FROM x y WHERE y.user_id = e.user_id AND y.ts <= e.ts)) AS last_error FROM e

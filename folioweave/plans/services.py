@@ -278,3 +278,18 @@ def repeated_headers(spark: SparkSession, d: str) -> DataFrame:
     from ..operators import lines as line_ops
 
     return line_ops.repeated_headers(_lines(spark, d), 3)
+
+
+_CUT_120 = "CASE WHEN length({0}) <= 120 THEN {0} ELSE CASE WHEN regexp_extract(substring({0}, 1, 120), '(?s)^(.*\\S)\\s+\\S*$', 1) <> '' THEN regexp_extract(substring({0}, 1, 120), '(?s)^(.*\\S)\\s+\\S*$', 1) ELSE substring({0}, 1, 120) END || '…' END"
+
+
+@query(f"""WITH {_CHUNKS}, {_NEWEST}, g AS (SELECT c.id, coalesce(c.text, '') AS text, d.title, {_trim("regexp_replace(" + _trim("coalesce(d.title, '')") + ", '" + _W + "*\\([^)]*\\)" + _W + "*$', '')")} AS law,
+        contains(lower(coalesce(d.title, '')), 'decreto') AND NOT regexp_matches(lower(coalesce(d.title, '')), 'reglamento|código|codigo|presupuesto') AS decree FROM chunks c LEFT JOIN docs d ON d.id = c.documentId WHERE c.type = 'generic'),
+    l AS (SELECT *, list_filter(list_transform(string_split(text, chr(10)), lambda x: {_trim('x')}), lambda x: x <> '' AND NOT (decree AND regexp_matches(x, '(?i)^\\(?\\s*edici[oóÓ]n\\s+vespertina\\s*\\)?\\s*$|^diario\\s+oficial\\b|^poder\\s+ejecutivo\\s*$'))) AS lines FROM g),
+    f AS (SELECT *, list_filter(lines, lambda x: NOT regexp_matches(x, '(?i)^(?:{_VERBS}){_W}+'))[1] AS first, nullif(substring(law, 1, 255), '') AS name, regexp_extract(text, '(?is)decreto\\s+por\\s+el\\s+que\\s+.*?\\.', 0) AS rubric FROM l)
+    SELECT id, coalesce(CASE WHEN decree AND rubric <> '' THEN substring({_squeeze('rubric')}, 1, 500) END, CASE WHEN decree AND length(first) >= 120 THEN coalesce(name, {_CUT_120.format('first')}) END, first, name, {_CUT_120.format('lines[1]')}, '') AS heading FROM f""")
+def generic_headings(spark: SparkSession, d: str) -> DataFrame:
+    """Headings of generic chunks from their text and their document's title."""
+    chunks = _one(spark, d, "text").where(norm_key(F.coalesce("chunkType", F.lit("generic"))) == "generic").select("id", "documentId", "text")
+    titles = _docs(spark, d).select(F.col("id").alias("documentId"), "title")
+    return chunks.join(titles, "documentId", "left").select("id", metadata.generic_heading(F.col("text"), F.col("title")).alias("heading"))
