@@ -67,9 +67,24 @@ def block_kinds(spark: SparkSession, d: str) -> DataFrame:
     return ops.kinds(_blocks(spark, d)).select("doc_id", "page_number", "block_no", "kind")
 
 
-@query()
+_ORDINAL = "(?:primero|segundo|tercero|cuarto|quinto|sexto|s[eéÉ]ptimo|octavo|noveno|d[eéÉ]cimo|und[eéÉ]cimo|duod[eéÉ]cimo|d[eéÉ]cimo\\s*(?:primer|segund|tercer|cuart|quint|sext|s[eéÉ]ptim|octav|noven)o?|vig[eéÉ]simo|trig[eéÉ]simo|cuadrag[eéÉ]simo|quincuag[eéÉ]simo)"
+_INLINE = "(?:conforme|conform[ea]|seg[úÚ]n|previsto|dispuesto|establecid[oa]|se[ñÑ]alad[oa]|referid[oa]|contenid[oa]|indicad[oa]|mencionad[oa]|de\\s+(?:acuerdo|conformidad)|en\\s+(?:t[eéÉ]rminos|los\\s+t[eéÉ]rminos)|(?:el|del|al|los|las|un)\\s+)\\s*(?:art[iíÍ]culo|art\\.)\\s+\\d+"
+_KINDS = f"""{_SIGNED}, kinds AS (SELECT doc_id, page_number, block_no, text AS t, CASE WHEN y0 < 84.2 AND EXISTS (SELECT 1 FROM rep r WHERE r.doc_id = s.doc_id AND r.signature = s.signature AND zone = 'top') THEN 'header'
+    WHEN y1 > 757.8 AND EXISTS (SELECT 1 FROM rep r WHERE r.doc_id = s.doc_id AND r.signature = s.signature AND zone = 'bottom') THEN 'footer' ELSE 'text' END AS kind,
+    len(regexp_extract_all(text, '(?i)\\b(?:art[iíÍ]culo|cap[iíÍ]tulo|secci[oóÓ]n|t[iíÍ]tulo|transitorio|libro|anexo)\\b')) AS hits, length(regexp_replace(text, '[^\\p{{Lu}}]', '', 'g')) / greatest(length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')), 1) AS capitals FROM sig s),
+    signs AS (SELECT *, regexp_matches(t, '(?i)^\\s*\\d{{1,2}}\\s+DE\\s+(?:{_MONTHS})\\s+DE\\s+\\d{{4}}\\s*$') OR regexp_matches(t, '(?i)^[A-ZÁÉÍÓÚÑ][a-záéíóúñ]+(?:\\s+de\\s+[A-ZÁÉÍÓÚÑ][a-záéíóúñ]+)?,?\\s+\\d{{1,2}}\\s+de\\s+(?:{_MONTHS})') AND length(t) < 120 OR regexp_matches(t, '(?i)\\bDOF\\s+\\d{{1,2}}[-/]\\d{{1,2}}[-/]\\d{{2,4}}\\b') AND length(t) < 100 AS dated FROM kinds)"""
+
+
+@query(f"""WITH {_KINDS} SELECT doc_id, page_number, block_no, kind, CASE WHEN kind = 'header' THEN 'page_header' WHEN kind = 'footer' THEN 'page_footer'
+    WHEN regexp_matches(t, '(?i)(?:aclaraci[oóÓ]n|fe\\s+de\\s+erratas|N\\.\\s*de\\s+E\\.|nota\\s+(?:del\\s+editor|aclaratoria|editorial)|art[íiÍ]culo\\s+(?:reformad[oa]|adicionad[oa]|derogad[oa])\\b|correcci[oóÓ]n|aviso)') THEN 'editorial_note'
+    WHEN hits >= 2 AND hits / greatest(length(t), 1) >= 0.02 AND length(t) < 80 THEN 'index_block' WHEN regexp_matches(t, '(?i)^\\s*transitorios?\\s*$') THEN 'transitory_heading' WHEN regexp_matches(t, '(?i)^\\s*{_ORDINAL}\\s*[.\\-–—]') THEN 'transitory_item'
+    WHEN dated THEN 'article_body' WHEN length(t) BETWEEN 5 AND 300 AND capitals >= 0.6 AND regexp_matches(t, '(?i)(?:^|[^\\wáéíóúñÁÉÍÓÚÑ])(?:ley|decreto|reglamento|c[óÓ]digo|estatuto|acuerdo|norma|constituci[óÓ]n|presupuesto|lineamientos?)(?:[^\\wáéíóúñÁÉÍÓÚÑ]|$)') THEN 'document_title'
+    WHEN regexp_matches(t, '(?i)^\\s*art[iíÍ]culo\\s+\\d+[\\s\\wáéíóúñ]*[.\\-–—]') AND NOT regexp_matches(t, '(?i){_INLINE}') THEN 'article_heading'
+    WHEN regexp_matches(t, '(?i)^\\s*libro\\s+[IVXLCDM\\d]+') THEN 'book_heading' WHEN regexp_matches(t, '(?i)^\\s*t[iíÍ]tulo\\s+[IVXLCDM\\d]+') THEN 'title_heading' WHEN regexp_matches(t, '(?i)^\\s*cap[iíÍ]tulo\\s+[IVXLCDM\\d]+') THEN 'chapter_heading'
+    WHEN regexp_matches(t, '(?i)^\\s*secci[oóÓ]n\\s+[IVXLCDM\\d]+') THEN 'section_heading' WHEN regexp_matches(t, '(?i)^\\s*anexo\\s+[IVXLCDM\\d]+') THEN 'annex_heading' WHEN regexp_matches(t, '^\\s*[IVXLCDM]+\\s*[.\\-–—]') THEN 'fraction' WHEN regexp_matches(t, '^\\s*[a-z]\\)\\s') THEN 'inciso'
+    WHEN length(t) > 30 THEN 'article_body' ELSE 'unknown' END AS label FROM signs""")
 def block_labels(spark: SparkSession, d: str) -> DataFrame:
-    return ops.labelled(_blocks(spark, d)).select("doc_id", "page_number", "block_no", "kind", "label", "confidence", "reason")
+    return ops.labelled(_blocks(spark, d)).select("doc_id", "page_number", "block_no", "kind", "label")
 
 
 def _bold(spark: SparkSession, d: str) -> DataFrame:
