@@ -42,7 +42,8 @@ CONNECTIVES = set(
     that when although while if because unless where whereas provided notwithstanding whether which whose so save having being without
     prejudice regard therefore hereby thereof understood insofar far under within""".split()
 )
-_BLANKS, _BREAKS = re.compile(r"[^\S\n]+"), re.compile(r" ?\n[ \n]*")
+#: Runs of blanks that aren't one space, and of blanks and line ends that aren't one line end.
+_BLANKS, _BREAKS = re.compile(r"[^\S\n ][^\S\n]*| [^\S\n]+"), re.compile(r" \n[ \n]*|\n[ \n]+")
 _WRAPPED = re.compile(r"(?<=[^.!?…\x00\n])\n(?=[^\W\d_])")
 _MARK = re.compile(r"(?<=[\x00\n])(?:(?:art[íi]culo|section|secci[óo]n)\s+\d+\s*\.?\s*[-–]?\s*|[-•*·]\s+|\d+[.)]\s+|[ivxlc]+[.)]\s+|[a-z]\)\s+)", re.I)
 _WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
