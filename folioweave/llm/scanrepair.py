@@ -275,6 +275,10 @@ class Reader:
             elif cands and len(p) >= 5 and token[-1] not in "-¬\u00ad‐" and core_of(token).islower():
                 self.doubt.setdefault(token, cands)  # names stay: only words without capitals
 
+    def all_known(self, tokens: list[str]) -> bool:
+        """No token is told misread or doubtful."""
+        return self.bad.keys().isdisjoint(tokens) and self.doubt.keys().isdisjoint(tokens)
+
     def misread(self, token: str) -> bool:
         self.learn({token})
         return token in self.bad
@@ -340,7 +344,7 @@ def shaped_as_furniture(line: str, opens: bool) -> bool:
     return bool(m) and not _STRUCTURE.match(m[1]) and "|" not in line and sum(c.isalpha() for c in line) > 0.6 * len(line)
 
 
-_HEADLIKE = re.compile(r"^[ \t]*(?:\d{1,5}[ \t]+)?([^\W\d_][^\n|]{4,118}[^\n|.;:,\-¬\u00ad‐\s])[ \t]*$", re.M)
+_HEADLIKE = re.compile(r"^[ \t]*(?:\d{1,5}[ \t]+)?([^\W\d_a-zß-öø-ÿ][^\n|]{4,118}[^\n|.;:,\-¬\u00ad‐\s])[ \t]*$", re.M)
 _PAGED = re.compile(r"^\s*\d{1,5}\s+|\s+\d{1,5}\s*$")
 
 
@@ -444,6 +448,7 @@ def faults(reader: Reader, text: str, first_record: bool) -> list[tuple[int, str
     lines = text.split("\n")
     out = []
     opening, fragment, last = first_record, False, ""
+    clean = reader.all_known(text.split())  # most texts hold no word to judge line by line
     for i, line in enumerate(lines):
         if not line or line.isspace():
             continue
@@ -455,6 +460,10 @@ def faults(reader: Reader, text: str, first_record: bool) -> list[tuple[int, str
         if line[-1] in "-¬\u00ad‐ ":
             following = next((x for x in lines[i + 1 :] if x and not x.isspace() and not reader.furniture(x, False)), None)
             kind = break_kind(reader, line, following)
+        if clean:
+            if kind == "word":
+                out.append((i + 1, "broken"))
+            continue
         tokens = line.split()
         if fragment:
             tokens, last = tokens[1:], ""
