@@ -24,6 +24,16 @@ def page_stream(spark: SparkSession, path: str, files: int = 2) -> DataFrame:
     return spark.readStream.schema(PAGES).option("maxFilesPerTrigger", files).parquet(path)
 
 
+REQUEST = "runId string, categoryId string, blobPath string, documentTitle string, enableLlmGenericHeadingRefine boolean"
+
+
+def request_stream(spark: SparkSession, path: str, files: int = 20) -> DataFrame:
+    """Requests for indexing from JSON files as they arrive, so many files a batch, with status accepted or rejected and the error."""
+    rows = spark.readStream.schema(REQUEST).option("maxFilesPerTrigger", files).json(path)
+    checked = index.valid_requests(rows, ["runId", "categoryId"], ["blobPath", "documentTitle"])
+    return checked.withColumn("status", F.when(F.col("error").isNull(), "accepted").otherwise("rejected"))
+
+
 def log_run(spark: SparkSession, path: str, id_: str, started: datetime, status: str, chunks_total: int | None = None, error: str | None = None) -> None:
     ended = None if status == "processing" else datetime.now(timezone.utc).replace(tzinfo=None)
     spark.createDataFrame([(id_, started, ended, status, chunks_total, error)], RUN).coalesce(1).write.mode("append").parquet(path)

@@ -168,3 +168,12 @@ def test_files_and_sinks(spark, tmp_path):
         progress.onQueryProgress(Event)
     progress.onQueryTerminated(None)
     assert told == [12, 18]
+
+
+def test_requests_arrive_as_a_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    one = "550e8400-e29b-41d4-a716-446655440000"
+    (tmp_path / "in" / "a.json").write_text(f'{{"runId": "{one}", "categoryId": "{one}", "blobPath": "x.pdf", "documentTitle": "Ley"}}\n{{"runId": "7", "categoryId": "{one}", "blobPath": "x.pdf", "documentTitle": "Ley"}}\n')
+    q = indexing.request_stream(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("asked").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert sorted((r.status, r.error) for r in spark.table("asked").collect()) == [("accepted", None), ("rejected", "runId is no UUID")]
