@@ -192,3 +192,13 @@ def test_unseen_heads_are_found_by_repetition(spark):
     assert got == want | {("chunk", "a", 2)}
     fixed = {(r.src, r.rec_id): r.text for r in S.repaired(chunks, pages, spans).collect()}
     assert fixed["chunk", "a"] == f"{body} la ley que rige." and fixed["page", "f:1"].startswith("Anales") and fixed["span", "1"] == "" and "Anales" not in fixed["page", "f:2"]
+
+
+def test_empty_tables_and_no_vocabulary(spark):
+    chunks = spark.createDataFrame([("a", "d", 1, "ab c0d"), ("b", "d", 2, "")], "id string, documentId string, chunkNo int, text string")
+    pages = spark.createDataFrame([("d", 1, "Título\nuno dos-"), ("d", 2, "tres")], "doc_id string, page_number int, text string")
+    spans = spark.createDataFrame([(1, "d", 1, 0, 0, 0, "x")], "span_id bigint, doc_id string, page_number int, block_no int, line_no int, span_no int, text string")
+    fixed = {(r.src, r.rec_id): r.text for r in S.repaired(chunks, pages, spans).collect()}
+    assert set(fixed) == {("chunk", "a"), ("chunk", "b"), ("page", "d:1"), ("page", "d:2"), ("span", "1")} and fixed["chunk", "b"] == ""
+    assert S.repaired(chunks.limit(0), pages.limit(0), spans.limit(0)).count() == 0
+    assert S.found(chunks, pages.limit(0), spans.limit(0)).where("src <> 'chunk'").count() == 0
