@@ -86,7 +86,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_normalised, p3_found, p3_repaired, p4_found, p4_neighbours, p6_found, p6_groups, p7_ids, p8_mix, p8_shares, p9_found, p9_profile)
 }
 
+#: An exact join on shared runs, as an independent check of the chosen-path join; far too slow beyond small tables.
+_BLANKS = r"[\s\p{Z}\x{85}\x{0b}\x{1c}-\x{1f}]"
+_EXACT_PAIRS = rf"""
+    WITH ct AS (SELECT DISTINCT id, text FROM legal_chunks WHERE id IS NOT NULL AND text IS NOT NULL),
+        cw AS (SELECT id, list_filter(string_split_regex(lower(text), '{_BLANKS}+'), lambda x: x <> '') AS w FROM ct),
+        cs AS (SELECT row_number() OVER () AS k, id, list_distinct(list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || chr(0) || w[i + 1] || chr(0) || w[i + 2])) AS s FROM cw WHERE len(w) >= 25),
+        tt AS (SELECT DISTINCT id, lower(title) AS t FROM legal_documents WHERE id IS NOT NULL AND title IS NOT NULL AND NOT regexp_full_match(title, '{_BLANKS}*')),
+        ts AS (SELECT row_number() OVER () AS k, id, list_distinct(list_transform(generate_series(1, length(t) - 2), lambda i: substring(t, i, 3))) AS s FROM tt WHERE length(t) >= 3),
+        u AS (SELECT 'chunk' AS src, k, id, s, 0.5 AS least FROM cs UNION ALL SELECT 'document', k, id, s, 0.65 FROM ts),
+        e AS (SELECT src, k, unnest(s) AS g FROM u),
+        p AS (SELECT a.src, a.k AS ka, b.k AS kb, count(*) AS n FROM e a JOIN e b ON a.src = b.src AND a.g = b.g AND a.k < b.k GROUP BY ALL)
+    SELECT DISTINCT p.src, least(x.id, y.id) AS id_a, greatest(x.id, y.id) AS id_b FROM p JOIN u x ON x.src = p.src AND x.k = p.ka JOIN u y ON y.src = p.src AND y.k = p.kb
+    WHERE x.id <> y.id AND n / (len(x.s) + len(y.s) - n) >= x.least
+"""
+
 ORACLE: dict[str, str] = {
+    "p6_found": _EXACT_PAIRS,
     "p1_found": """
         WITH lim AS (SELECT lower(trim(chunktype)) AS k, min(max_chars) AS m FROM split_limits GROUP BY 1)
         SELECT DISTINCT c.id AS chunk_id
