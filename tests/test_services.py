@@ -1,4 +1,8 @@
+import os
+import subprocess
+import sys
 from datetime import datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -49,6 +53,24 @@ def test_outline_in_metadata(spark):
     assert '"toc":[]' in got["e"] and '"totalNodes":0' in got["e"]
 
 
+_LARGE = """
+from pyspark.sql import SparkSession, functions as F
+from folioweave.operators import index, toc
+s = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.driver.memory", "640m").getOrCreate()
+tree = s.createDataFrame([("d0", 1, "chunk-1", None, "T", 2, 1, 1)], "documentId string, position long, node_id string, parent_id string, title string, level int, page int, depth int")
+native = s.createDataFrame([("d1", 1, 1, "x", 1)], "documentId string, entry_no int, level int, title string, page int")
+text = F.concat(F.lit('{"pageCount":28,"toc":"'), F.repeat(F.lit("0123456789"), 2_000_000), F.lit('"}'))
+docs = s.range(0, 4, 1, 2).select(F.concat(F.lit("d"), "id").alias("documentId"), text.alias("metadata"), F.lit("abc").alias("contentHash"))
+got = index.with_outline(docs, tree, native).where("metadata LIKE '{\\"outlineError\\":null,\\"pageCount\\":28,%'")
+print("kept", got.count(), got.agg(F.max(F.length("metadata")) < 1000).first()[0])
+"""
+
+
+def test_replaced_outlines_take_no_memory(tmp_path):
+    run = subprocess.run([sys.executable, "-c", _LARGE], capture_output=True, text=True, timeout=300, cwd=Path(__file__).parents[1], env=os.environ | {"PYSPARK_SUBMIT_ARGS": "--driver-memory 640m pyspark-shell", "TMPDIR": str(tmp_path)})
+    assert "kept 4 True" in run.stdout, run.stderr[-2000:]
+
+
 def test_extractor_rows(spark):
     drawings = spark.createDataFrame(
         [("d", 1, 0.0, 0.0, 200.0, 40.0, "black", ["re"]), ("d", 1, 0.0, 50.0, 200.0, 90.0, None, ["l"] * 4), ("d", 1, 0.0, 0.0, 60.0, 25.0, "black", ["re"]), ("d", 1, 0.0, 0.0, 200.0, 40.0, "black", ["c"]), ("d", 1, None, 0.0, 9.0, 9.0, None, None)],
