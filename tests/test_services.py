@@ -71,6 +71,14 @@ def test_replaced_outlines_take_no_memory(tmp_path):
     assert "kept 4 True" in run.stdout, run.stderr[-2000:]
 
 
+def test_metadata_with_long_strings_are_kept(spark):
+    tree = spark.createDataFrame([("d", 1, "chunk-1", None, "T", 2, 1, 1)], "documentId string, position long, node_id string, parent_id string, title string, level int, page int, depth int")
+    long = F.repeat(F.lit("0123456789"), 2_000_001)
+    docs = spark.range(1).select(F.lit("d").alias("documentId"), F.concat(F.lit('{"z":28,"outline":"'), long, F.lit('","toc":"'), long, F.lit('","a":{"b":null}}')).alias("metadata"), F.lit("abc").alias("contentHash"))
+    got = index.with_outline(docs, tree).select(F.length("metadata").alias("n"), F.substring("metadata", 1, 40).alias("a"), F.substring("metadata", 20_000_011, 90).alias("b")).first()
+    assert got.a == '{"a":{"b":null},"outline":"0123456789012' and '","outlineError":null,"z":28,"outlineManifest":' in got.b and got.n < 20_001_000
+
+
 def test_extractor_rows(spark):
     drawings = spark.createDataFrame(
         [("d", 1, 0.0, 0.0, 200.0, 40.0, "black", ["re"]), ("d", 1, 0.0, 50.0, 200.0, 90.0, None, ["l"] * 4), ("d", 1, 0.0, 0.0, 60.0, 25.0, "black", ["re"]), ("d", 1, 0.0, 0.0, 200.0, 40.0, "black", ["c"]), ("d", 1, None, 0.0, 9.0, 9.0, None, None)],
